@@ -31,35 +31,42 @@ def decode(log: DataFrame) -> DataFrame:
     No row is dropped, because each occupies an offset: a null value is ``empty``, a line
     with under four fields or a bad number is ``malformed`` with its reason, the rest is
     ``event``. Fields past the fourth are ignored.
+
+    The two one-element generators are there on purpose: without them the optimizer copies
+    the split and the number checks into every later filter and condition, until the
+    generated code no longer compiles.
     """
-    fields = F.split(F.col("_text"), TAB, -1)
-    event_id = strict_long(F.get(F.col("_fields"), F.lit(0)))
-    produced_at = strict_long(F.get(F.col("_fields"), F.lit(1)))
+    split = log.select(
+        "*", F.explode(F.array(F.split(text_of(F.col("value")), TAB, -1))).alias("_fields")
+    )
+    typed = split.select(
+        "*",
+        F.inline(
+            F.array(
+                F.struct(
+                    strict_long(F.get("_fields", F.lit(0))).alias("event_id"),
+                    strict_long(F.get("_fields", F.lit(1))).alias("produced_at"),
+                    F.get("_fields", F.lit(2)).alias("route"),
+                    F.get("_fields", F.lit(3)).alias("payload"),
+                    F.size("_fields").alias("_count"),
+                )
+            )
+        ),
+    )
     reason = (
-        F.when(F.col("value").isNull(), F.lit(None).cast("string"))
-        .when(F.size("_fields") < 4, F.lit("fields"))
+        F.when(F.col("_count") < 4, F.lit("fields"))
         .when(F.col("event_id").isNull(), F.lit("event_id"))
         .when(F.col("produced_at").isNull(), F.lit("produced_at"))
     )
     return (
-        log.withColumn("_text", text_of(F.col("value")))
-        .withColumn("_fields", fields)
-        .withColumns(
-            {
-                "event_id": event_id,
-                "produced_at": produced_at,
-                "route": F.get(F.col("_fields"), F.lit(2)),
-                "payload": F.get(F.col("_fields"), F.lit(3)),
-            }
-        )
-        .withColumn("reason", reason)
+        typed.withColumn("reason", F.when(F.col("value").isNotNull(), reason))
         .withColumn(
             "disposition",
             F.when(F.col("value").isNull(), EMPTY)
             .when(F.col("reason").isNotNull(), MALFORMED)
             .otherwise(EVENT),
         )
-        .drop("_text", "_fields")
+        .drop("_fields", "_count")
     )
 
 

@@ -17,9 +17,17 @@ from tidemark.schemas import BEFORE, AFTER, DURING, PARTITION, POSITION, TABLES
 
 KINDS = ["missing", "extra", "duplicate"]
 
-IS_MISSING = (F.col("expected_copies") > 0) & (F.col("stored_copies") == 0)
-IS_EXTRA = (F.col("expected_copies") == 0) & (F.col("stored_copies") > 0)
-IS_DUPLICATE = F.col("stored_copies") > 1
+
+def is_missing() -> Column:
+    return (F.col("expected_copies") > 0) & (F.col("stored_copies") == 0)
+
+
+def is_extra() -> Column:
+    return (F.col("expected_copies") == 0) & (F.col("stored_copies") > 0)
+
+
+def is_duplicate() -> Column:
+    return F.col("stored_copies") > 1
 
 
 def positions_of(sink: DataFrame) -> DataFrame:
@@ -53,17 +61,17 @@ def compare_ids(
 
 def missing_ids(compared: DataFrame) -> DataFrame:
     """Expected keys that no table row carries."""
-    return compared.where(IS_MISSING).drop("expected_copies", "stored_copies")
+    return compared.where(is_missing()).drop("expected_copies", "stored_copies")
 
 
 def extra_ids(compared: DataFrame) -> DataFrame:
     """Stored keys that nobody expected."""
-    return compared.where(IS_EXTRA).drop("expected_copies", "stored_copies")
+    return compared.where(is_extra()).drop("expected_copies", "stored_copies")
 
 
 def duplicate_ids(compared: DataFrame) -> DataFrame:
     """Keys stored more than once, with their copies."""
-    return compared.where(IS_DUPLICATE).drop("expected_copies")
+    return compared.where(is_duplicate()).drop("expected_copies")
 
 
 def multiplicity(compared: DataFrame) -> DataFrame:
@@ -87,9 +95,9 @@ def table_verdict(
         (F.col("expected_copies") > 0).cast("bigint").alias("expected"),
         (F.col("stored_copies") > 0).cast("bigint").alias("actual_distinct"),
         F.col("stored_copies").alias("rows"),
-        IS_MISSING.cast("bigint").alias("missing_count"),
-        IS_EXTRA.cast("bigint").alias("extra_count"),
-        IS_DUPLICATE.cast("bigint").alias("duplicate_count"),
+        is_missing().cast("bigint").alias("missing_count"),
+        is_extra().cast("bigint").alias("extra_count"),
+        is_duplicate().cast("bigint").alias("duplicate_count"),
     )
     counts = ["expected", "actual_distinct", "rows", *(f"{kind}_count" for kind in KINDS)]
     if tables is not None:
@@ -108,13 +116,13 @@ def samples(compared: DataFrame, k: int = 20) -> DataFrame:
     everything still sends only k rows per task.
     """
     kinds = F.array(
-        F.when(IS_MISSING, F.lit("missing")),
-        F.when(IS_EXTRA, F.lit("extra")),
-        F.when(IS_DUPLICATE, F.lit("duplicate")),
+        F.when(is_missing(), F.lit("missing")),
+        F.when(is_extra(), F.lit("extra")),
+        F.when(is_duplicate(), F.lit("duplicate")),
     )
     least_first = Window.partitionBy("sink_table", "kind").orderBy("event_id")
     return (
-        compared.where(IS_MISSING | IS_EXTRA | IS_DUPLICATE)
+        compared.where(is_missing() | is_extra() | is_duplicate())
         .select("sink_table", "event_id", F.explode(F.array_compact(kinds)).alias("kind"))
         .withColumn("_rank", F.row_number().over(least_first))
         .where(F.col("_rank") <= k)

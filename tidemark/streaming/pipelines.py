@@ -156,6 +156,7 @@ class Router:
     partitions: int = 3
     run: str = "run-0"
     drop_route: str | None = None
+    target: Column | None = None
 
     def read(self, spark: SparkSession) -> DataFrame:
         """The hop's topic as a batch."""
@@ -174,7 +175,7 @@ class Router:
         own = (F.col("run") == self.run) & (F.col("batch_id") == batch_id)
         ends = log_bounds(self.read(spark).where(~own))
         events = encode(route_filter(events_only(decode(batch)), self.drop_route))
-        placed = sinks.place_in_topic(events, self.topic, self.partitions, ends)
+        placed = sinks.place_in_topic(events, self.topic, self.partitions, ends, self.target)
         sinks.write_topic(placed, self.path, self.run, batch_id)
 
 

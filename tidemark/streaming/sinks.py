@@ -251,21 +251,27 @@ def read_reject_table(spark: SparkSession, path: str) -> DataFrame:
 
 
 def place_in_topic(
-    events: DataFrame, topic: str, partitions: int, ends: DataFrame, bucket: int = BUCKET
+    events: DataFrame,
+    topic: str,
+    partitions: int,
+    ends: DataFrame,
+    target: Column | None = None,
+    bucket: int = BUCKET,
 ) -> DataFrame:
-    """Partition by event id and dense offsets that continue ``ends``.
+    """Partition by event id (or by ``target``) and dense offsets that continue ``ends``.
 
     Records keep their source order inside a target partition. Numbering is cut into source
     buckets: rows are counted inside a bucket, and only the bucket sizes are summed in
     order, so no task sees a whole partition.
     """
     source = ["_src_topic", "_src_part", "_bucket"]
-    target = F.pmod(F.xxhash64("event_id"), F.lit(partitions)).cast("int")
+    if target is None:
+        target = F.pmod(F.xxhash64("event_id"), F.lit(partitions))
     routed = events.withColumnsRenamed(
         {"topic": "_src_topic", "partition": "_src_part", "offset": "_src_offset"}
     ).withColumns(
         {
-            "partition": target,
+            "partition": target.cast("int"),
             "_bucket": F.floor(F.col("_src_offset") / bucket).cast("bigint"),
         }
     )
