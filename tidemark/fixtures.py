@@ -31,25 +31,18 @@ def now() -> Column:
 class Fixtures:
     """Lazy fixture tables of one scale factor."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str, copies: int = 1) -> None:
+    def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         self.spark = spark
         self.sf_dir = sf_dir
-        self.copies = copies
 
     @cached_property
     def events(self) -> DataFrame:
-        """event_id and its time in milliseconds; ``copies`` widens the id range for benches."""
-        raw = self.spark.read.parquet(f"{self.sf_dir}/events.parquet").select(
-            "event_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("produced_at")
-        )
-        if self.copies == 1:
-            return raw
-        size = raw.agg(F.max("event_id") + 1).first()[0]
-        shift = F.explode(F.sequence(F.lit(0), F.lit(self.copies - 1)))
-        return raw.withColumn("_k", shift).select(
-            (F.col("event_id") + F.col("_k") * size).alias("event_id"),
-            (F.col("produced_at") + F.col("_k") * 30 * DAY_MS).alias("produced_at"),
-        )
+        """event_id and its time in milliseconds."""
+        return self.of_events(self.spark.read.parquet(f"{self.sf_dir}/events.parquet"))
+
+    def of_events(self, raw: DataFrame) -> DataFrame:
+        millis = F.unix_millis(F.col("ts").cast("timestamp"))
+        return raw.select("event_id", millis.alias("produced_at"))
 
     @cached_property
     def n(self) -> int:

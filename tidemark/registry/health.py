@@ -11,7 +11,7 @@ from tidemark.operators import health as M
 from tidemark.registry.base import DAY_MS, NOW_MS, Fixtures, query
 from tidemark.registry.resume import done_positions
 from tidemark.schemas import TABLES
-from tidemark.sources.logs import log_bounds
+from tidemark.sources.logs import pinned_bounds
 from tidemark.sources.tables import commit_ranges, read_progress, read_rejects
 
 DAY_MINUTES = 1440
@@ -23,7 +23,7 @@ DAY_MINUTES = 1440
     FROM bounds LEFT JOIN (SELECT * FROM group_commits WHERE "partition" <> 2) USING (topic, "partition")""",
 )
 def lag(f: Fixtures) -> DataFrame:
-    return M.lag(log_bounds(f.log), f.group_commits.where("partition != 2"))
+    return M.lag(pinned_bounds(f.log), f.group_commits.where("partition != 2"))
 
 
 @query(

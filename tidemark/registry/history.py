@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame
 from tidemark.operators import history as H
 from tidemark.registry.base import DAY_MS, NOW_MS, Fixtures, query
 
-LO, HI = NOW_MS - 20 * DAY_MS, NOW_MS - 15 * DAY_MS
+# Half a day on either side of where the outage's clocks jump back.
+LO, HI = NOW_MS - 43 * DAY_MS // 2, NOW_MS - 41 * DAY_MS // 2
 
 PROFILE = """SELECT topic, "partition", min("offset") AS "begin", max("offset") + 1 AS "end",
   count(*) AS "records", arg_min(record_ts, "offset") AS first_offset_ts,

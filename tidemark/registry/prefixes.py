@@ -11,7 +11,7 @@ from tidemark.operators.reconcile import positions_of
 from tidemark.operators.versions import latest_version as newest
 from tidemark.registry.base import Fixtures, query
 from tidemark.schemas import POSITION
-from tidemark.sources.logs import log_bounds
+from tidemark.sources.logs import pinned_bounds
 from tidemark.sources.tables import commit_ranges
 
 
@@ -35,7 +35,7 @@ OPEN = """open_rows AS (SELECT * FROM clean WHERE event_id % 41 = 0)"""
     OPEN,
 )
 def frontier(f: Fixtures) -> DataFrame:
-    return W.frontier(f.log, accounted(f), log_bounds(f.log))
+    return W.frontier(f.log, accounted(f), pinned_bounds(f.log))
 
 
 @query(

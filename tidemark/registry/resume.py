@@ -13,7 +13,7 @@ from tidemark.plans import resume as P
 from tidemark.registry.base import Fixtures, query
 from tidemark.registry.prefixes import outage_start
 from tidemark.schemas import POSITION, TABLES
-from tidemark.sources.logs import log_bounds
+from tidemark.sources.logs import pinned_bounds
 
 ROW = ["topic", "partition", "start", "rule", "skips_backlog"]
 
@@ -32,7 +32,7 @@ def labelled(plans: dict[str, DataFrame]) -> DataFrame:
     UNION ALL SELECT 'latest', topic, "partition", "end", 'end', true FROM bounds""",
 )
 def resume_plan_basic(f: Fixtures) -> DataFrame:
-    bounds = log_bounds(f.log)
+    bounds = pinned_bounds(f.log)
     return labelled({spec: P.resume_plan(bounds, spec) for spec in ("earliest", "latest")})
 
 
@@ -49,7 +49,7 @@ def resume_plan_basic(f: Fixtures) -> DataFrame:
 )
 def resume_committed(f: Fixtures) -> DataFrame:
     """The group never committed partition 2."""
-    bounds, commits = log_bounds(f.log), f.group_commits.where("partition != 2")
+    bounds, commits = pinned_bounds(f.log), f.group_commits.where("partition != 2")
     specs = ("committed-earliest", "committed-latest", "committed-none")
     return labelled({s: P.resume_plan(bounds, s, group_commits=commits) for s in specs})
 
@@ -78,7 +78,7 @@ def resume_timestamp(f: Fixtures) -> DataFrame:
     target, unless it is aimed three days early."""
     log = f.skewed_log.where("phase != 'after-restart'")
     at = log.agg(F.max("record_ts")).first()[0] + 1
-    bounds = log_bounds(log)
+    bounds = pinned_bounds(log)
     spec = f"timestamp:{at}"
     plans = {p: P.resume_plan(bounds, spec, log=log, on_no_match=p) for p in P.NO_MATCH}
     plans["lead"] = P.resume_plan(bounds, spec, log=log, lead_ms=3 * 86_400_000)
@@ -96,7 +96,7 @@ def resume_store(f: Fixtures) -> DataFrame:
     """Stored progress without a row for partition 1."""
     rows = f.progress_rows.where("partition != 1")
     stored = rows.groupBy("topic", "partition").agg(F.max("next_offset").alias("next_offset"))
-    return P.from_stored(log_bounds(f.log), stored, "stored").select(*ROW)
+    return P.from_stored(pinned_bounds(f.log), stored, "stored").select(*ROW)
 
 
 @query(
@@ -107,7 +107,7 @@ def resume_store(f: Fixtures) -> DataFrame:
       WHERE sink_table = 't_a' GROUP BY ALL) USING (topic, "partition")""",
 )
 def resume_max(f: Fixtures) -> DataFrame:
-    return P.resume_plan(log_bounds(f.log), "store-max:t_a", sink=f.half_starved_sink).select(*ROW)
+    return P.resume_plan(pinned_bounds(f.log), "store-max:t_a", sink=f.half_starved_sink).select(*ROW)
 
 
 @query(
@@ -119,7 +119,7 @@ def resume_max(f: Fixtures) -> DataFrame:
       GROUP BY topic, "partition") USING (topic, "partition")""",
 )
 def resume_min_progress(f: Fixtures) -> DataFrame:
-    plan = P.resume_plan(log_bounds(f.log), "store-frontier", progress=f.branch_maxima, job=JOB)
+    plan = P.resume_plan(pinned_bounds(f.log), "store-frontier", progress=f.branch_maxima, job=JOB)
     return plan.select(*ROW)
 
 
@@ -139,7 +139,7 @@ PREFIX_SQL = """branches AS (SELECT unnest(['t_a', 't_b', 't_rare']) AS sink_tab
 
 @query("resume_prefix", "SELECT *, false AS skips_backlog FROM prefix", PREFIX_SQL)
 def resume_prefix(f: Fixtures) -> DataFrame:
-    plan = P.resume_plan(log_bounds(f.log), "store-prefix", progress=f.branch_prefixes, branches=TABLES)
+    plan = P.resume_plan(pinned_bounds(f.log), "store-prefix", progress=f.branch_prefixes, branches=TABLES)
     return plan.select(*ROW)
 
 
@@ -159,7 +159,7 @@ def resume_prefix(f: Fixtures) -> DataFrame:
 def resume_validate(f: Fixtures) -> DataFrame:
     """Records from before the outage have expired; partition 1 would skip to the head, 2 is
     left out, and 7 does not exist."""
-    bounds = log_bounds(f.log.where("phase != 'before-outage'"))
+    bounds = pinned_bounds(f.log.where("phase != 'before-outage'"))
     head = bounds.where("partition = 1").select("end").first()[0]
     vector = {("events", 0): 0, ("events", 1): head, ("events", 7): 5}
     return P.validate_plan(P.resume_plan(bounds, vector), bounds)
@@ -193,7 +193,7 @@ def resume_compare(f: Fixtures) -> DataFrame:
 
 
 def every_plan(f: Fixtures) -> dict[str, DataFrame]:
-    bounds = log_bounds(f.log)
+    bounds = pinned_bounds(f.log)
     given = {
         "earliest": {},
         "latest": {},

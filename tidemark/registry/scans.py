@@ -41,7 +41,8 @@ def bounded_replay(f: Fixtures) -> DataFrame:
     """The outage's records: from the commits to where the log stood at the restart."""
     starts = collect_vector(f.group_commits, "current_offset")
     ends = collect_vector(logs.log_bounds(f.log.where("phase != 'after-restart'")), "end")
-    return logs.read_range(f.log, starts, ends, logs.log_bounds(f.log)).select(*PLACE, "event_id")
+    bounds = logs.pinned_bounds(f.log)
+    return logs.read_range(f.log, starts, ends, bounds).select(*PLACE, "event_id")
 
 
 @query("ledger_scan", "SELECT event_id, produced_at, route, phase, record_ts FROM ledger")

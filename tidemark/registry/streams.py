@@ -48,13 +48,10 @@ COPIES = f"SELECT {STORED_SQL}, count(*) AS copies FROM clean GROUP BY ALL"
 def stream_direct(f: Fixtures) -> DataFrame:
     """Data, rejects and progress of one run straight from the events file."""
     root = work_dir(f.spark, "direct")
-    source = (
-        f.spark.readStream.schema(f.spark.read.parquet(f"{f.sf_dir}/events.parquet").schema)
-        .option("pathGlobFilter", "events.parquet")
-        .parquet(f.sf_dir)
-        .select("event_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("produced_at"))
-    )
-    log = f.as_log(f.as_ledger(source)).select(*LOG)
+    # A pattern, because a streaming source wants a folder or a pattern, not a file.
+    schema = f.spark.read.parquet(f"{f.sf_dir}/events.parquet").schema
+    raw = f.spark.readStream.schema(schema).parquet(f"{f.sf_dir}/events.parque[t]")
+    log = f.as_log(f.as_ledger(f.of_events(raw))).select(*LOG)
     delivery = deliver(f, log, root, "checkpoint", rules=rules.every_nth_is_bad(10))
     store = delivery.store
     data = positions_of(store.read_data(f.spark)).select(
@@ -76,8 +73,8 @@ def stream_restart(f: Fixtures) -> DataFrame:
     root = work_dir(f.spark, "restart")
     for phases in (["before-outage"], ["during-outage", "after-restart"]):
         write_log(f, f"{root}/log", phases)
-        log = logs.topic_log(f.spark, f"{root}/log", streaming=True, max_files_per_trigger=2)
-        delivery = deliver(f, log, root, "checkpoint", gaps_allowed=True)
+        log = logs.topic_log(f.spark, f"{root}/log", streaming=True)
+        delivery = deliver(f, log, root, "checkpoint")
     return copies(delivery.store.read_data(f.spark))
 
 
@@ -90,7 +87,7 @@ def stream_restart_from_store(f: Fixtures) -> DataFrame:
     log = logs.topic_log(f.spark, f"{root}/log", streaming=True)
     first = deliver(f, log, root, "checkpoint-0", mode=T.IF_ABSENT)
     write_log(f, f"{root}/log", ["during-outage", "after-restart"])
-    bounds = logs.log_bounds(logs.topic_log(f.spark, f"{root}/log"))
+    bounds = logs.pinned_bounds(logs.topic_log(f.spark, f"{root}/log"))
     plan = P.from_stored(bounds, first.store.read_progress(f.spark), "stored")
     log = logs.stream_from(
         logs.topic_log(f.spark, f"{root}/log", streaming=True), P.start_vector(plan, bounds)

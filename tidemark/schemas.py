@@ -42,11 +42,13 @@ SINK = T.StructType(
     ]
 )
 
+# Everything in [from_offset, next_offset) of a partition is accounted for.
 PROGRESS = T.StructType(
     [
         T.StructField("job", T.StringType()),
         T.StructField("topic", T.StringType()),
         T.StructField("partition", T.IntegerType()),
+        T.StructField("from_offset", T.LongType()),
         T.StructField("next_offset", T.LongType()),
         T.StructField("rows_written", T.LongType()),
         T.StructField("version", T.LongType()),

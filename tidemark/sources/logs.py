@@ -13,6 +13,7 @@ from tidemark.sources.vectors import (
     between,
     collect_vector,
     offsets_json,
+    pin_small,
 )
 
 
@@ -68,6 +69,11 @@ def log_bounds(log: DataFrame) -> DataFrame:
     )
 
 
+def pinned_bounds(log: DataFrame) -> DataFrame:
+    """The log's bounds, found by one scan and held as one row per partition."""
+    return pin_small(log_bounds(log))
+
+
 def read_range(
     log: DataFrame, starts: Vector, ends: Vector, bounds: DataFrame | None = None
 ) -> DataFrame:

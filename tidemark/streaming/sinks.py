@@ -150,32 +150,43 @@ def stored_progress(progress: DataFrame, job: str) -> DataFrame:
 
 
 def check_progress(batch: DataFrame, stored: DataFrame, gaps_allowed: bool = False) -> DataFrame:
-    """K6/K7: sets a batch against the stored next_offset of each partition.
+    """K6/K7: sets a batch against the stored progress of each partition.
 
     ``first`` without a stored row, ``ok`` if adjacent, ``overlap`` if it starts earlier
-    (only its new suffix counts), ``replayed`` if it brings nothing new, ``gap`` if offsets
-    between are absent, before the batch or inside it. With ``gaps_allowed`` holes inside
-    the log are legal and only a start past next_offset is a gap.
+    (only its new suffix counts), ``replayed`` if it brings nothing new. ``gap`` if offsets
+    are absent before the batch or inside it. ``early`` if it reaches back before the range
+    that progress covers, as a log read out of order would. With ``gaps_allowed`` holes
+    inside the log are legal and only a start past next_offset is a gap.
     """
     expected = F.col("next_offset")
     reached = F.col("last_offset") + 1
     hole = F.lit(False) if gaps_allowed else (reached - F.col("first_offset") != F.col("offsets"))
+    if "from_offset" not in stored.columns:
+        stored = stored.withColumn("from_offset", F.lit(None).cast("bigint"))
     ranges = batch_ranges(batch).join(
-        stored.select(*PARTITION, "next_offset"), PARTITION, "left"
+        stored.select(*PARTITION, "next_offset", "from_offset"), PARTITION, "left"
     )
-    return ranges.withColumn(
-        "status",
+    status = (
         F.when(F.col("first_offset") > expected, "gap")
         .when(hole, "gap")
+        .when(F.col("first_offset") < F.col("from_offset"), "early")
         .when(expected.isNull(), "first")
         .when(reached <= expected, "replayed")
         .when(F.col("first_offset") < expected, "overlap")
-        .otherwise("ok"),
-    ).withColumn("new_next", F.greatest(reached, expected))
+        .otherwise("ok")
+    )
+    return ranges.withColumns(
+        {
+            "status": status,
+            "new_next": F.greatest(reached, expected),
+            "from_offset": F.least("first_offset", "from_offset"),
+        }
+    )
 
 
 def guard(checked: DataFrame) -> Vector:
-    """Raises on a gap; else the stored next_offset of the partitions the batch overlaps.
+    """Raises on a batch that progress cannot take; else the stored next_offset of the
+    partitions the batch overlaps.
 
     Collects one row per partition of the batch, with the same bound as a start vector.
     """
@@ -184,12 +195,12 @@ def guard(checked: DataFrame) -> Vector:
     ).collect()
     if len(rows) > MAX_PARTITIONS:
         raise ResumeError(f"a batch spans more than {MAX_PARTITIONS} partitions")
-    gaps = [r for r in rows if r.status == "gap"]
+    gaps = [r for r in rows if r.status in ("gap", "early")]
     if gaps:
         r = gaps[0]
         raise OffsetGap(
-            f"{r.topic}-{r.partition}: batch starts at {r.first_offset} or has a hole, "
-            f"expected {r.next_offset} ({len(gaps)} partitions in all)"
+            f"{r.topic}-{r.partition}: {r.status}: batch starts at {r.first_offset}, "
+            f"expected {r.next_offset} without a hole ({len(gaps)} partitions in all)"
         )
     return {
         (r.topic, r.partition): r.next_offset for r in rows if r.status in ("overlap", "replayed")
@@ -206,6 +217,7 @@ def progress_rows(checked: DataFrame, job: str, version: int, now: Column) -> Da
     return checked.select(
         F.lit(job).alias("job"),
         *PARTITION,
+        "from_offset",
         F.col("new_next").alias("next_offset"),
         F.col("records").alias("rows_written"),
         F.lit(version).cast("bigint").alias("version"),
