@@ -14,11 +14,12 @@ from pyspark.sql.streaming import StreamingQuery
 from tidemark.functions.routes import route_filter
 from tidemark.functions.rules import Rule, dispose
 from tidemark.functions.wire import decode, encode, events_only
-from tidemark.schemas import COMMIT_AUDIT, SINK, TOPIC_LOG
+from tidemark.schemas import COMMIT_AUDIT, PROGRESS, SINK, TOPIC_LOG
 from tidemark.sources.logs import log_bounds
 from tidemark.streaming import sinks
 from tidemark.streaming.places import read_table
 
+ENDS = T.StructType([T.StructField("partition", T.IntegerType()), T.StructField("end", T.LongType())])
 APPEND, ATOMIC, IF_ABSENT = "append", "batch-atomic", "insert-if-absent"
 
 
@@ -65,7 +66,8 @@ class Delivery:
     ``run`` names the checkpoint the job runs on; use another name with another checkpoint.
     ``guarded`` refuses batches that do not continue the stored progress. It needs batches
     that hold each partition in offset order, as Kafka gives them; a topic-log table does so
-    if every micro-batch takes whole appends (no file limit). ``hook``
+    if every micro-batch takes whole appends (no file limit). ``cache`` keeps a decoded
+    batch on the executors between its writes; leave it off where batches are large. ``hook``
     may change the delivered rows. ``before_progress`` runs between data and progress, for
     tests of a crash there.
     """
@@ -78,6 +80,7 @@ class Delivery:
     drop_route: str | None = None
     guarded: bool = True
     gaps_allowed: bool = False
+    cache: bool = False
     clock: Callable[[], Column] = F.current_timestamp
     hook: Callable[[DataFrame], DataFrame] | None = None
     before_progress: Callable[[int], None] | None = None
@@ -87,45 +90,48 @@ class Delivery:
             raise ValueError(f"unknown sink mode {self.mode!r}")
 
     def write(self, batch: DataFrame, batch_id: int) -> None:
-        """One micro-batch: judge, guard, rejects, data, then progress and audit."""
+        """One micro-batch: judge, guard, rejects, data, then audit and progress."""
         spark = batch.sparkSession
         judged = dispose(decode(batch), self.rules, self.drop_route, self.route_map)
-        judged = judged.persist(StorageLevel.MEMORY_AND_DISK)
+        if self.cache:
+            judged = judged.persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            checked, version = self._check(spark, judged, batch_id)
+            stored = self._stored(spark, batch_id)
+            # One row per partition; read once, since the guard and two tables use it.
+            checked = sinks.pin_small(sinks.check_progress(batch, stored, self.gaps_allowed))
             fresh = judged
             if self.guarded:
                 overlaps = sinks.guard(checked)
                 # Where offsets may jump, progress does not prove that an earlier offset was
                 # seen, so repeats go to the sink; let it be insert-if-absent.
                 fresh = judged if self.gaps_allowed else sinks.new_suffix(judged, overlaps)
-            sinks.write_attempt(
-                sinks.split_rejects(fresh, self.store.job, self.clock()),
-                self.store.rejects, self.run, batch_id,
-            )
+            bad = sinks.split_rejects(fresh, self.store.job, self.clock())
+            sinks.write_attempt(bad, self.store.rejects, self.run, batch_id)
             rows = sinks.delivered_rows(fresh)
             self._store(rows if self.hook is None else self.hook(rows), batch_id)
             if self.before_progress is not None:
                 self.before_progress(batch_id)
             notes = sinks.audit_rows(checked, self.store.job, self.clock())
-            sinks.write_attempt(notes, self.store.audit, self.run, batch_id)
-            steps = sinks.progress_rows(checked, self.store.job, version, self.clock())
-            sinks.write_attempt(steps, self.store.progress, self.run, batch_id)
+            sinks.write_attempt(notes.coalesce(1), self.store.audit, self.run, batch_id)
+            steps = sinks.progress_rows(checked, stored, self.store.job, self.clock())
+            sinks.write_attempt(steps.coalesce(1), self.store.progress, self.run, batch_id)
         finally:
-            judged.unpersist()
-
-    def _check(
-        self, spark: SparkSession, judged: DataFrame, batch_id: int
-    ) -> tuple[DataFrame, int]:
-        """The batch against progress as it was before any earlier attempt at this batch."""
-        all_rows = sinks.read_progress_table(spark, self.store.progress)
-        own = (F.col("run") == self.run) & (F.col("batch_id") == batch_id)
-        others = all_rows.where((F.col("job") == self.store.job) & ~own)
-        last = others.agg(F.coalesce(F.max("version"), F.lit(0))).first()[0]
-        stored = sinks.stored_progress(others, self.store.job)
-        rows = sinks.check_progress(judged, stored, self.gaps_allowed)
-        # One row per partition; read once, since both the guard and two tables use it.
-        return sinks.pin_small(rows), last + 1
+            if self.cache:
+                judged.unpersist()
+
+    def _stored(self, spark: SparkSession, batch_id: int) -> DataFrame:
+        """Progress before this batch, whatever earlier attempts at it left behind.
+
+        A run's first batch looks at what other runs left; the others read the batch before.
+        """
+        if batch_id > 0:
+            rows = sinks.read_attempt(
+                spark, self.store.progress, PROGRESS, self.run, batch_id - 1
+            )
+        else:
+            every = sinks.read_progress_table(spark, self.store.progress)
+            rows = every.where(F.col("run") != self.run).select(*PROGRESS.names)
+        return sinks.pin_small(sinks.stored_progress(rows, self.store.job))
 
     def _store(self, rows: DataFrame, batch_id: int) -> None:
         if self.mode == ATOMIC:
@@ -177,11 +183,27 @@ class Router:
     def write(self, batch: DataFrame, batch_id: int) -> None:
         """One micro-batch of the hop; malformed records stay behind for the audit."""
         spark = batch.sparkSession
-        own = (F.col("run") == self.run) & (F.col("batch_id") == batch_id)
-        ends = log_bounds(self.read(spark).where(~own))
+        ends = self._ends(spark, batch_id)
         events = encode(route_filter(events_only(decode(batch)), self.drop_route))
         placed = sinks.place_in_topic(events, self.topic, self.partitions, ends, self.target)
         sinks.write_topic(placed, self.path, self.run, batch_id)
+        written = sinks.read_attempt(spark, self.path, TOPIC_LOG, self.run, batch_id)
+        reached = (
+            log_bounds(written).select("partition", "end").unionByName(ends)
+            .groupBy("partition").agg(F.max("end").alias("end"))
+        )
+        sinks.write_attempt(reached.coalesce(1), f"{self.path}-ends", self.run, batch_id)
+
+    def _ends(self, spark: SparkSession, batch_id: int) -> DataFrame:
+        """Where the hop's topic ended before this batch, one row per partition."""
+        path = f"{self.path}-ends"
+        if batch_id > 0:
+            rows = sinks.read_attempt(spark, path, ENDS, self.run, batch_id - 1)
+        else:
+            every = sinks.read_attempts(spark, path, ENDS)
+            others = every.where(F.col("run") != self.run)
+            rows = others.groupBy("partition").agg(F.max("end").alias("end"))
+        return sinks.pin_small(rows)
 
 
 def run_router(

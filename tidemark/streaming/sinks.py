@@ -26,10 +26,10 @@ from tidemark.streaming.places import ensure_table, read_table
 
 # Event ids per storage range of a table that takes inserts by id.
 ID_RANGE = 1 << 24
-# Touched ranges up to here are broadcast, so that the target scan prunes to them.
+# Touched ranges up to here become a partition filter on the target.
 MAX_RANGES = 10_000
 
-SINK_COLUMNS = [field.name for field in SINK]
+SINK_COLUMNS = SINK.names
 ATTEMPT = T.StructType([T.StructField("run", T.StringType()), T.StructField("batch_id", T.LongType())])
 ATTEMPT_KEYS = ["run", "batch_id"]
 
@@ -85,17 +85,32 @@ def id_range(width: int = ID_RANGE) -> Column:
 def insert_if_absent(rows: DataFrame, path: str, width: int = ID_RANGE) -> None:
     """K2: stores events whose (table, id) is not stored yet.
 
-    The table is laid out by table and id range; only ranges the batch touches are read.
+    The table is laid out by table and id range, and the ranges a batch touches become a
+    partition filter on it. A batch that touches more than ``MAX_RANGES`` is matched against
+    the table without that filter. New rows are rebalanced by folder before the write, which
+    bounds the number of files and splits a large folder over several tasks.
     """
     spark = rows.sparkSession
     layout = ["sink_table", "id_range"]
     schema = T.StructType([*SINK.fields, T.StructField("id_range", T.LongType())])
     ranged = rows.withColumn("id_range", id_range(width))
-    touched = pin_small(ranged.select(*layout).distinct(), MAX_RANGES)
+    touched = ranged.select(*layout).distinct().limit(MAX_RANGES + 1).collect()
     target = read_table(spark, path, schema, layout)
-    stored = target.select(*layout, "event_id").join(touched, layout, "left_semi")
-    fresh = absent_rows(ranged, stored, [*layout, "event_id"])
-    fresh.select(*SINK_COLUMNS, "id_range").write.mode("append").partitionBy(*layout).parquet(path)
+    if len(touched) <= MAX_RANGES:
+        by_table: dict[str, list[int]] = {}
+        for table, number in touched:
+            by_table.setdefault(table, []).append(number)
+        in_reach = F.lit(False)
+        for table, numbers in by_table.items():
+            in_reach |= (F.col("sink_table") == table) & F.col("id_range").isin(numbers)
+        target = target.where(in_reach)
+    fresh = absent_rows(ranged, target, [*layout, "event_id"]).select(*SINK_COLUMNS, "id_range")
+    (
+        fresh.hint("rebalance", *layout)
+        .write.mode("append")
+        .partitionBy(*layout)
+        .parquet(path)
+    )
 
 
 def split_rejects(disposed: DataFrame, job: str, now: Column) -> DataFrame:
@@ -212,17 +227,26 @@ def new_suffix(batch: DataFrame, overlaps: Vector) -> DataFrame:
     return at_or_after(batch, overlaps)
 
 
-def progress_rows(checked: DataFrame, job: str, version: int, now: Column) -> DataFrame:
-    """The progress rows a batch adds."""
-    return checked.select(
+def progress_rows(
+    checked: DataFrame, stored: DataFrame, job: str, now: Column
+) -> DataFrame:
+    """Where the job stands after a batch: one row for every partition it ever read.
+
+    Partitions the batch did not touch keep their row, so the next batch needs this one only.
+    """
+    advanced = checked.join(
+        stored.select(*PARTITION, F.col("version").alias("_last")), PARTITION, "left"
+    ).select(
         F.lit(job).alias("job"),
         *PARTITION,
         "from_offset",
         F.col("new_next").alias("next_offset"),
         F.col("records").alias("rows_written"),
-        F.lit(version).cast("bigint").alias("version"),
+        (F.coalesce("_last", F.lit(0)) + 1).cast("bigint").alias("version"),
         now.alias("updated_at"),
     )
+    idle = stored.join(checked.select(*PARTITION), PARTITION, "left_anti")
+    return advanced.unionByName(idle.select(*advanced.columns))
 
 
 def audit_rows(checked: DataFrame, job: str, now: Column) -> DataFrame:
@@ -309,8 +333,14 @@ def place_in_topic(
 
 def write_topic(placed: DataFrame, path: str, run: str, batch_id: int) -> None:
     """Adds a batch to a topic-log table."""
-    columns = [field.name for field in TOPIC_LOG]
-    write_attempt(placed.select(*columns), path, run, batch_id)
+    write_attempt(placed.select(*TOPIC_LOG.names), path, run, batch_id)
+
+
+def read_attempt(
+    spark: SparkSession, path: str, schema: T.StructType, run: str, batch_id: int
+) -> DataFrame:
+    """A side table's rows of one batch; fails if that batch was never written."""
+    return spark.read.schema(schema).parquet(attempt_path(path, run, batch_id))
 
 
 def dual_write(rows: DataFrame, old_path: str, new_path: str) -> None:
