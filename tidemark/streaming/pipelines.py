@@ -249,8 +249,11 @@ def run_two_hop(
 
 def dedup_stream(events: DataFrame, key: list[str], clock: str, delay: str) -> DataFrame:
     """T5: drops repeats of a key that arrive within ``delay`` of the first by the clock (in
-    milliseconds); state older than that is let go. For repeats at any distance use the
-    insert-if-absent sink."""
+    milliseconds); state older than that is let go.
+
+    Spark drops a record whose clock lies more than ``delay`` behind the newest one seen, so
+    give it a broker clock, not a producer's. For repeats at any distance, or clocks that
+    cannot be trusted, use the insert-if-absent sink."""
     return (
         events.withColumn("_at", F.timestamp_millis(F.col(clock)))
         .withWatermark("_at", delay)
