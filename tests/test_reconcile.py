@@ -187,3 +187,18 @@ def test_phases_routes_and_surplus(spark):
     twice = df.unionByName(df.where("event_id < 3"))
     row = R.distinct_since(twice, "produced_at", 2).first()
     assert (row["rows"], row.distinct_ids, row.surplus) == (6, 5, 1)
+
+
+def test_command_line_audit(spark, tmp_path):
+    from tidemark import verify
+
+    whole = [("t_b", 1), ("t_a", 2), ("t_b", 3), ("t_a", 4), ("t_rare", 500)]
+    ledger(spark, BASIC).withColumn("record_ts", F.col("produced_at")).write.json(f"{tmp_path}/ledger")
+    for name, rows, code in (("good", whole, 0), ("bad", whole[1:], 1)):
+        sink(spark, rows).write.partitionBy("sink_table").parquet(f"{tmp_path}/{name}")
+        arguments = ["--ledger", f"{tmp_path}/ledger", "--sink", f"{tmp_path}/{name}",
+                     "--out", f"{tmp_path}/{name}-out", "--scenario", "S"]
+        assert verify.main(arguments) == code
+        assert verify.main([*arguments, "--expect", "loss"]) == 1 - code
+    report = {r.sink_table: r for r in spark.read.json(f"{tmp_path}/bad-out").collect()}
+    assert report["t_b"].missing_sample == [1] and report["t_a"].missing_count == 0

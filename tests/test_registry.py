@@ -35,4 +35,4 @@ def test_query_equals_its_sql(spark, db, name):
 
 def test_driver_entry_points(spark):
     assert driver.queries().keys() == driver.oracle_sql().keys()
-    assert driver.entry(spark).count() == 16
+    assert driver.entry(spark).count() == 24

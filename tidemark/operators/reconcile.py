@@ -195,41 +195,49 @@ def scenario_summary(
 
     ``ledgers`` and ``sinks`` carry a scenario column; ``specs`` is (scenario, expect,
     unique_required). All scenarios and tables share one shuffle: every event becomes one
-    row holding a pair of counters per table.
+    row with the tables that should hold it as bits, and its copies per table.
     """
     tables = tables or TABLES
+    if len(tables) > 62:
+        raise ValueError("more than 62 tables; audit them in several calls")
     keys = ["scenario", "event_id"]
-    ledger = map_routes(ledgers, route_map)
+    bit = F.lit(0).cast("bigint")
+    for i, table in enumerate(tables):
+        bit = F.when(F.col("sink_table") == table, F.lit(1 << i).cast("bigint")).otherwise(bit)
     sink = sinks.where(F.col("sink_table").isin(tables))
     in_outage = (F.col("phase") == DURING).cast("int")
-    tagged = ledger.select(
-        *keys, "sink_table", F.lit(1).alias("_e"), F.lit(0).alias("_a"), in_outage.alias("_o")
-    ).unionByName(
-        sink.select(
-            *keys, "sink_table", F.lit(0).alias("_e"), F.lit(1).alias("_a"), F.lit(0).alias("_o")
+    tagged = (
+        map_routes(ledgers, route_map)
+        .select(*keys, bit.alias("_wanted"), F.lit(None).cast("string").alias("_at"), in_outage.alias("_o"))
+        .unionByName(
+            sink.select(
+                *keys, F.lit(0).cast("bigint").alias("_wanted"), F.col("sink_table").alias("_at"),
+                F.lit(0).alias("_o"),
+            )
         )
-    )
+    )
+    stored = [f"_a{i}" for i in range(len(tables))]
     per_id = tagged.groupBy(*keys).agg(
         F.max("_o").alias("_o"),
-        F.sum("_a").alias("_held"),
-        *[F.sum(F.when(F.col("sink_table") == t, F.col("_e")).otherwise(0)).alias(f"_e{i}")
-          for i, t in enumerate(tables)],
-        *[F.sum(F.when(F.col("sink_table") == t, F.col("_a")).otherwise(0)).alias(f"_a{i}")
-          for i, t in enumerate(tables)],
-    )
+        F.bit_or("_wanted").alias("_wanted"),
+        *[F.count_if(F.col("_at") == table).alias(a) for a, table in zip(stored, tables)],
+    )
 
     def over_tables(kind) -> Column:
-        hits = [kind(F.col(f"_e{i}"), F.col(f"_a{i}")).cast("bigint") for i in range(len(tables))]
+        hits = [
+            kind(F.col("_wanted").bitwiseAND(F.lit(1 << i)) != 0, F.col(a)).cast("bigint")
+            for i, a in enumerate(stored)
+        ]
         return F.sum(reduce(lambda x, y: x + y, hits))
 
-    asked, held = F.col("_o") == 1, F.col("_held") > 0
+    asked, held = F.col("_o") == 1, reduce(lambda x, y: x | y, [F.col(a) > 0 for a in stored])
     per_scenario = per_id.groupBy("scenario").agg(
         F.count_if(asked).alias("produced"),
         F.count_if(asked & held).alias("saved"),
         F.count_if(asked & ~held).alias("lost"),
-        over_tables(lambda e, a: (e > 0) & (a == 0)).alias("missing"),
-        over_tables(lambda e, a: a > 1).alias("duplicate"),
-        over_tables(lambda e, a: (e == 0) & (a > 0)).alias("extra"),
+        over_tables(lambda wanted, a: wanted & (a == 0)).alias("missing"),
+        over_tables(lambda wanted, a: a > 1).alias("duplicate"),
+        over_tables(lambda wanted, a: ~wanted & (a > 0)).alias("extra"),
     )
     counts = ["produced", "saved", "lost", "missing", "duplicate", "extra"]
     return specs.join(per_scenario, "scenario", "left").select(
