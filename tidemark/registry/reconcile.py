@@ -113,8 +113,8 @@ COPIES = " ".join(f"WHEN '{s.name}' THEN {s.copies}" for s in scenarios.SCENARIO
     f"""specs AS (SELECT * FROM (VALUES {SPECS}) v(scenario, expect, unique_required)),
     outcomes AS (
       SELECT scenario, phase, event_id, sink_table,
-        CASE WHEN sink_table IS NULL THEN 0 ELSE CASE scenario {COPIES} END END AS stored
-      FROM log, specs)""",
+        sum(CASE WHEN sink_table IS NULL THEN 0 ELSE CASE scenario {COPIES} END END) AS stored
+      FROM log, specs GROUP BY scenario, phase, event_id, sink_table)""",
 )
 def scenario_summary(f: Fixtures) -> DataFrame:
     routed = R.expected_rows(f.ledger)
@@ -217,9 +217,11 @@ def dup_cause(f: Fixtures) -> DataFrame:
         count(*) FILTER (WHERE s2 > 0 AND s1 = 0), CAST(sum(greatest(s2 - 1, 0)) AS BIGINT) FROM hops
       UNION ALL SELECT 3, 'sink', count(*) FILTER (WHERE s3 > 0), count(*) FILTER (WHERE s2 > 0 AND s3 = 0),
         count(*) FILTER (WHERE s3 > 0 AND s2 = 0), CAST(sum(greatest(s3 - 1, 0)) AS BIGINT) FROM hops)""",
-    """hops AS (SELECT event_id, 1 AS s0, CASE WHEN event_id % 37 <> 0 THEN 1 ELSE 0 END AS s1,
-      CASE WHEN event_id % 37 = 0 OR event_id % 43 = 0 THEN 0 WHEN phase = 'before-outage' THEN 2 ELSE 1 END AS s2,
-      CASE WHEN sink_table IS NULL OR event_id % 37 = 0 THEN 0 ELSE 1 END AS s3 FROM log)""",
+    """hops AS (SELECT event_id, count(*) AS s0, sum(CASE WHEN event_id % 37 <> 0 THEN 1 ELSE 0 END) AS s1,
+      sum(CASE WHEN event_id % 37 = 0 OR event_id % 43 = 0 THEN 0 WHEN phase = 'before-outage' THEN 2
+        ELSE 1 END) AS s2,
+      sum(CASE WHEN sink_table IS NULL OR event_id % 37 = 0 THEN 0 ELSE 1 END) AS s3
+      FROM log GROUP BY event_id)""",
 )
 def hop_reconcile(f: Fixtures) -> DataFrame:
     """Topic 1 lost every 37th event; the hop lost every 43rd and sent the time before the
