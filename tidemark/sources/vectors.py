@@ -33,8 +33,8 @@ def pin_small(df: DataFrame, max_rows: int = MAX_PARTITIONS) -> DataFrame:
     Reads one row past the bound. A larger frame comes back as it was, without a hint, so
     the join falls to a shuffle with skew handling instead.
     """
-    rows = df.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
+    rows = df.limit(max_rows + 1).toArrow()
+    if rows.num_rows > max_rows:
         return df
     return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
 
