@@ -4,29 +4,25 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """The rows of df, written once to the cluster's checkpoint folder and read from there.
-
-    The folder is the session's spark.checkpoint.dir. Only where that is unset, as in tests, a
-    temporary one is taken.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The session's spark.checkpoint.dir. Only where that is unset, as in tests, a temporary folder."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-"))
-    return df.checkpoint()
+    return context.getCheckpointDir()
 
 
-def text_or_empty(column: str = "text") -> Column:
-    return F.coalesce(F.col(column), F.lit(""))
+def settled(df: DataFrame) -> DataFrame:
+    """The rows of df, written once to the shared folder and read from there."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
 
 
 def pieces(texts, limit: int = 4_000_000):

@@ -27,6 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from tidemark.llm.common import settled
 from tidemark.llm.components import connected
@@ -55,15 +56,20 @@ def simhash(text: str | None, shingle: int = SHINGLE) -> int:
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, fp (the fingerprint's bits as a long): one row for each row of docs."""
+def fingerprint(shingle: int = SHINGLE):
+    """A column function: the fingerprint of a whole text, its bits as a long."""
 
     @F.pandas_udf(T.LongType())
     def fp(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in texts:
             yield pd.Series(np.array([simhash(t, shingle) for t in batch], np.uint64).view(np.int64))
 
-    return docs.select("doc_id", fp("text").alias("fp"))
+    return fp
+
+
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """doc_id, fp: one row for each row of docs."""
+    return docs.select("doc_id", fingerprint(shingle)("text").alias("fp"))
 
 
 def walk(keys: np.ndarray, groups: np.ndarray, depth: int, budget: int) -> tuple[np.ndarray, np.ndarray]:
@@ -199,12 +205,37 @@ def near_links(distinct: DataFrame, budget: int = MAX_BITS, leaf: int = LEAF) ->
         rows = settled(rows.join(heavy, ["path", "head"], "left_semi").select("fp", "key", "path"))
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, budget: int = MAX_BITS, leaf: int = LEAF) -> DataFrame:
-    """doc_id, fp, component_id: the smallest doc_id reachable over links of at most `budget` bits."""
+def _classes(docs: DataFrame, shingle: int, budget: int, leaf: int) -> tuple[DataFrame, DataFrame]:
+    """Fingerprints of all rows (doc_id, fp), and fp, root, component_id of each different one."""
     prints = settled(fingerprints(docs, shingle))
     least = settled(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = connected(near_links(least.select("fp"), budget, leaf)).withColumnsRenamed({"node": "fp"})
     rooted = least.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = rooted.join(smallest, "root").select("fp", "component_id")
+    return prints, rooted.join(smallest, "root").select("fp", "root", "component_id")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, budget: int = MAX_BITS, leaf: int = LEAF) -> DataFrame:
+    """doc_id, fp, component_id: the smallest doc_id reachable over links of at most `budget` bits."""
+    prints, classes = _classes(docs, shingle, budget, leaf)
     return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
+
+
+def keep_one(docs: DataFrame, shingle: int = SHINGLE, budget: int = MAX_BITS, leaf: int = LEAF) -> DataFrame:
+    """The rows of docs that stay, all columns: of each component the one with the smallest doc_id.
+
+    Among rows of that doc_id the smallest fingerprint, then the smallest text decides, and of equal
+    rows one stays. Rows without doc_id can't be told apart by it and all stay.
+    """
+    prints, classes = _classes(docs, shingle, budget, leaf)
+    rows = settled(prints.where("doc_id is not null").join(classes, "fp").select("doc_id", "fp", "root"))
+    first = rows.groupBy("root").agg(F.min(F.struct("doc_id", "fp")).alias("s")).select("s.doc_id", "s.fp")
+    again = settled(rows.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_id")))
+    gone = settled(rows.join(first, ["doc_id", "fp"], "left_anti").select(F.col("doc_id").alias("_id")).distinct())
+    alone = docs.join(gone.union(again), F.col("doc_id") == F.col("_id"), "left_anti")
+    # Only rows that share their doc_id are looked at one by one.
+    shared = docs.join(again, F.col("doc_id") == F.col("_id"), "left_semi").withColumn("_fp", fingerprint(shingle)("text"))
+    shared = shared.join(first.withColumnsRenamed({"doc_id": "_id", "fp": "_f"}), F.expr("doc_id = _id and _fp = _f"), "left_semi")
+    order = Window.partitionBy("doc_id", "_fp").orderBy("text")
+    one = shared.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n", "_fp")
+    return alone.unionByName(one)
