@@ -258,12 +258,12 @@ def fit(docs: DataFrame, labels: DataFrame, most_toxic: int = MOST_TOXIC, most_c
     x, y = np.array([r["x"] for r in seen]), np.array([r["label"] for r in seen], float)
     weight = np.where(y > 0, total[1] / y.sum(), total[0] / (1 - y).sum())
     weight /= weight.mean()
-    held = np.array([r["part"] for r in seen]) == 0  # the calibration sees rows that the trees have not
-    if min(y[held].sum(), (1 - y[held]).sum()) < 5 or min(y[~held].sum(), (1 - y[~held]).sum()) < 5:
-        held = np.zeros(len(y), bool)
-    trees = Trees().fit(x[~held], y[~held], weight[~held])
-    on = held if held.any() else ~held
-    return Model(lexicon, share, trees, isotonic(trees.raw(x[on]), y[on], weight[on]))
+    part = np.array([r["part"] for r in seen])
+    raw = np.empty(len(y))
+    for k in range(4):  # the calibration sees scores of trees that have not seen the row
+        own = part == k
+        raw[own] = Trees().fit(x[~own], y[~own], weight[~own]).raw(x[own]) if own.any() and not own.all() else 0.0
+    return Model(lexicon, share, Trees().fit(x, y, weight), isotonic(raw, y, weight))
 
 
 def score(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
