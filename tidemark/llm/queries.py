@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontam, hilbert, packing, pii, quality, simhash, toxicity
+from tidemark.llm import decontam, hilbert, licenses, packing, pii, quality, simhash, toxicity
 from tidemark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -94,3 +94,42 @@ def op9_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op3_toxicity_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    names = F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["template"])))
+    best = F.coalesce(F.array_max(F.transform("matches", lambda m: m["share"])), F.lit(0.0))
+    return found.select("doc_id", F.size(names).cast("long").alias("n_licenses"), F.array_join(names, ",").alias("licenses"), best.alias("best_share"))
+
+
+def _license_sql() -> str:
+    """All windows of all texts against the templates, by counting shared shingles."""
+    values = ", ".join(f"('{name}', '{text}')" for name, text in licenses.TEMPLATES.items())
+    words = "regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+')"
+    return f"""
+WITH t AS (SELECT name, {words} AS w FROM (VALUES {values}) AS v(name, text)),
+tg AS (SELECT DISTINCT name, array_to_string(w[i:i + 4], ' ') AS gram FROM (SELECT name, w, unnest(generate_series(1, len(w) - 4)) AS i FROM t)),
+ts AS (SELECT name, count(*) AS m FROM tg GROUP BY 1),
+sz AS (
+  SELECT name, m, CASE WHEN m <= 2 THEN 2 ELSE CAST(pow(2, ceil(log2(2 * (m - 1)))) AS BIGINT) END AS size FROM ts),
+d AS (SELECT doc_id, {words} AS w FROM documents),
+dg AS (
+  SELECT doc_id, i - 1 AS p, array_to_string(w[i:i + 4], ' ') AS gram
+  FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 4)) AS i FROM d WHERE len(w) >= 5)),
+hit AS (SELECT doc_id, p, gram, name, m, size FROM dg JOIN tg USING (gram) JOIN sz USING (name)),
+win AS (
+  SELECT doc_id, name, m, gram, p - p % (size // 2) AS start FROM hit
+  UNION ALL
+  SELECT doc_id, name, m, gram, p - p % (size // 2) - size // 2 FROM hit WHERE p - p % (size // 2) > 0),
+ok AS (
+  SELECT doc_id, name, max(share) AS share FROM (
+    SELECT doc_id, name, start, count(DISTINCT gram) / any_value(m) AS share FROM win GROUP BY ALL) WHERE share >= 0.8 GROUP BY 1, 2),
+r AS (SELECT doc_id, count(*) AS n, string_agg(name, ',' ORDER BY name) AS names, max(share) AS best FROM ok GROUP BY 1)
+SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_licenses, coalesce(names, '') AS licenses, CAST(coalesce(best, 0) AS DOUBLE) AS best_share
+FROM d LEFT JOIN r USING (doc_id)
+"""
+
+
+ORACLES["op2_license_scan"] = _license_sql()
