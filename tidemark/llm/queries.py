@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontam, hilbert, licenses, packing, pii, quality, simhash, toxicity
+from tidemark.llm import decontam, hilbert, licenses, packing, pii, quality, repeats, simhash, toxicity
 from tidemark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -133,3 +133,13 @@ FROM d LEFT JOIN r USING (doc_id)
 
 
 ORACLES["op2_license_scan"] = _license_sql()
+
+
+@query
+def op4_prefix_free_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.remove_repeats(table(spark, sf_dir, "documents"), span=200)
+    n_removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, r: n + r["end"] - r["start"])
+    return found.select(
+        "doc_id", "n_bytes", n_removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
