@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontam, hilbert, licenses, packing, pii, quality, repeats, simhash, toxicity
+from tidemark.llm import decontam, hilbert, kneser_ney, licenses, packing, pii, quality, repeats, simhash, toxicity
 from tidemark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -143,3 +143,8 @@ def op4_prefix_free_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_bytes", n_removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+@query
+def op8_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneser_ney.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
