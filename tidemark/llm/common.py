@@ -26,10 +26,10 @@ def settled(df: DataFrame) -> DataFrame:
 
 
 def pieces(texts, limit: int = 4_000_000):
-    """Consecutive (from, to) ranges of a list of texts, each of about `limit` characters or one text."""
+    """Consecutive (from, to) ranges of a list of texts, each of about `limit` characters or one text; null counts as empty."""
     start = held = 0
     for i, text in enumerate(texts):
-        held += len(text)
+        held += len(text or "")
         if held >= limit:
             yield start, i + 1
             start, held = i + 1, 0

@@ -208,6 +208,7 @@ def judge(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, limit: in
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of docs that are not contaminated, all columns."""
-    bad = judge(docs, benchmark, window).where("contaminated").select(F.col("doc_id").alias("_bad_id"), "digest").distinct()
-    same = docs["doc_id"].eqNullSafe(F.col("_bad_id")) & (F.md5(docs["text"]) == F.col("digest"))
-    return docs.join(bad, same, "left_anti")
+    bad = judge(docs, benchmark, window).where("contaminated").select("doc_id", "digest").distinct()
+    rows = docs.select(F.struct("*").alias("row"))  # whatever its columns are called
+    same = F.col("row.doc_id").eqNullSafe(F.col("doc_id")) & (F.md5("row.text") == F.col("digest"))
+    return rows.join(bad, same, "left_anti").select("row.*")

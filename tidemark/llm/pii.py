@@ -202,7 +202,7 @@ def span_features(text: str, start: int, end: int, tokens: int, before: str) ->
         if len(s) >= 12 and digits >= 2 and letters >= 2 and "@" not in s:
             found.append("mixed")
             counts = Counter(s)
-            if -sum(n / len(s) * math.log2(n / len(s)) for n in counts.values()) > 3.2:
+            if -sum(n / len(s) * math.log2(n / len(s)) for n in counts.values()) > 2.7:
                 found.append("random")
     else:
         found.append("words2")

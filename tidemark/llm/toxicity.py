@@ -172,13 +172,16 @@ class Trees:
 
 def isotonic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Knots of the non-decreasing step fit of y by x, by pooling adjacent violators."""
+    values, where = np.unique(x, return_inverse=True)  # rows with equal x count as one
+    total = np.bincount(where, weight)
+    means = np.bincount(where, weight * y) / total
     blocks: list[list[float]] = []  # mean, weight, first x, last x
-    for i in np.argsort(x, kind="stable"):
-        blocks.append([float(y[i]), float(weight[i]), float(x[i]), float(x[i])])
-        while len(blocks) > 1 and (blocks[-2][0] >= blocks[-1][0] or blocks[-2][3] == blocks[-1][2]):
-            m, w, _, last = blocks.pop()
+    for mean, w, v in zip(means.tolist(), total.tolist(), values.tolist()):
+        blocks.append([mean, w, v, v])
+        while len(blocks) > 1 and blocks[-2][0] >= blocks[-1][0]:
+            m, k, _, last = blocks.pop()
             b = blocks[-1]
-            b[0], b[1], b[3] = (b[0] * b[1] + m * w) / (b[1] + w), b[1] + w, last
+            b[0], b[1], b[3] = (b[0] * b[1] + m * k) / (b[1] + k), b[1] + k, last
     at = np.array([v for b in blocks for v in (b[2], b[3])])
     return at, np.array([b[0] for b in blocks for _ in (0, 1)])
 
@@ -208,7 +211,7 @@ def sample(docs: DataFrame, labels: DataFrame, most_toxic: int, most_clean: int)
     total = {row["label"]: row["count"] for row in known.groupBy("label").count().collect()}
     first = lambda label, most: known.where(F.col("label") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     chosen = first(1, most_toxic).union(first(0, most_clean))  # bounded, so it may be broadcast
-    return settled(docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label")), total
+    return settled(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")), total
 
 
 def learn_lexicon(rows: DataFrame, most: int = LEXICON) -> Lexicon:
