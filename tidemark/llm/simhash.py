@@ -230,12 +230,15 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, budget: int = MAX_BITS, le
     prints, classes = _classes(docs, shingle, budget, leaf)
     rows = settled(prints.where("doc_id is not null").join(classes, "fp").select("doc_id", "fp", "root"))
     first = rows.groupBy("root").agg(F.min(F.struct("doc_id", "fp")).alias("s")).select("s.doc_id", "s.fp")
-    again = settled(rows.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_id")))
-    gone = settled(rows.join(first, ["doc_id", "fp"], "left_anti").select(F.col("doc_id").alias("_id")).distinct())
-    alone = docs.join(gone.union(again), F.col("doc_id") == F.col("_id"), "left_anti")
+    again = settled(rows.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("id")))
+    gone = settled(rows.join(first, ["doc_id", "fp"], "left_anti").select(F.col("doc_id").alias("id")).distinct())
+    whole = docs.select(F.struct("*").alias("row"))  # whatever its columns are called
+    alone = whole.join(gone.union(again), F.col("row.doc_id") == F.col("id"), "left_anti")
+    if again.isEmpty():
+        return alone.select("row.*")
     # Only rows that share their doc_id are looked at one by one.
-    shared = docs.join(again, F.col("doc_id") == F.col("_id"), "left_semi").withColumn("_fp", fingerprint(shingle)("text"))
-    shared = shared.join(first.withColumnsRenamed({"doc_id": "_id", "fp": "_f"}), F.expr("doc_id = _id and _fp = _f"), "left_semi")
-    order = Window.partitionBy("doc_id", "_fp").orderBy("text")
-    one = shared.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n", "_fp")
-    return alone.unionByName(one)
+    shared = whole.join(again, F.col("row.doc_id") == F.col("id"), "left_semi").withColumn("print", fingerprint(shingle)("row.text"))
+    shared = shared.join(first, F.expr("row.doc_id = doc_id and print = fp"), "left_semi")
+    order = Window.partitionBy("row.doc_id", "print").orderBy("row.text")
+    one = shared.withColumn("n", F.row_number().over(order)).where("n = 1").select("row")
+    return alone.union(one).select("row.*")
