@@ -340,12 +340,18 @@ class Field:
 
 
 def labelled(text: str) -> list[tuple[list, dict[tuple[int, int], int]]]:
-    """Windows of a text with the spans that the patterns, key formats and assignments mark."""
+    """Windows of a text with the spans that the patterns, key formats and assignments mark.
+
+    Windows with numbers run together, too long for a pattern, are left out: what they hold is unknown.
+    """
+    joined = [m.start() for pattern, most in ((PHONE, 15), (CARD, 19)) for m in pattern.finditer(text) if sum(map(str.isdigit, m[0])) > most]
     gold = {(a, b): KINDS.index(kind) for kind, a, b in base_spans(text)}
     for m in KEY_FORMAT.finditer(text):
         gold[m.start(), m.end()] = KINDS.index("secret")
     out = []
     for window in windows(text):
+        if any(window[0][0] <= at < window[-1][1] for at in joined):
+            continue
         segments = candidates(text, window)
         for own in segments:
             for s in own:
