@@ -2,6 +2,7 @@
 
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.fixtures import Fixtures
@@ -20,7 +21,7 @@ def plan(df) -> str:
 
 
 def exchanges(text: str) -> list[str]:
-    return re.findall(r"Exchange (\w+)", text)
+    return re.findall(r"(?<!Broadcast)Exchange (\w+)", text)
 
 
 def stored_log(spark, tmp_path):
@@ -35,9 +36,25 @@ def test_range_and_start_vectors_reach_the_scan(spark, tmp_path):
     text = plan(logs.read_range(log, {("events", 0): 5, ("events", 1): 7}, {("events", 0): 9, ("events", 1): 9}))
     pushed = re.search(r"PushedFilters: \[(.*?)\], ReadSchema", text).group(1)
     assert "GreaterThanOrEqual(offset,5)" in pushed and "LessThan(offset,9)" in pushed
-    assert "Exchange" not in text
-    text = plan(logs.stream_from(log, {("events", 0): 5}))
-    assert "GreaterThanOrEqual(offset,5)" in text and "Exchange" not in text
+    assert exchanges(text) == []
+
+
+@pytest.mark.parametrize("partitions", [2, 65, 5_000])
+def test_start_vectors_of_any_size_reach_the_scan(spark, tmp_path, partitions):
+    log = stored_log(spark, tmp_path)
+    spark.conf.set("spark.sql.maxMetadataStringLength", 1_000_000)
+    text = plan(logs.stream_from(log, {("events", p): 5 + p for p in range(partitions)}))
+    spark.conf.set("spark.sql.maxMetadataStringLength", 5_000)
+    pushed = re.search(r"PushedFilters: \[(.*?)\], ReadSchema", text).group(1)
+    assert "GreaterThanOrEqual(offset,5)" in pushed and exchanges(text) == []
+
+
+def test_headroom_reads_from_the_frontier_on(spark, tmp_path):
+    from tidemark.operators import health
+
+    frontiers = spark.createDataFrame([("events", p, 7 + p) for p in range(3)], "topic string, partition int, next_offset long")
+    text = plan(health.retention_headroom(stored_log(spark, tmp_path), frontiers, 1, 1))
+    assert "GreaterThanOrEqual(offset,7)" in re.search(r"PushedFilters: \[(.*?)\], ReadSchema", text).group(1)
 
 
 def test_profiles_read_no_payload(spark, tmp_path):

@@ -34,5 +34,6 @@ def test_query_equals_its_sql(spark, db, name):
 
 
 def test_driver_entry_points(spark):
-    assert driver.queries().keys() == driver.oracle_sql().keys()
+    assert QUERIES.keys() == ORACLES.keys()
+    assert QUERIES.keys() <= driver.queries().keys() and driver.oracle_sql().keys() <= driver.queries().keys()
     assert driver.entry(spark).count() == 24

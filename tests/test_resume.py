@@ -33,7 +33,7 @@ def test_commits_and_their_fallbacks(spark):
     bounds = bounds_frame(spark, [(0, 5, 9), (1, 5, 9), (2, 5, 9), (3, 5, 5)])
     held = commits(spark, [(0, 7), (2, 3)])  # partition 2's commit has expired
     assert starts(P.resume_plan(bounds, "committed-earliest", group_commits=held)) == {
-        0: (7, "commit"), 1: (5, "no-commit:begin"), 2: (5, "no-commit:begin"), 3: (5, "no-commit:begin"),
+        0: (7, "commit"), 1: (5, "no-commit:begin"), 2: (5, "expired-commit:begin"), 3: (5, "no-commit:begin"),
     }
     late = P.resume_plan(bounds, "committed-latest", group_commits=held)
     assert as_dict(late, "partition", ["start", "skips_backlog"]) == {
@@ -165,13 +165,14 @@ def test_vectors_are_bounded_and_unique(spark):
     with pytest.raises(vectors.ResumeError, match="two values"):
         vectors.collect_vector(plan.unionByName(plan), "start")
     big = spark.range(50)
-    assert vectors.pin_small(big, 10) is big
+    with pytest.raises(vectors.ResumeError, match="more than 10"):
+        vectors.pin_small(big, 10)
     assert vectors.pin_small(big, 50).count() == 50
 
 
-@pytest.mark.parametrize("limit", [64, 0])
-def test_range_reads_as_predicate_or_join(spark, monkeypatch, limit):
-    monkeypatch.setattr(vectors, "MAX_PREDICATE", limit)
+@pytest.mark.parametrize("groups", [32, 1])
+def test_range_reads_are_exact(spark, monkeypatch, groups):
+    monkeypatch.setattr(vectors, "BOUNDS", groups)
     log = log_frame(spark, [(p, o) for p in range(3) for o in range(10)])
     bounds = logs.log_bounds(log)
     starts_, ends = {("t", 0): 2, ("t", 1): 5}, {("t", 0): 4, ("t", 1): 5}
@@ -193,3 +194,47 @@ def test_range_read_refuses_what_it_cannot_give(spark):
         logs.read_range(log, {("t", 0): 5}, {("t", 0): 11}, bounds)
     with pytest.raises(vectors.ResumeError, match="different partitions"):
         logs.read_range(log, {("t", 0): 5}, {("t", 1): 6})
+
+
+def test_unnamed_partitions_are_read_whole_however_they_lie(spark):
+    log = log_frame(spark, [(p, o) for p in range(8) for o in range(6)])
+    followed = logs.stream_from(log, {("t", 2): 5, ("t", 5): 3, ("u", 1): 0})
+    got = {(r.partition, r.offset) for r in followed.collect()}
+    assert got == {(p, o) for p in range(8) for o in range(6) if o >= {2: 5, 5: 3}.get(p, 0)}
+
+
+def test_an_expired_commit_is_flagged(spark):
+    bounds = bounds_frame(spark, [(0, 50, 90), (1, 50, 90), (2, 0, 0)])
+    commits = positions(spark, [(0, 20), (1, 60)]).withColumnRenamed("offset", "current_offset")
+    for fallback, start in (("earliest", 50), ("latest", 90), ("none", None)):
+        plan = P.resume_plan(bounds, f"committed-{fallback}", group_commits=commits)
+        assert as_dict(plan, "partition", "start")[0] == start
+        assert as_dict(plan, "partition", "rule")[0].startswith("expired-commit")
+        assert as_dict(P.validate_plan(plan, bounds), "partition", "flag")[0] == "expired"
+        with pytest.raises(vectors.ResumeError, match="expired"):
+            P.start_vector(plan, bounds)
+
+
+def test_a_plan_without_a_start_counts_nothing(spark):
+    log = log_frame(spark, [(0, o) for o in range(4)])
+    bounds = bounds_frame(spark, [(0, 0, 4), (1, 0, 0)])
+    none = positions(spark, []).withColumnRenamed("offset", "current_offset")
+    plans = {s: P.resume_plan(bounds, s, group_commits=none) for s in ("earliest", "committed-none")}
+    got = P.compare_plans(plans, log, log.where("offset < 1"))
+    counts = as_dict(got, ["plan", "partition"], ["rows_reread", "rows_recovered", "rows_lost"])
+    assert counts == {
+        ("earliest", 0): (1, 3, 0), ("earliest", 1): (0, 0, 0),
+        ("committed-none", 0): (None, None, None), ("committed-none", 1): (None, None, None),
+    }
+
+
+def test_kafka_starts_by_time_and_limits_batches():
+    options = logs.kafka_options("b:1", "t", start_ms=5, max_offsets=100, min_offsets=10, max_wait="5s")
+    assert options["startingTimestamp"] == "5" and "startingOffsets" not in options
+    assert options["startingOffsetsByTimestampStrategy"] == "error"
+    assert (options["maxOffsetsPerTrigger"], options["minOffsetsPerTrigger"], options["maxTriggerDelay"]) == ("100", "10", "5s")
+    options = logs.kafka_options("b:1", "t", start_ms={("t", 0): 5}, end_ms={("t", 0): 9}, on_no_match="end")
+    assert options["startingOffsetsByTimestamp"] == '{"t": {"0": 5}}' and options["endingOffsetsByTimestamp"] == '{"t": {"0": 9}}'
+    assert options["startingOffsetsByTimestampStrategy"] == "latest"
+    with pytest.raises(ValueError):
+        logs.kafka_options("b:1", "t", start_ms=5, on_no_match="earliest")

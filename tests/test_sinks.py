@@ -39,9 +39,14 @@ def test_append_doubles_and_atomic_does_not(spark, tmp_path):
     assert len(stored_ids(spark, f"{tmp_path}/b")) == 6
 
 
-@pytest.mark.parametrize("max_ranges", [10_000, 1])
-def test_insert_if_absent_across_ranges(spark, tmp_path, monkeypatch, max_ranges):
-    monkeypatch.setattr(K, "MAX_RANGES", max_ranges)
+def test_insert_refuses_too_many_ranges_before_writing(spark, tmp_path):
+    path = f"{tmp_path}/t"
+    with pytest.raises(ValueError, match="more than 2 id ranges"):
+        K.insert_if_absent(rows_of(spark, range(0, 20)), path, width=8, max_ranges=2)
+    assert read_table(spark, path, SINK).count() == 0
+
+
+def test_insert_if_absent_across_ranges(spark, tmp_path):
     path = f"{tmp_path}/t"
     K.insert_if_absent(rows_of(spark, range(0, 20)), path, width=8)
     K.insert_if_absent(rows_of(spark, [*range(10, 30), 25, 25], payload="later"), path, width=8)
@@ -144,7 +149,7 @@ def test_backfill_overlap_is_absorbed(spark, tmp_path):
     K.append_fanout(rows_of(spark, range(5)), old)
     K.dual_write(rows_of(spark, range(5, 9)), old, new)
     K.backfill(spark, old, new)
-    both = read_table(spark, new, SINK, ["sink_table"])
+    both = read_table(spark, new, SINK)
     assert both.count() == 13
     assert sorted(r.event_id for r in K.current_rows(both).collect()) == list(range(9))
 

@@ -73,7 +73,8 @@ def test_crash_between_data_and_progress_replays(spark, place, mode):
         start(spark, f"{place}/log", delivery, f"{place}/c")
     # Progress is behind the data, never ahead.
     assert as_dict(delivery.store.read_progress(spark), "partition", "next_offset") == {0: 10}
-    assert ids(spark, delivery.store) == list(range(20))
+    # A batch that owns a folder shows once it is finished; inserted rows show at once.
+    assert ids(spark, delivery.store) == list(range(10 if mode == T.ATOMIC else 20))
     start(spark, f"{place}/log", delivery, f"{place}/c")
     assert ids(spark, delivery.store) == list(range(20))
     assert as_dict(delivery.store.read_progress(spark), "partition", "next_offset") == {0: 20}
@@ -130,11 +131,11 @@ def test_lost_checkpoint_resumes_from_the_store(spark, place, mode):
     vector = P.start_vector(plan, bounds)
     assert vector == {("t", 0): 10, ("t", 1): 3, ("t", 2): 0}
     log = logs.stream_from(logs.topic_log(spark, f"{place}/log", streaming=True), vector)
-    T.run_direct(log, T.Delivery(store, mode=mode, run="run-1"), f"{place}/c1").awaitTermination()
+    T.run_direct(log, T.Delivery(store, mode=mode), f"{place}/c1").awaitTermination()
     everything = [*range(20), *range(1000, 1005), *range(2000, 2002)]
     assert ids(spark, store) == everything
     # A third run that rereads everything brings nothing new.
-    start(spark, f"{place}/log", T.Delivery(store, mode=mode, run="run-2"), f"{place}/c2")
+    start(spark, f"{place}/log", T.Delivery(store, mode=mode), f"{place}/c2")
     assert ids(spark, store) == everything
 
 
@@ -166,7 +167,7 @@ def test_two_hops_with_one_hop_replayed(spark, place):
     T.run_two_hop(log, router, delivery, (f"{place}/c1", f"{place}/c2"))
     add(spark, f"{place}/log", [(0, 10, 15)])
     # The hop lost its checkpoint and sends everything again; the insert-if-absent sink holds.
-    again = T.Router(f"{place}/t2", partitions=2, run="run-1")
+    again = T.Router(f"{place}/t2", partitions=2)
     T.run_router(log, again, f"{place}/c3").awaitTermination()
     hop = router.read(spark)
     assert hop.count() == 20 + 25
@@ -201,3 +202,42 @@ def test_dedup_within_a_stream(spark, place):
 def test_unknown_mode():
     with pytest.raises(ValueError):
         T.Delivery(T.Store("/nowhere"), mode="sometimes")
+
+
+def test_a_named_run_belongs_to_its_first_checkpoint(spark, place):
+    add(spark, f"{place}/log", [(0, 0, 10)])
+    named = T.Delivery(T.Store(f"{place}/s"), run="nightly")
+    start(spark, f"{place}/log", named, f"{place}/c0")
+    add(spark, f"{place}/log", [(0, 10, 20)])
+    start(spark, f"{place}/log", named, f"{place}/c0")
+    with pytest.raises(Exception, match="belongs to checkpoint"):
+        start(spark, f"{place}/log", named, f"{place}/c1")
+    assert ids(spark, named.store) == list(range(20))
+    hop = T.Router(f"{place}/t2", run="nightly")
+    log = logs.topic_log(spark, f"{place}/log", streaming=True)
+    T.run_router(log, hop, f"{place}/c2").awaitTermination()
+    with pytest.raises(Exception, match="belongs to checkpoint"):
+        T.run_router(log, hop, f"{place}/c3").awaitTermination()
+    assert hop.read(spark).count() == 20
+
+
+def test_one_store_may_change_its_way_of_writing(spark, place):
+    store = T.Store(f"{place}/s")
+    for number, mode in enumerate((T.ATOMIC, T.IF_ABSENT, T.APPEND)):
+        add(spark, f"{place}/log-{number}", [(0, number * 10, number * 10 + 10)])
+        start(spark, f"{place}/log-{number}", T.Delivery(store, mode=mode), f"{place}/c{number}")
+    assert ids(spark, store) == list(range(30))
+
+
+def test_an_unfinished_batch_is_not_read(spark, place):
+    add(spark, f"{place}/log", [(0, 0, 10)])
+
+    def crash(batch_id):
+        raise RuntimeError("stopped between data and progress")
+
+    store = T.Store(f"{place}/s")
+    with pytest.raises(Exception, match="stopped between"):
+        start(spark, f"{place}/log", T.Delivery(store, before_progress=crash), f"{place}/c")
+    assert ids(spark, store) == []
+    start(spark, f"{place}/log", T.Delivery(store), f"{place}/c")
+    assert ids(spark, store) == list(range(10))

@@ -105,3 +105,11 @@ def test_routes_phases_windows(spark):
     assert routes.route_filter(df, "a").count() == 2
     assert routes.route_filter(df).count() == 3
     assert [r.event_id for r in routes.in_window(df, "produced_at", 5, 20).collect()] == [1000, 2]
+
+
+def test_numbers_take_no_newline_and_null_fields_stay_in_place(spark):
+    log = log_frame(spark, [(0, 0, 1, "5\n\t1\ta\tp"), (0, 1, 1, "+5\t-1\ta\tp"), (0, 2, 1, "5\t1\n\ta\tp")])
+    got = {r.offset: (r.event_id, r.produced_at, r.reason) for r in wire.decode(log).collect()}
+    assert got == {0: (None, 1, "event_id"), 1: (5, -1, None), 2: (5, None, "produced_at")}
+    events = spark.createDataFrame([(7, 8, None, None)], "event_id long, produced_at long, route string, payload string")
+    assert bytes(wire.encode(events).first().value) == b"7\t8\t\t"

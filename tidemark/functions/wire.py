@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 TAB = "\t"
-STRICT_LONG = r"^[+-]?[0-9]+$"
+# Ends in \z, since $ also matches before a final newline.
+STRICT_LONG = r"\A[+-]?[0-9]+\z"
 
 # What became of a record while decoding.
 EVENT, MALFORMED, EMPTY = "event", "malformed", "empty"
@@ -83,14 +84,9 @@ def malformed(decoded: DataFrame) -> DataFrame:
 
 
 def wire_text() -> Column:
-    """the four fields as wire text."""
-    return F.concat_ws(
-        TAB,
-        F.col("event_id").cast("string"),
-        F.col("produced_at").cast("string"),
-        F.col("route"),
-        F.col("payload"),
-    )
+    """the four fields as wire text; a null field is an empty one, never left out."""
+    fields = ("event_id", "produced_at", "route", "payload")
+    return F.concat_ws(TAB, *[F.coalesce(F.col(name).cast("string"), F.lit("")) for name in fields])
 
 
 def encode(events: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.versions import latest_version
 from tidemark.schemas import PARTITION
-from tidemark.sources.vectors import pin_small
+from tidemark.sources.vectors import at_or_after, collect_vector, vector_frame
 
 MINUTE_MS = 60_000
 
@@ -66,10 +66,11 @@ def retention_headroom(
     The record is the first one at or past the partition's next_offset; a partition with
     nothing left to read has no row.
     """
-    needed = pin_small(frontiers.select(*PARTITION, "next_offset"))
+    needed = collect_vector(frontiers, "next_offset")
+    beyond = F.broadcast(vector_frame(log.sparkSession, needed, "next_offset").select(*PARTITION))
     return (
-        log.join(needed, PARTITION)
-        .where(F.col("offset") >= F.col("next_offset"))
+        at_or_after(log, needed)
+        .join(beyond, PARTITION, "left_semi")
         .groupBy(*PARTITION)
         .agg(
             F.min("offset").alias("oldest_needed"),

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.frontier import account, offsets_for_times
@@ -44,24 +44,27 @@ def from_bounds(bounds: DataFrame, spec: str) -> DataFrame:
 def from_commits(bounds: DataFrame, group_commits: DataFrame, otherwise: str) -> DataFrame:
     """The group's commit, else ``earliest``, ``latest`` or ``none`` (an error row).
 
-    A commit that left the retained log counts as absent, as it does for a consumer.
+    A consumer treats a commit outside the retained log as absent. The plan does the same, under
+    a rule of its own (``expired-commit:...``), which ``validate_plan`` flags: the records between
+    the commit and the log's begin are gone.
     """
     commits = group_commits.select(*PARTITION, "current_offset")
-    held = (F.col("current_offset") >= F.col("begin")) & (F.col("current_offset") <= F.col("end"))
+    commit = F.col("current_offset")
+    held = (commit >= F.col("begin")) & (commit <= F.col("end"))
     fallback = {
-        "earliest": (F.col("begin"), "no-commit:begin"),
-        "latest": (F.col("end"), "no-commit:end"),
+        "earliest": (F.col("begin"), "begin"),
+        "latest": (F.col("end"), "end"),
         "none": (F.lit(None).cast("bigint"), "error"),
     }
-    start, rule = fallback[otherwise]
+    start, place = fallback[otherwise]
+    absent = "error" if otherwise == "none" else f"no-commit:{place}"
+    rule = F.when(held, "commit").when(commit.isNotNull(), f"expired-commit:{place}").otherwise(absent)
+    skips = F.lit(otherwise == "latest") & (F.col("end") > F.col("begin"))
     return bounds.join(commits, PARTITION, "left").select(
         *PARTITION,
-        F.when(held, F.col("current_offset")).otherwise(start).alias("start"),
-        F.when(held, "commit").otherwise(rule).alias("rule"),
-        F.coalesce(
-            ~held & F.lit(otherwise == "latest") & (F.col("end") > F.col("begin")),
-            F.lit(otherwise == "latest") & (F.col("end") > F.col("begin")),
-        ).alias("skips_backlog"),
+        F.when(held, commit).otherwise(start).alias("start"),
+        rule.alias("rule"),
+        (~F.coalesce(held, F.lit(False)) & skips).alias("skips_backlog"),
     )
 
 
@@ -197,19 +200,22 @@ def _given(value, spec: str):
 def validate_plan(plan: DataFrame, bounds: DataFrame) -> DataFrame:
     """Each partition of the plan or the log with what is wrong with its start.
 
-    ``expired`` below the log, ``past-end`` beyond it, ``skip-to-head`` at the end of a log
-    that holds records, ``no-start`` for a partition the plan leaves out or could not
-    resolve, ``unknown-partition`` for one the log does not have.
+    ``expired`` below the log, or resolved from a commit that is; ``past-end`` beyond it,
+    ``skip-to-head`` at the end of a log that holds records, ``no-start`` for a partition the
+    plan leaves out or could not resolve, ``unknown-partition`` for one the log does not have.
     """
-    return plan.select(*PARTITION, "start").join(bounds, PARTITION, "full_outer").withColumn(
+    lost = F.col("rule").startswith("expired-commit")
+    starts = plan.select(*PARTITION, "start", lost.alias("_lost"))
+    return starts.join(bounds, PARTITION, "full_outer").withColumn(
         "flag",
         F.when(F.col("begin").isNull(), "unknown-partition")
+        .when(F.col("_lost"), "expired")
         .when(F.col("start").isNull(), "no-start")
         .when(F.col("start") < F.col("begin"), "expired")
         .when(F.col("start") > F.col("end"), "past-end")
         .when((F.col("start") == F.col("end")) & (F.col("end") > F.col("begin")), "skip-to-head")
         .otherwise("ok"),
-    )
+    ).drop("_lost")
 
 
 def compare_plans(
@@ -217,35 +223,48 @@ def compare_plans(
 ) -> DataFrame:
     """Per plan and partition the records read again, newly read and lost for good.
 
+    Every partition of any plan has a row for each plan: one without records counts zero, and
+    where a plan has no start, as with an error row, the counts are null and the rule says why.
     One pass over the log serves all plans: the plans become one wide row per partition,
-    pinned to every task if its checked size allows.
+    pinned to every task.
     """
     names = list(plans)
-    wide = reduce(
-        lambda x, y: x.join(y, PARTITION, "full_outer"),
-        [plans[n].select(*PARTITION, F.col("start").alias(f"_start{i}")) for i, n in enumerate(names)],
+    wide = pin_small(
+        reduce(
+            lambda x, y: x.join(y, PARTITION, "full_outer"),
+            [
+                plans[n].select(
+                    *PARTITION, F.col("start").alias(f"_start{i}"), F.col("rule").alias(f"_rule{i}")
+                )
+                for i, n in enumerate(names)
+            ],
+        )
     )
+    starts = wide.select(*PARTITION, *[f"_start{i}" for i in range(len(names))])
     done, open_ = F.col("done") == 1, F.col("done") == 0
     counts = []
     for i in range(len(names)):
         start = F.col(f"_start{i}")
         counts += [
-            F.max(start).alias(f"start{i}"),
             F.count_if(done & (F.col("offset") >= start)).alias(f"reread{i}"),
             F.count_if(open_ & (F.col("offset") >= start)).alias(f"fresh{i}"),
             F.count_if(open_ & (F.col("offset") < start)).alias(f"loses{i}"),
         ]
-    per_partition = (
-        account(log, accounted).join(pin_small(wide), PARTITION).groupBy(*PARTITION).agg(*counts)
-    )
+    counted = account(log, accounted).join(starts, PARTITION).groupBy(*PARTITION).agg(*counts)
+    per_partition = wide.join(counted, PARTITION, "left")
+
+    def count(name: str, i: int) -> Column:
+        return F.when(F.col(f"_start{i}").isNotNull(), F.coalesce(f"{name}{i}", F.lit(0)))
+
     rows = F.array(
         *[
             F.struct(
                 F.lit(name).alias("plan"),
-                F.col(f"start{i}").alias("start"),
-                F.col(f"reread{i}").alias("rows_reread"),
-                F.col(f"fresh{i}").alias("rows_recovered"),
-                F.col(f"loses{i}").alias("rows_lost"),
+                F.col(f"_start{i}").alias("start"),
+                F.coalesce(f"_rule{i}", F.lit("no-row")).alias("rule"),
+                count("reread", i).alias("rows_reread"),
+                count("fresh", i).alias("rows_recovered"),
+                count("loses", i).alias("rows_lost"),
             )
             for i, name in enumerate(names)
         ]

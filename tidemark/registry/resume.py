@@ -14,6 +14,7 @@ from tidemark.registry.base import Fixtures, query
 from tidemark.registry.prefixes import outage_start
 from tidemark.schemas import POSITION, TABLES
 from tidemark.sources.logs import pinned_bounds
+from tidemark.sources.vectors import pin_small
 
 ROW = ["topic", "partition", "start", "rule", "skips_backlog"]
 
@@ -38,20 +39,36 @@ def resume_plan_basic(f: Fixtures) -> DataFrame:
 
 @query(
     "resume_committed",
-    """SELECT 'committed-earliest' AS plan, topic, "partition", coalesce(c, "begin") AS start,
-      CASE WHEN c IS NULL THEN 'no-commit:begin' ELSE 'commit' END AS rule, false AS skips_backlog FROM held
-    UNION ALL SELECT 'committed-latest', topic, "partition", coalesce(c, "end"),
-      CASE WHEN c IS NULL THEN 'no-commit:end' ELSE 'commit' END, c IS NULL FROM held
-    UNION ALL SELECT 'committed-none', topic, "partition", c,
-      CASE WHEN c IS NULL THEN 'error' ELSE 'commit' END, false FROM held""",
-    """held AS (SELECT b.*, g.current_offset AS c FROM bounds b LEFT JOIN
-      (SELECT * FROM group_commits WHERE "partition" <> 2) g USING (topic, "partition"))""",
+    """SELECT 'committed-earliest' AS plan, topic, "partition", coalesce(h, "begin") AS start,
+      CASE WHEN h IS NOT NULL THEN 'commit' WHEN c IS NULL THEN 'no-commit:begin'
+        ELSE 'expired-commit:begin' END AS rule, false AS skips_backlog,
+      CASE WHEN c < "begin" THEN 'expired' ELSE 'ok' END AS flag FROM held
+    UNION ALL SELECT 'committed-latest', topic, "partition", coalesce(h, "end"),
+      CASE WHEN h IS NOT NULL THEN 'commit' WHEN c IS NULL THEN 'no-commit:end'
+        ELSE 'expired-commit:end' END, h IS NULL,
+      CASE WHEN c < "begin" THEN 'expired' WHEN c IS NULL THEN 'skip-to-head' ELSE 'ok' END FROM held
+    UNION ALL SELECT 'committed-none', topic, "partition", h,
+      CASE WHEN h IS NOT NULL THEN 'commit' WHEN c IS NULL THEN 'error' ELSE 'expired-commit:error' END, false,
+      CASE WHEN c < "begin" THEN 'expired' WHEN c IS NULL THEN 'no-start' ELSE 'ok' END FROM held""",
+    """held AS (SELECT b.*, g.c, CASE WHEN g.c >= b."begin" THEN g.c END AS h
+      FROM (SELECT topic, "partition", min("offset") AS "begin", max("offset") + 1 AS "end"
+        FROM log WHERE event_id >= 30 GROUP BY ALL) b LEFT JOIN
+      (SELECT topic, "partition", CASE WHEN "partition" = 1 THEN 4 ELSE current_offset END AS c
+        FROM group_commits WHERE "partition" <> 2) g USING (topic, "partition"))""",
 )
 def resume_committed(f: Fixtures) -> DataFrame:
-    """The group never committed partition 2."""
-    bounds, commits = pinned_bounds(f.log), f.group_commits.where("partition != 2")
+    """The log lost its first thirty records; the group's commit of partition 1 went with them,
+    and it never committed partition 2."""
+    bounds = pinned_bounds(f.log.where("event_id >= 30"))
+    offset = F.when(F.col("partition") == 1, 4).otherwise(F.col("current_offset")).cast("bigint")
+    commits = f.group_commits.where("partition != 2").withColumn("current_offset", offset)
     specs = ("committed-earliest", "committed-latest", "committed-none")
-    return labelled({s: P.resume_plan(bounds, s, group_commits=commits) for s in specs})
+    plans = {s: P.resume_plan(bounds, s, group_commits=commits) for s in specs}
+    flags = reduce(
+        DataFrame.unionByName,
+        [P.validate_plan(p, bounds).select(F.lit(s).alias("plan"), *ROW[:2], "flag") for s, p in plans.items()],
+    )
+    return labelled(plans).join(flags, ["plan", *ROW[:2]])
 
 
 @query(
@@ -167,37 +184,47 @@ def resume_validate(f: Fixtures) -> DataFrame:
 
 @query(
     "resume_compare",
-    """SELECT topic, "partition", plan, start,
-      count(*) FILTER (WHERE done AND "offset" >= start) AS rows_reread,
-      count(*) FILTER (WHERE NOT done AND "offset" >= start) AS rows_recovered,
-      count(*) FILTER (WHERE NOT done AND "offset" < start) AS rows_lost
-    FROM positions JOIN plans USING (topic, "partition") GROUP BY ALL""",
+    """SELECT topic, "partition", plan, start, rule,
+      CASE WHEN start IS NOT NULL THEN count("offset") FILTER (WHERE done AND "offset" >= start) END AS rows_reread,
+      CASE WHEN start IS NOT NULL THEN count("offset") FILTER (WHERE NOT done AND "offset" >= start) END AS rows_recovered,
+      CASE WHEN start IS NOT NULL THEN count("offset") FILTER (WHERE NOT done AND "offset" < start) END AS rows_lost
+    FROM plans LEFT JOIN positions USING (topic, "partition") GROUP BY topic, "partition", plan, start, rule""",
     PREFIX_SQL
     + """, positions AS (SELECT topic, "partition", "offset",
       sink_table IS NULL OR event_id IN (SELECT event_id FROM half) AS done FROM log),
+    silent AS (SELECT 'events' AS topic, 9 AS "partition", CAST(0 AS BIGINT) AS zero),
     plans AS (
-      SELECT topic, "partition", 'earliest' AS plan, "begin" AS start FROM bounds
-      UNION ALL SELECT topic, "partition", 'latest', "end" FROM bounds
-      UNION ALL SELECT topic, "partition", 'committed-earliest', current_offset FROM group_commits
-      UNION ALL SELECT topic, "partition", 'timestamp', min("offset") FROM log WHERE phase <> 'before-outage'
-        GROUP BY topic, "partition"
-      UNION ALL SELECT topic, "partition", 'store-max:t_a', max("offset") + 1 FROM half
+      SELECT topic, "partition", 'earliest' AS plan, "begin" AS start, 'begin' AS rule FROM bounds
+      UNION ALL SELECT topic, "partition", 'latest', "end", 'end' FROM bounds
+      UNION ALL SELECT topic, "partition", 'committed-earliest', current_offset, 'commit' FROM group_commits
+      UNION ALL SELECT topic, "partition", 'committed-none', NULL, 'error' FROM bounds
+      UNION ALL SELECT topic, "partition", 'timestamp', min("offset"), 'timestamp' FROM log
+        WHERE phase <> 'before-outage' GROUP BY topic, "partition"
+      UNION ALL SELECT topic, "partition", 'store-max:t_a', max("offset") + 1, 'store-max' FROM half
         WHERE sink_table = 't_a' GROUP BY topic, "partition"
-      UNION ALL SELECT topic, "partition", 'store-frontier', min(m) + 1 FROM (SELECT topic, "partition",
-        sink_table, max("offset") AS m FROM half GROUP BY ALL) GROUP BY topic, "partition"
-      UNION ALL SELECT topic, "partition", 'store-prefix', start FROM prefix)""",
+      UNION ALL SELECT topic, "partition", 'store-frontier', min(m) + 1, 'store-frontier'
+        FROM (SELECT topic, "partition", sink_table, max("offset") AS m FROM half GROUP BY ALL)
+        GROUP BY topic, "partition"
+      UNION ALL SELECT topic, "partition", 'store-prefix', start, rule FROM prefix
+      UNION ALL SELECT topic, "partition", plan, CASE WHEN plan <> 'committed-none' THEN zero END, rule
+        FROM silent, (VALUES ('earliest', 'begin'), ('latest', 'end'), ('committed-earliest', 'no-commit:begin'),
+          ('committed-none', 'error'), ('timestamp', 'empty'), ('store-max:t_a', 'no-row:begin'),
+          ('store-frontier', 'no-row:begin'), ('store-prefix', 'absent-branch:begin')) v(plan, rule))""",
 )
 def resume_compare(f: Fixtures) -> DataFrame:
-    """Every resolver against the sink with the starved branch."""
+    """Every resolver against the sink with the starved branch; partition 9 holds no records,
+    and ``committed-none`` has no commits to start from."""
     return P.compare_plans(every_plan(f), f.log, done_positions(f))
 
 
 def every_plan(f: Fixtures) -> dict[str, DataFrame]:
-    bounds = pinned_bounds(f.log)
+    silent = f.spark.sql("SELECT 'events' AS topic, 9 AS partition, 0L AS begin, 0L AS end")
+    bounds = pin_small(pinned_bounds(f.log).union(silent))
     given = {
         "earliest": {},
         "latest": {},
         "committed-earliest": {"group_commits": f.group_commits},
+        "committed-none": {"group_commits": f.group_commits.where("false")},
         f"timestamp:{outage_start(f)}": {"log": f.log},
         "store-max:t_a": {"sink": f.half_starved_sink},
         "store-frontier": {"progress": f.branch_maxima, "job": JOB},

@@ -13,8 +13,11 @@ from tidemark.schemas import SINK
 from tidemark.streaming import sinks as K
 from tidemark.streaming.places import read_table, work_dir
 
-STORED = ["sink_table", "event_id", "src_part", "src_offset"]
-STORED_SQL = 'sink_table, event_id, "partition" AS src_part, "offset" AS src_offset'
+STORED = SINK.names
+STORED_SQL = (
+    'event_id, produced_at, route, payload, topic AS src_topic, "partition" AS src_part, '
+    '"offset" AS src_offset, sink_table'
+)
 
 
 @query(
@@ -28,7 +31,7 @@ def sink_append(f: Fixtures) -> DataFrame:
     rows = f.clean_sink.select(*SINK.names, "phase")
     K.append_fanout(rows.where("phase = 'before-outage'").drop("phase"), path)
     K.append_fanout(rows.drop("phase"), path)
-    stored = read_table(f.spark, path, SINK, ["sink_table"])
+    stored = read_table(f.spark, path, SINK)
     return stored.groupBy(*STORED).agg(F.count("*").alias("copies"))
 
 
@@ -123,7 +126,7 @@ def router_hop(f: Fixtures) -> DataFrame:
 
 @query(
     "backfill_dedup",
-    f"SELECT {STORED_SQL}, payload FROM clean",
+    f"SELECT {STORED_SQL} FROM clean",
 )
 def backfill_dedup(f: Fixtures) -> DataFrame:
     """History in the old table, the rest written to both, history copied, then read deduplicated."""
@@ -133,4 +136,4 @@ def backfill_dedup(f: Fixtures) -> DataFrame:
     K.append_fanout(rows.where("phase = 'before-outage'").drop("phase"), old)
     K.dual_write(rows.where("phase != 'before-outage'").drop("phase"), old, new)
     K.backfill(f.spark, old, new)
-    return K.current_rows(read_table(f.spark, new, SINK, ["sink_table"])).select(*STORED, "payload")
+    return K.current_rows(read_table(f.spark, new, SINK)).select(*STORED)

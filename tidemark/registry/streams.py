@@ -9,7 +9,7 @@ from tidemark.functions import rules, wire
 from tidemark.operators.reconcile import positions_of
 from tidemark.plans import resume as P
 from tidemark.registry.base import Fixtures, query
-from tidemark.registry.sinks import STORED_SQL
+from tidemark.registry.sinks import STORED, STORED_SQL
 from tidemark.schemas import TOPIC_LOG
 from tidemark.sources import logs
 from tidemark.sources.vectors import collect_vector
@@ -17,7 +17,6 @@ from tidemark.streaming import pipelines as T
 from tidemark.streaming.places import work_dir
 
 LOG = TOPIC_LOG.names
-STORED = ["sink_table", "event_id", "src_part", "src_offset"]
 
 
 def write_log(f: Fixtures, path: str, phases: list[str]) -> None:
@@ -78,24 +77,41 @@ def stream_restart(f: Fixtures) -> DataFrame:
     return copies(delivery.store.read_data(f.spark))
 
 
-@query("stream_restart_from_store", COPIES)
-def stream_restart_from_store(f: Fixtures) -> DataFrame:
-    """The checkpoint is lost with the outage; the second run starts from stored progress,
-    and its batches, cut differently, go through the insert-if-absent sink."""
-    root = work_dir(f.spark, "from-store")
+def lose_checkpoint(f: Fixtures, name: str, modes: list[str]) -> DataFrame:
+    """A run until the outage, then one on a new checkpoint from stored progress on; runs have
+    their default names, so the second must not touch the first one's batches."""
+    root = work_dir(f.spark, name)
     write_log(f, f"{root}/log", ["before-outage"])
     log = logs.topic_log(f.spark, f"{root}/log", streaming=True)
-    first = deliver(f, log, root, "checkpoint-0", mode=T.IF_ABSENT)
+    first = deliver(f, log, root, "checkpoint-0", mode=modes[0])
     write_log(f, f"{root}/log", ["during-outage", "after-restart"])
     bounds = logs.pinned_bounds(logs.topic_log(f.spark, f"{root}/log"))
     plan = P.from_stored(bounds, first.store.read_progress(f.spark), "stored")
     log = logs.stream_from(
         logs.topic_log(f.spark, f"{root}/log", streaming=True), P.start_vector(plan, bounds)
     )
-    deliver(f, log, root, "checkpoint-1", mode=T.IF_ABSENT, run="run-1")
+    deliver(f, log, root, "checkpoint-1", mode=modes[1])
     return copies(first.store.read_data(f.spark))
 
 
+@query("stream_restart_from_store", COPIES)
+def stream_restart_from_store(f: Fixtures) -> DataFrame:
+    """The checkpoint is lost with the outage; both runs write batches of their own."""
+    return lose_checkpoint(f, "from-store", [T.ATOMIC, T.ATOMIC])
+
+
+@query("stream_restart_by_id", COPIES)
+def stream_restart_by_id(f: Fixtures) -> DataFrame:
+    """As before, with batches cut differently going through the insert-if-absent sink."""
+    return lose_checkpoint(f, "by-id", [T.IF_ABSENT, T.IF_ABSENT])
+
+
+@query("stream_restart_mode_change", COPIES)
+def stream_restart_mode_change(f: Fixtures) -> DataFrame:
+    """The second run of the same store changes from batch folders to insert-if-absent."""
+    return lose_checkpoint(f, "mode-change", [T.ATOMIC, T.IF_ABSENT])
+
+
 @query(
     "stream_from_vector",
     f"""SELECT {STORED_SQL}, count(*) AS copies FROM clean
@@ -112,8 +128,8 @@ def stream_from_vector(f: Fixtures) -> DataFrame:
 
 @query(
     "stream_two_hop",
-    """SELECT sink_table, event_id, src_part, row_number() OVER (
-        PARTITION BY src_part ORDER BY "partition", "offset") - 1 AS src_offset, CAST(1 AS BIGINT) AS copies
+    """SELECT event_id, produced_at, route, payload, 'events-routed' AS src_topic, src_part, row_number() OVER (
+        PARTITION BY src_part ORDER BY "partition", "offset") - 1 AS src_offset, sink_table, CAST(1 AS BIGINT) AS copies
     FROM (SELECT *, CAST(event_id // 3 % 2 AS INTEGER) AS src_part FROM log)
     QUALIFY sink_table IS NOT NULL""",
 )
@@ -128,6 +144,25 @@ def stream_two_hop(f: Fixtures) -> DataFrame:
     return copies(delivery.store.read_data(f.spark))
 
 
+@query(
+    "stream_two_hop_lost_checkpoint",
+    """SELECT event_id, row_number() OVER (PARTITION BY p ORDER BY late, "partition", "offset") - 1 AS "offset",
+      p AS "partition", value FROM (SELECT *, CAST(event_id // 3 % 2 AS INTEGER) AS p,
+        phase <> 'before-outage' AS late FROM log)""",
+)
+def stream_two_hop_lost_checkpoint(f: Fixtures) -> DataFrame:
+    """The first hop starts again on a new checkpoint with the records since the outage; the
+    second topic keeps what it held and its offsets go on."""
+    root = work_dir(f.spark, "hop-lost")
+    router = T.Router(f"{root}/topic2", partitions=2, target=F.floor(F.col("event_id") / 3) % 2)
+    for number, phases in enumerate((["before-outage"], ["during-outage", "after-restart"])):
+        write_log(f, f"{root}/log-{number}", phases)
+        log = logs.topic_log(f.spark, f"{root}/log-{number}", streaming=True)
+        T.run_router(log, router, f"{root}/c{number}").awaitTermination()
+    decoded = wire.events_only(wire.decode(router.read(f.spark)))
+    return decoded.select("event_id", "offset", "partition", F.col("value").cast("string"))
+
+
 @query("stream_dedup", "SELECT event_id, payload FROM log")
 def stream_dedup(f: Fixtures) -> DataFrame:
     """Every 53rd record arrives three times."""

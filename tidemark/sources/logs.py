@@ -32,18 +32,48 @@ def topic_log(
 
 
 def kafka_options(
-    servers: str, topic: str, starts: Vector | str = "earliest", ends: Vector | None = None
+    servers: str,
+    topic: str,
+    starts: Vector | str = "earliest",
+    ends: Vector | None = None,
+    *,
+    start_ms: int | Vector | None = None,
+    end_ms: Vector | None = None,
+    on_no_match: str = "error",
+    max_offsets: int | None = None,
+    min_offsets: int | None = None,
+    max_wait: str | None = None,
 ) -> dict[str, str]:
-    """Options for ``format("kafka")``; a record lost to retention fails the read.
+    """Options for ``format("kafka")``; a record lost to retention fails the read.
 
     ``starts`` is a vector, ``earliest`` or ``latest``. With ``ends`` the partition set is
-    fixed to the vector's own, as a bounded repair needs.
+    fixed to the vector's own, as a bounded repair needs. ``start_ms`` starts at a record clock
+    instead, one time for all partitions or one for each; the broker finds the offsets.
+    ``end_ms`` ends a batch read the same way. ``on_no_match`` is what a partition without so
+    late a record does: ``error``, or ``end``, which skips its backlog. ``max_offsets`` and
+    ``min_offsets`` limit a micro-batch, ``max_wait`` ("5s") how long the latter may hold it back.
     """
     options = {"kafka.bootstrap.servers": servers, "failOnDataLoss": "true"}
-    options["startingOffsets"] = starts if isinstance(starts, str) else offsets_json(starts)
+    limits = {
+        "maxOffsetsPerTrigger": max_offsets, "minOffsetsPerTrigger": min_offsets, "maxTriggerDelay": max_wait,
+    }
+    options |= {name: str(value) for name, value in limits.items() if value is not None}
+    if start_ms is not None:
+        policy = {"error": "error", "end": "latest"}
+        if on_no_match not in policy:
+            raise ValueError(f"unknown policy {on_no_match!r}")
+        options["startingOffsetsByTimestampStrategy"] = policy[on_no_match]
+        if isinstance(start_ms, int):
+            options["startingTimestamp"] = str(start_ms)
+        else:
+            options["startingOffsetsByTimestamp"] = offsets_json(start_ms)
+    else:
+        options["startingOffsets"] = starts if isinstance(starts, str) else offsets_json(starts)
+    if end_ms is not None:
+        options["endingOffsetsByTimestamp"] = offsets_json(end_ms)
     if ends is None:
         return options | {"subscribe": topic}
-    if isinstance(starts, str) or starts.keys() != ends.keys():
+    if start_ms is not None or isinstance(starts, str) or starts.keys() != ends.keys():
         raise ResumeError("a bounded read needs start and end offsets of the same partitions")
     assigned: dict[str, list[int]] = {}
     for name, partition in sorted(starts):

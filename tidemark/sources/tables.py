@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators.versions import latest_version
-from tidemark.schemas import COMMIT_NOTE, LEDGER, PARTITION
+from tidemark.schemas import COMMIT_NOTE, LEDGER, PARTITION, SINK
+from tidemark.streaming.places import read_table
 
 
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
@@ -19,8 +22,11 @@ def read_ledger(spark: SparkSession, path: str) -> DataFrame:
 def read_sink(
     spark: SparkSession, path: str, tables: list[str] | None = None, columns: list[str] | None = None
 ) -> DataFrame:
-    """A sink stored under ``sink_table=`` folders; names prune folders and columns."""
-    sink = spark.read.parquet(path)
+    """A sink stored under ``sink_table=`` folders; names prune folders and columns.
+
+    A sink that nothing reached, or that was never created, holds no rows.
+    """
+    sink = read_table(spark, path, SINK)
     if tables is not None:
         sink = sink.where(F.col("sink_table").isin(tables))
     return sink if columns is None else sink.select("sink_table", *columns)
@@ -41,10 +47,14 @@ def jdbc_options(
     }
 
 
-def read_sink_jdbc(spark: SparkSession, options: dict[str, str]) -> DataFrame:
-    """One JDBC sink table, tagged with its name."""
-    rows = spark.read.format("jdbc").options(**options).load()
-    return rows.withColumn("sink_table", F.lit(options["dbtable"]))
+def read_sink_jdbc(spark: SparkSession, *tables: dict[str, str]) -> DataFrame:
+    """JDBC sink tables, one set of ``jdbc_options`` each, every row tagged with its table."""
+    read = [
+        spark.read.format("jdbc").options(**options).load()
+        .withColumn("sink_table", F.lit(options["dbtable"]))
+        for options in tables
+    ]
+    return reduce(DataFrame.unionByName, read)
 
 
 def read_progress(progress: DataFrame, job: str, topic: str) -> DataFrame:

@@ -8,9 +8,9 @@ from __future__ import annotations
 
 import json
 from functools import reduce
-from operator import or_
+from operator import and_, or_
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.schemas import PARTITION
@@ -19,8 +19,8 @@ Vector = dict[tuple[str, int], int]
 
 # More partitions than a Kafka cluster is run with; at 3 longs a row, a few megabytes.
 MAX_PARTITIONS = 200_000
-# Up to here a vector becomes a plain predicate that reaches the scan.
-MAX_PREDICATE = 64
+# Partitions of like offsets share one bound in the predicate that reaches the scan.
+BOUNDS = 32
 
 
 class ResumeError(RuntimeError):
@@ -28,14 +28,10 @@ class ResumeError(RuntimeError):
 
 
 def pin_small(df: DataFrame, max_rows: int = MAX_PARTITIONS) -> DataFrame:
-    """A broadcast copy of a frame that holds at most ``max_rows`` rows.
-
-    Reads one row past the bound. A larger frame comes back as it was, without a hint, so
-    the join falls to a shuffle with skew handling instead.
-    """
+    """A broadcast copy of a frame that holds at most ``max_rows`` rows; refuses a larger one."""
     rows = df.limit(max_rows + 1).toArrow()
     if rows.num_rows > max_rows:
-        return df
+        raise ResumeError(f"more than {max_rows} rows where one per partition was expected")
     return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
 
 
@@ -69,52 +65,73 @@ def offsets_json(vector: Vector) -> str:
 
 
 def at_or_after(log: DataFrame, starts: Vector) -> DataFrame:
-    """Rows at or past the start of their partition; a partition not named is read whole."""
+    """Rows at or past the start of their partition; a partition not named is read whole.
+
+    A coarse bound reaches the scan, at any number of partitions: they are sorted by start and
+    cut into at most ``BOUNDS`` groups, each with its least start. A join with the vector, whose
+    size the caller has checked, then keeps exactly what was asked for.
+    """
     if not starts:
         return log
-    if len(starts) <= MAX_PREDICATE:
-        named = reduce(or_, (_is(tp) for tp in starts))
-        kept = reduce(or_, (_is(tp) & (F.col("offset") >= start) for tp, start in starts.items()))
-        return log.where(kept | ~named)
+    reached = [_any_of(group) & (F.col("offset") >= starts[group[0]]) for group in _groups(starts)]
     vector = F.broadcast(vector_frame(log.sparkSession, starts, "_start"))
     return (
-        log.join(vector, PARTITION, "left")
+        log.where(reduce(or_, reached) | _unnamed(starts))
+        .join(vector, PARTITION, "left")
         .where(F.col("_start").isNull() | (F.col("offset") >= F.col("_start")))
         .drop("_start")
     )
 
 
 def between(log: DataFrame, starts: Vector, ends: Vector) -> DataFrame:
-    """Rows inside ``[start, end)`` of the named partitions, and of no others."""
+    """Rows inside ``[start, end)`` of the named partitions, and of no others; bounds reach the
+    scan as in ``at_or_after``."""
     if starts.keys() != ends.keys():
         raise ResumeError("start and end offsets name different partitions")
     open_ranges = {tp: (starts[tp], ends[tp]) for tp in starts if starts[tp] < ends[tp]}
     if not open_ranges:
         return log.where(F.lit(False))
-    lowest = min(lo for lo, _ in open_ranges.values())
-    highest = max(hi for _, hi in open_ranges.values())
-    log = log.where((F.col("offset") >= lowest) & (F.col("offset") < highest))
-    if len(open_ranges) <= MAX_PREDICATE:
-        return log.where(
-            reduce(
-                or_,
-                (
-                    _is(tp) & (F.col("offset") >= lo) & (F.col("offset") < hi)
-                    for tp, (lo, hi) in open_ranges.items()
-                ),
-            )
-        )
+    reached = [
+        _any_of(group)
+        & (F.col("offset") >= starts[group[0]])
+        & (F.col("offset") < max(ends[tp] for tp in group))
+        for group in _groups({tp: starts[tp] for tp in open_ranges})
+    ]
     rows = [(topic, part, lo, hi) for (topic, part), (lo, hi) in open_ranges.items()]
     vector = log.sparkSession.createDataFrame(
         rows, "topic string, partition int, _lo bigint, _hi bigint"
     )
     return (
-        log.join(F.broadcast(vector), PARTITION)
+        log.where(reduce(or_, reached))
+        .join(F.broadcast(vector), PARTITION)
         .where((F.col("offset") >= F.col("_lo")) & (F.col("offset") < F.col("_hi")))
         .drop("_lo", "_hi")
     )
 
 
-def _is(topic_partition: tuple[str, int]):
-    topic, partition = topic_partition
-    return (F.col("topic") == topic) & (F.col("partition") == partition)
+def _groups(starts: Vector) -> list[list[tuple[str, int]]]:
+    """Partitions by topic and start, in at most about ``BOUNDS`` runs; the first has the least."""
+    size = max(1, -(-len(starts) // BOUNDS))
+    by_topic: dict[str, list[tuple[str, int]]] = {}
+    for tp in sorted(starts, key=lambda tp: (starts[tp], tp)):
+        by_topic.setdefault(tp[0], []).append(tp)
+    return [own[i : i + size] for own in by_topic.values() for i in range(0, len(own), size)]
+
+
+def _any_of(group: list[tuple[str, int]]) -> Column:
+    return (F.col("topic") == group[0][0]) & F.col("partition").isin([part for _, part in group])
+
+
+def _unnamed(starts: Vector) -> Column:
+    """Partitions that the vector does not name, in terms that a scan can take: other topics,
+    numbers beyond the named ones and the holes between them."""
+    named: dict[str, set[int]] = {}
+    for topic, partition in starts:
+        named.setdefault(topic, set()).add(partition)
+    other = reduce(and_, (F.col("topic") != topic for topic in named))
+    for topic, parts in named.items():
+        outside = (F.col("partition") < min(parts)) | (F.col("partition") > max(parts))
+        if holes := set(range(min(parts), max(parts))) - parts:
+            outside |= F.col("partition").isin(sorted(holes))
+        other |= (F.col("topic") == topic) & outside
+    return other

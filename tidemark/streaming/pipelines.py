@@ -17,7 +17,7 @@ from tidemark.functions.wire import decode, encode, events_only
 from tidemark.schemas import COMMIT_AUDIT, PROGRESS, SINK, TOPIC_LOG
 from tidemark.sources.logs import log_bounds
 from tidemark.streaming import sinks
-from tidemark.streaming.places import read_table
+from tidemark.streaming.places import ensure_table, read_table
 
 ENDS = T.StructType([T.StructField("partition", T.IntegerType()), T.StructField("end", T.LongType())])
 APPEND, ATOMIC, IF_ABSENT = "append", "batch-atomic", "insert-if-absent"
@@ -30,9 +30,13 @@ class Store:
     root: str
     job: str = "writer"
 
+    def data(self, mode: str) -> str:
+        """Each way of writing has a layout and a folder of its own."""
+        return f"{self.root}/data-{mode}"
+
     @property
-    def data(self) -> str:
-        return f"{self.root}/data"
+    def owners(self) -> str:
+        return f"{self.root}/owners"
 
     @property
     def rejects(self) -> str:
@@ -47,7 +51,14 @@ class Store:
         return f"{self.root}/audit"
 
     def read_data(self, spark: SparkSession) -> DataFrame:
-        return read_table(spark, self.data, SINK, ["sink_table"])
+        """All rows, whichever way they were written; of batches that own a folder, only those
+        whose progress is stored, since an unfinished one will be written again."""
+        batches = sinks.read_attempts(spark, self.data(ATOMIC), SINK)
+        finished = sinks.read_progress_table(spark, self.progress).select(*sinks.ATTEMPT_KEYS).distinct()
+        rows = batches.join(finished, sinks.ATTEMPT_KEYS, "left_semi").select(*SINK.names)
+        for mode in (APPEND, IF_ABSENT):
+            rows = rows.unionByName(read_table(spark, self.data(mode), SINK).select(*SINK.names))
+        return rows
 
     def read_rejects(self, spark: SparkSession) -> DataFrame:
         return sinks.read_reject_table(spark, self.rejects)
@@ -63,7 +74,8 @@ class Store:
 class Delivery:
     """How events are judged and written.
 
-    ``run`` names the checkpoint the job runs on; use another name with another checkpoint.
+    ``run`` names the folders of the job's batches. By default that is the id of the checkpoint
+    it runs on; a given name is bound to the first checkpoint that uses it and refused to others.
     ``guarded`` refuses batches that do not continue the stored progress. It needs batches
     that hold each partition in offset order, as Kafka gives them; a topic-log table does so
     if every micro-batch takes whole appends (no file limit). ``cache`` keeps a decoded
@@ -73,7 +85,7 @@ class Delivery:
     """
 
     store: Store
-    run: str = "run-0"
+    run: str | None = None
     mode: str = ATOMIC
     rules: list[Rule] = field(default_factory=list)
     route_map: dict[str, str] | None = None
@@ -92,11 +104,12 @@ class Delivery:
     def write(self, batch: DataFrame, batch_id: int) -> None:
         """One micro-batch: judge, guard, rejects, data, then audit and progress."""
         spark = batch.sparkSession
+        run = sinks.own_run(spark, self.store.owners, self.run)
         judged = dispose(decode(batch), self.rules, self.drop_route, self.route_map)
         if self.cache:
             judged = judged.persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            stored = self._stored(spark, batch_id)
+            stored = self._stored(spark, run, batch_id)
             # One row per partition; read once, since the guard and two tables use it.
             checked = sinks.pin_small(sinks.check_progress(batch, stored, self.gaps_allowed))
             fresh = judged
@@ -106,40 +119,39 @@ class Delivery:
                 # seen, so repeats go to the sink; let it be insert-if-absent.
                 fresh = judged if self.gaps_allowed else sinks.new_suffix(judged, overlaps)
             bad = sinks.split_rejects(fresh, self.store.job, self.clock())
-            sinks.write_attempt(bad, self.store.rejects, self.run, batch_id)
+            sinks.write_attempt(bad, self.store.rejects, run, batch_id)
             rows = sinks.delivered_rows(fresh)
-            self._store(rows if self.hook is None else self.hook(rows), batch_id)
+            self._store(rows if self.hook is None else self.hook(rows), run, batch_id)
             if self.before_progress is not None:
                 self.before_progress(batch_id)
             notes = sinks.audit_rows(checked, self.store.job, self.clock())
-            sinks.write_attempt(notes.coalesce(1), self.store.audit, self.run, batch_id)
+            sinks.write_attempt(notes.coalesce(1), self.store.audit, run, batch_id)
             steps = sinks.progress_rows(checked, stored, self.store.job, self.clock())
-            sinks.write_attempt(steps.coalesce(1), self.store.progress, self.run, batch_id)
+            sinks.write_attempt(steps.coalesce(1), self.store.progress, run, batch_id)
         finally:
             if self.cache:
                 judged.unpersist()
 
-    def _stored(self, spark: SparkSession, batch_id: int) -> DataFrame:
+    def _stored(self, spark: SparkSession, run: str, batch_id: int) -> DataFrame:
         """Progress before this batch, whatever earlier attempts at it left behind.
 
         A run's first batch looks at what other runs left; the others read the batch before.
         """
         if batch_id > 0:
-            rows = sinks.read_attempt(
-                spark, self.store.progress, PROGRESS, self.run, batch_id - 1
-            )
+            rows = sinks.read_attempt(spark, self.store.progress, PROGRESS, run, batch_id - 1)
         else:
             every = sinks.read_progress_table(spark, self.store.progress)
-            rows = every.where(F.col("run") != self.run).select(*PROGRESS.names)
+            rows = every.where(F.col("run") != run).select(*PROGRESS.names)
         return sinks.pin_small(sinks.stored_progress(rows, self.store.job))
 
-    def _store(self, rows: DataFrame, batch_id: int) -> None:
+    def _store(self, rows: DataFrame, run: str, batch_id: int) -> None:
+        path = self.store.data(self.mode)
         if self.mode == ATOMIC:
-            sinks.write_batch_atomic(rows, self.store.data, self.run, batch_id)
+            sinks.write_batch_atomic(rows, path, run, batch_id)
         elif self.mode == IF_ABSENT:
-            sinks.insert_if_absent(rows, self.store.data)
+            sinks.insert_if_absent(rows, path)
         else:
-            sinks.append_fanout(rows, self.store.data)
+            sinks.append_fanout(rows, path)
 
 
 def run_direct(
@@ -160,12 +172,12 @@ def run_direct(
 
 @dataclass(frozen=True)
 class Router:
-    """How a hop writes the next topic, here a topic-log table."""
+    """How a hop writes the next topic, here a topic-log table; ``run`` as in ``Delivery``."""
 
     path: str
     topic: str = "events-routed"
     partitions: int = 3
-    run: str = "run-0"
+    run: str | None = None
     drop_route: str | None = None
     target: Column | None = None
 
@@ -175,33 +187,34 @@ class Router:
 
     def read_stream(self, spark: SparkSession, **options) -> DataFrame:
         """The hop's topic as a stream."""
-        self.read(spark)
         whole = T.StructType([*TOPIC_LOG.fields, *sinks.ATTEMPT.fields])
+        ensure_table(spark, self.path, whole, sinks.ATTEMPT_KEYS)
         rows = spark.readStream.schema(whole).options(**options).parquet(self.path)
         return rows.drop(*sinks.ATTEMPT_KEYS)
 
     def write(self, batch: DataFrame, batch_id: int) -> None:
         """One micro-batch of the hop; malformed records stay behind for the audit."""
         spark = batch.sparkSession
-        ends = self._ends(spark, batch_id)
+        run = sinks.own_run(spark, f"{self.path}-owners", self.run)
+        ends = self._ends(spark, run, batch_id)
         events = encode(route_filter(events_only(decode(batch)), self.drop_route))
         placed = sinks.place_in_topic(events, self.topic, self.partitions, ends, self.target)
-        sinks.write_topic(placed, self.path, self.run, batch_id)
-        written = sinks.read_attempt(spark, self.path, TOPIC_LOG, self.run, batch_id)
+        sinks.write_topic(placed, self.path, run, batch_id)
+        written = sinks.read_attempt(spark, self.path, TOPIC_LOG, run, batch_id)
         reached = (
             log_bounds(written).select("partition", "end").unionByName(ends)
             .groupBy("partition").agg(F.max("end").alias("end"))
         )
-        sinks.write_attempt(reached.coalesce(1), f"{self.path}-ends", self.run, batch_id)
+        sinks.write_attempt(reached.coalesce(1), f"{self.path}-ends", run, batch_id)
 
-    def _ends(self, spark: SparkSession, batch_id: int) -> DataFrame:
+    def _ends(self, spark: SparkSession, run: str, batch_id: int) -> DataFrame:
         """Where the hop's topic ended before this batch, one row per partition."""
         path = f"{self.path}-ends"
         if batch_id > 0:
-            rows = sinks.read_attempt(spark, path, ENDS, self.run, batch_id - 1)
+            rows = sinks.read_attempt(spark, path, ENDS, run, batch_id - 1)
         else:
             every = sinks.read_attempts(spark, path, ENDS)
-            others = every.where(F.col("run") != self.run)
+            others = every.where(F.col("run") != run)
             rows = others.groupBy("partition").agg(F.max("end").alias("end"))
         return sinks.pin_small(rows)
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -31,9 +32,11 @@ def ensure_table(
     empty.write.mode("ignore").partitionBy(*partition_by).parquet(path)
 
 
-def read_table(
-    spark: SparkSession, path: str, schema: T.StructType, partition_by: list[str]
-) -> DataFrame:
+def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """The table's rows, or none if nothing was written yet."""
-    ensure_table(spark, path, schema, partition_by)
-    return spark.read.schema(schema).parquet(path)
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)

@@ -26,8 +26,8 @@ from tidemark.streaming.places import ensure_table, read_table
 
 # Event ids per storage range of a table that takes inserts by id.
 ID_RANGE = 1 << 24
-# Touched ranges up to here become a partition filter on the target.
-MAX_RANGES = 10_000
+# Most (table, id range) folders that one batch may touch.
+MAX_RANGES = 200_000
 
 SINK_COLUMNS = SINK.names
 ATTEMPT = T.StructType([T.StructField("run", T.StringType()), T.StructField("batch_id", T.LongType())])
@@ -38,6 +38,37 @@ class OffsetGap(RuntimeError):
     """A batch does not continue where the stored progress ends."""
 
 
+class RunTaken(RuntimeError):
+    """A run's name belongs to another checkpoint, whose batches would be overwritten."""
+
+
+OWNER = T.StructType([T.StructField("owner", T.StringType()), T.StructField("run", T.StringType())])
+
+
+def query_id(spark: SparkSession) -> str | None:
+    """The id of the streaming query whose batch is being written: that of its checkpoint."""
+    return spark.sparkContext.getLocalProperty("sql.streaming.queryId")
+
+
+def own_run(spark: SparkSession, path: str, run: str | None) -> str:
+    """The run that names the folders of the batch being written.
+
+    Without a name it is the checkpoint's id, so that a new checkpoint never meets the folders
+    of an old one. A given name is bound, in the table at ``path``, to the first checkpoint that
+    uses it; from any other it raises.
+    """
+    owner = query_id(spark) or "no-checkpoint"
+    if run is None:
+        return owner
+    held = read_table(spark, path, OWNER).where(F.col("run") == run).select("owner").collect()
+    if any(row.owner != owner for row in held):
+        raise RunTaken(f"run {run!r} belongs to checkpoint {held[0].owner}, this is {owner}")
+    if not held:
+        claim = spark.createDataFrame([(owner,)], "owner string")
+        claim.write.mode("errorifexists").parquet(f"{path}/run={run}")
+    return run
+
+
 def attempt_path(path: str, run: str, batch_id: int) -> str:
     """The folder one batch of one run owns inside a table."""
     return f"{path}/run={run}/batch_id={batch_id}"
@@ -60,8 +91,9 @@ def append_fanout(rows: DataFrame, path: str) -> None:
 def write_batch_atomic(rows: DataFrame, path: str, run: str, batch_id: int) -> None:
     """K4: the batch owns a folder and replaces it whole, so a replay changes nothing.
 
-    A checkpoint pins the batch's offsets. ``run`` names the checkpoint: a later one counts
-    its batches from zero again and must not overwrite these.
+    A checkpoint pins the batch's offsets. ``run`` names the checkpoint (see ``own_run``): a
+    later one counts its batches from zero again and must not overwrite these. The folder is
+    empty for a moment while it is replaced; readers take batches that progress knows.
     """
     rows.write.mode("overwrite").partitionBy("sink_table").parquet(attempt_path(path, run, batch_id))
 
@@ -82,31 +114,35 @@ def id_range(width: int = ID_RANGE) -> Column:
     return F.floor(F.col("event_id") / width).cast("bigint")
 
 
-def insert_if_absent(rows: DataFrame, path: str, width: int = ID_RANGE) -> None:
+def insert_if_absent(
+    rows: DataFrame, path: str, width: int = ID_RANGE, max_ranges: int = MAX_RANGES
+) -> None:
     """K2: stores events whose (table, id) is not stored yet.
 
-    The table is laid out by table and id range, and the ranges a batch touches become a
-    partition filter on it. A batch that touches more than ``MAX_RANGES`` is matched against
-    the table without that filter. New rows are rebalanced by folder before the write, which
-    bounds the number of files and splits a large folder over several tasks.
+    The table is laid out by table and id range, and the ranges a batch touches always become
+    a partition filter on it; a batch that touches more than ``max_ranges`` is refused before
+    anything is written. New rows are rebalanced by folder and sorted by id before the write:
+    that bounds the number of files, splits a large folder over several tasks and lets readers
+    skip row groups.
     """
     spark = rows.sparkSession
     layout = ["sink_table", "id_range"]
     schema = T.StructType([*SINK.fields, T.StructField("id_range", T.LongType())])
     ranged = rows.withColumn("id_range", id_range(width))
-    touched = ranged.select(*layout).distinct().limit(MAX_RANGES + 1).collect()
-    target = read_table(spark, path, schema, layout)
-    if len(touched) <= MAX_RANGES:
-        by_table: dict[str, list[int]] = {}
-        for table, number in touched:
-            by_table.setdefault(table, []).append(number)
-        in_reach = F.lit(False)
-        for table, numbers in by_table.items():
-            in_reach |= (F.col("sink_table") == table) & F.col("id_range").isin(numbers)
-        target = target.where(in_reach)
+    touched = ranged.select(*layout).distinct().limit(max_ranges + 1).collect()
+    if len(touched) > max_ranges:
+        raise ValueError(f"a batch touches more than {max_ranges} id ranges; widen them")
+    by_table: dict[str, list[int]] = {}
+    for table, number in touched:
+        by_table.setdefault(table, []).append(number)
+    in_reach = F.lit(False)
+    for table, numbers in by_table.items():
+        in_reach |= (F.col("sink_table") == table) & F.col("id_range").isin(numbers)
+    target = read_table(spark, path, schema).where(in_reach)
     fresh = absent_rows(ranged, target, [*layout, "event_id"]).select(*SINK_COLUMNS, "id_range")
     (
         fresh.hint("rebalance", *layout)
+        .sortWithinPartitions(*layout, "event_id")
         .write.mode("append")
         .partitionBy(*layout)
         .parquet(path)
@@ -273,7 +309,7 @@ def write_attempt(rows: DataFrame, path: str, run: str, batch_id: int) -> None:
 def read_attempts(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """A side table with the run and batch of each row."""
     whole = T.StructType([*schema.fields, *ATTEMPT.fields])
-    return read_table(spark, path, whole, ATTEMPT_KEYS)
+    return read_table(spark, path, whole)
 
 
 def read_progress_table(spark: SparkSession, path: str) -> DataFrame:
@@ -367,6 +403,7 @@ def current_rows(versions: DataFrame, key: list[str] | None = None) -> DataFrame
 
 __all__ = [
     "OffsetGap",
+    "RunTaken",
     "absent_rows",
     "append_fanout",
     "audit_rows",
@@ -380,6 +417,7 @@ __all__ = [
     "guard",
     "insert_if_absent",
     "new_suffix",
+    "own_run",
     "place_in_topic",
     "progress_rows",
     "repair_rejects",
