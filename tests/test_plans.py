@@ -84,13 +84,13 @@ def test_samples_are_cut_before_the_shuffle(spark):
     assert re.search(r"WindowGroupLimit.*row_number\(\), 20, Partial", text)
 
 
-def test_scenarios_share_one_large_exchange(spark):
-    from tidemark.plans import scenarios as S
-
+def test_the_ledger_of_all_scenarios_is_not_multiplied(spark):
     f = Fixtures(spark, SF)
-    text = plan(R.scenario_summary(S.ledgers(f.ledger), S.sinks(R.expected_rows(f.ledger)), S.specs(spark)))
-    keyed = [x for x in re.findall(r"Exchange hashpartitioning\(([^)]*)\)", text) if "event_id" in x]
-    assert len(keyed) == 1
+    specs = spark.createDataFrame([("x", "loss", False), ("y", "loss", False)], "scenario string, expect string, unique_required boolean")
+    sinks = f.sink.withColumn("scenario", F.when(F.col("event_id") % 2 == 0, "x").otherwise("y"))
+    text = plan(R.scenario_summary(f.ledger, sinks.select("scenario", "event_id", "sink_table"), specs))
+    assert "BroadcastNestedLoopJoin" not in text or text.count("Generate") <= 1
+    assert text.count("partial_count") >= 2
 
 
 def test_plans_are_compared_in_one_pass_with_pinned_starts(spark):

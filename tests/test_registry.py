@@ -36,4 +36,4 @@ def test_query_equals_its_sql(spark, db, name):
 def test_driver_entry_points(spark):
     assert QUERIES.keys() == ORACLES.keys()
     assert QUERIES.keys() <= driver.queries().keys() and driver.oracle_sql().keys() <= driver.queries().keys()
-    assert driver.entry(spark).count() == 24
+    assert driver.entry(spark).count() == 14

@@ -193,63 +193,57 @@ def scenario_summary(
 ) -> DataFrame:
     """One row per scenario: outage counts, all-phase counts and the verdict.
 
-    ``ledgers`` and ``sinks`` carry a scenario column; ``specs`` is (scenario, expect,
-    unique_required). All scenarios and tables share one shuffle: every event becomes one
-    row with the tables that should hold it as bits, and its copies per table.
+    ``sinks`` carries a scenario column and ``specs`` is (scenario, expect, unique_required).
+    ``ledgers`` carries one too, or is the one ledger of all scenarios: it is then read once and
+    not multiplied, since what a scenario lacks is what was wanted less what it holds. Copies
+    are counted within the map tasks, before any shuffle.
     """
     tables = tables or TABLES
-    if len(tables) > 62:
-        raise ValueError("more than 62 tables; audit them in several calls")
-    keys = ["scenario", "event_id"]
-    bit = F.lit(0).cast("bigint")
-    for i, table in enumerate(tables):
-        bit = F.when(F.col("sink_table") == table, F.lit(1 << i).cast("bigint")).otherwise(bit)
-    sink = sinks.where(F.col("sink_table").isin(tables))
-    in_outage = (F.col("phase") == DURING).cast("int")
-    tagged = (
+    own = ["scenario"] if "scenario" in ledgers.columns else []
+    wanted = F.when(F.col("sink_table").isin(tables), F.col("sink_table"))
+    events = (
         map_routes(ledgers, route_map)
-        .select(*keys, bit.alias("_wanted"), F.lit(None).cast("string").alias("_at"), in_outage.alias("_o"))
-        .unionByName(
-            sink.select(
-                *keys, F.lit(0).cast("bigint").alias("_wanted"), F.col("sink_table").alias("_at"),
-                F.lit(0).alias("_o"),
-            )
+        .groupBy(*own, "event_id")
+        .agg(F.max(wanted).alias("_wanted"), F.max((F.col("phase") == DURING).cast("int")).alias("_o"))
+    )
+    totals = events.groupBy(*own).agg(
+        F.count_if(F.col("_o") == 1).alias("produced"), F.count("_wanted").alias("_total")
+    )
+    here = F.col("_wanted").eqNullSafe(F.col("sink_table"))
+    per_scenario = (
+        sinks.where(F.col("sink_table").isin(tables))
+        .groupBy("scenario", "event_id", "sink_table")
+        .agg(F.count("*").alias("_copies"))
+        .join(events, [*own, "event_id"], "left")
+        .groupBy("scenario", "event_id")
+        .agg(
+            F.max("_o").alias("_o"),
+            F.count_if(here).alias("_held"),
+            F.count_if(F.col("_copies") > 1).alias("_repeated"),
+            F.count_if(~here).alias("_stray"),
+        )
+        .groupBy("scenario")
+        .agg(
+            F.count_if(F.col("_o") == 1).alias("saved"),
+            F.sum("_held").alias("_held"),
+            F.sum("_repeated").alias("duplicate"),
+            F.sum("_stray").alias("extra"),
         )
-    )
-    stored = [f"_a{i}" for i in range(len(tables))]
-    per_id = tagged.groupBy(*keys).agg(
-        F.max("_o").alias("_o"),
-        F.bit_or("_wanted").alias("_wanted"),
-        *[F.count_if(F.col("_at") == table).alias(a) for a, table in zip(stored, tables)],
     )
-
-    def over_tables(kind) -> Column:
-        hits = [
-            kind(F.col("_wanted").bitwiseAND(F.lit(1 << i)) != 0, F.col(a)).cast("bigint")
-            for i, a in enumerate(stored)
-        ]
-        return F.sum(reduce(lambda x, y: x + y, hits))
-
-    asked, held = F.col("_o") == 1, reduce(lambda x, y: x | y, [F.col(a) > 0 for a in stored])
-    per_scenario = per_id.groupBy("scenario").agg(
-        F.count_if(asked).alias("produced"),
-        F.count_if(asked & held).alias("saved"),
-        F.count_if(asked & ~held).alias("lost"),
-        over_tables(lambda wanted, a: wanted & (a == 0)).alias("missing"),
-        over_tables(lambda wanted, a: a > 1).alias("duplicate"),
-        over_tables(lambda wanted, a: ~wanted & (a > 0)).alias("extra"),
-    )
-    counts = ["produced", "saved", "lost", "missing", "duplicate", "extra"]
-    return specs.join(per_scenario, "scenario", "left").select(
-        "scenario",
-        "expect",
-        *[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in counts],
-        passes(
-            F.col("expect"), F.col("unique_required"),
-            F.coalesce("missing", F.lit(0)), F.coalesce("extra", F.lit(0)),
-            F.coalesce("duplicate", F.lit(0)),
-        ).alias("pass"),
+    joined = specs.join(per_scenario, "scenario", "left")
+    joined = joined.join(totals, own, "left") if own else joined.crossJoin(F.broadcast(totals))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    counted = joined.select(
+        "scenario", "expect", "unique_required",
+        zero("produced").alias("produced"), zero("saved").alias("saved"),
+        (zero("produced") - zero("saved")).alias("lost"),
+        (zero("_total") - zero("_held")).alias("missing"),
+        zero("duplicate").alias("duplicate"), zero("extra").alias("extra"),
     )
+    verdict_ = passes(
+        F.col("expect"), F.col("unique_required"), F.col("missing"), F.col("extra"), F.col("duplicate")
+    )
+    return counted.withColumn("pass", verdict_).drop("unique_required")
 
 
 def verdict_report(
