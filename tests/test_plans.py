@@ -105,7 +105,7 @@ def test_plans_are_compared_in_one_pass_with_pinned_starts(spark):
 def test_insert_reads_only_touched_folders(spark, tmp_path):
     rows = spark.range(100).selectExpr(
         "id AS event_id", "id AS produced_at", "'a' AS route", "'p' AS payload", "'t' AS src_topic",
-        "0 AS src_part", "id AS src_offset", "'t_a' AS sink_table",
+        "0 AS src_part", "id AS src_offset", "current_timestamp() AS inserted_at", "'t_a' AS sink_table",
     )
     path = f"{tmp_path}/t"
     K.insert_if_absent(rows, path, width=10)

@@ -190,15 +190,23 @@ def test_phases_routes_and_surplus(spark):
 
 
 def test_command_line_audit(spark, tmp_path):
+    import json
+
     from tidemark import verify
 
     whole = [("t_b", 1), ("t_a", 2), ("t_b", 3), ("t_a", 4), ("t_rare", 500)]
     ledger(spark, BASIC).withColumn("record_ts", F.col("produced_at")).write.json(f"{tmp_path}/ledger")
-    for name, rows, code in (("good", whole, 0), ("bad", whole[1:], 1)):
+    for name, rows in (("good", whole), ("bad", whole[1:])):
         sink(spark, rows).write.partitionBy("sink_table").parquet(f"{tmp_path}/{name}")
-        arguments = ["--ledger", f"{tmp_path}/ledger", "--sink", f"{tmp_path}/{name}",
-                     "--out", f"{tmp_path}/{name}-out", "--scenario", "S"]
-        assert verify.main(arguments) == code
-        assert verify.main([*arguments, "--expect", "loss"]) == 1 - code
-    report = {r.sink_table: r for r in spark.read.json(f"{tmp_path}/bad-out").collect()}
-    assert report["t_b"].missing_sample == [1] and report["t_a"].missing_count == 0
+
+    def run(*audits):
+        lines = [{"name": n, "ledger": f"{tmp_path}/ledger", "sink": f"{tmp_path}/{n}", **more} for n, more in audits]
+        (tmp_path / "audits.json").write_text("\n".join(map(json.dumps, lines)))
+        return verify.main([f"{tmp_path}/audits.json", f"{tmp_path}/out"])
+
+    assert run(("good", {}), ("bad", {"expect": "loss"})) == 0
+    assert run(("good", {"expect": "loss"}), ("bad", {}), ("good", {"tables": ["t_a"]})) == 2
+    assert run(("bad", {}), ("never-created", {}), ("good", {})) == 2
+    report = {(r.scenario, r.sink_table): r for r in spark.read.json(f"{tmp_path}/out").collect()}
+    assert report["bad", "t_b"].missing_sample == [1] and report["bad", "t_a"].missing_count == 0
+    assert report["never-created", "t_a"].missing_count == 2 and report["never-created", "t_a"].outage.saved == 0

@@ -10,7 +10,7 @@ from tests.shapes import as_dict, log_frame, positions
 
 
 def rows_of(spark, ids, table="t_a", part=0, payload="p"):
-    data = [(i, i, "a", payload, "t", part, i, table) for i in ids]
+    data = [(i, i, "a", payload, "t", part, i, None, table) for i in ids]
     return spark.createDataFrame(data, SINK)
 
 
@@ -60,7 +60,8 @@ def test_insert_if_absent_across_ranges(spark, tmp_path):
 def test_insert_keeps_the_first_copy_of_a_hot_id(spark, tmp_path):
     hot = spark.range(5000).selectExpr(
         "7L AS event_id", "id AS produced_at", "'a' AS route", "cast(id AS string) AS payload",
-        "'t' AS src_topic", "0 AS src_part", "5000 - id AS src_offset", "'t_a' AS sink_table",
+        "'t' AS src_topic", "0 AS src_part", "5000 - id AS src_offset", "current_timestamp() AS inserted_at",
+        "'t_a' AS sink_table",
     )
     K.insert_if_absent(hot, f"{tmp_path}/t")
     row = spark.read.schema(SINK).parquet(f"{tmp_path}/t").collect()
@@ -169,3 +170,23 @@ def test_work_dir_prefers_the_shared_folder(spark, tmp_path):
             spark.conf.unset("spark.checkpoint.dir")
         else:
             spark.conf.set("spark.checkpoint.dir", before)
+
+
+def test_jdbc_writer_stages_and_moves_each_table(spark, tmp_path):
+    from tidemark.streaming import jdbc
+
+    done, saved = [], []
+
+    def save(rows, options):
+        saved.append((options["dbtable"], sorted((r.event_id, r.run, r.batch_id) for r in rows.collect())))
+
+    write = jdbc.batch_writer("jdbc:x", ["t_a", "t_b"], done.append, f"{tmp_path}/owners", "it's", save)
+    write(rows_of(spark, [1, 2]).unionByName(rows_of(spark, [3], "t_b")), 4)
+    assert saved == [("t_a_staging", [(1, "it's", 4), (2, "it's", 4)]), ("t_b_staging", [(3, "it's", 4)])]
+    assert [s.split(" WHERE ")[0].split(" (")[0] for s in done] == [
+        "DELETE FROM t_a_staging", "INSERT INTO t_a", "DELETE FROM t_b_staging", "INSERT INTO t_b",
+    ]
+    assert all("run = 'it''s' AND batch_id = 4" in s for s in done)
+    assert done[1].endswith("ON CONFLICT (event_id) DO NOTHING")
+    options = jdbc.write_options("jdbc:x", "t", parts=3)
+    assert (options["numPartitions"], options["dbtable"]) == ("3", "t")

@@ -241,3 +241,16 @@ def test_an_unfinished_batch_is_not_read(spark, place):
     assert ids(spark, store) == []
     start(spark, f"{place}/log", T.Delivery(store), f"{place}/c")
     assert ids(spark, store) == list(range(10))
+
+
+def test_stale_tables_reads_what_the_pipeline_stores(spark, place):
+    from tidemark.operators.health import stale_tables
+
+    add(spark, f"{place}/log", [(0, 0, 10)])
+    store = T.Store(f"{place}/s")
+    start(spark, f"{place}/log", T.Delivery(store, clock=lambda: F.timestamp_millis(F.lit(60_000))), f"{place}/c")
+    stored = store.read_data(spark)
+    tables = [r.sink_table for r in stored.select("sink_table").distinct().collect()]
+    moment = spark.sql("SELECT timestamp_millis(360000)").first()[0]
+    found = as_dict(stale_tables(stored, [*tables, "t_none"], moment, 4), "sink_table", ["age_ms", "stale"])
+    assert found == {**dict.fromkeys(tables, (300_000, True)), "t_none": (None, True)}

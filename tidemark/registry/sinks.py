@@ -13,7 +13,8 @@ from tidemark.schemas import SINK
 from tidemark.streaming import sinks as K
 from tidemark.streaming.places import read_table, work_dir
 
-STORED = SINK.names
+# All but the clock of insertion, which is the run's own.
+STORED = [name for name in SINK.names if name != "inserted_at"]
 STORED_SQL = (
     'event_id, produced_at, route, payload, topic AS src_topic, "partition" AS src_part, '
     '"offset" AS src_offset, sink_table'

@@ -19,6 +19,7 @@ TOPIC_LOG = T.StructType(
     ]
 )
 
+# Column names.
 LEDGER = T.StructType(
     [
         T.StructField("event_id", T.LongType()),
@@ -29,6 +30,7 @@ LEDGER = T.StructType(
     ]
 )
 
+# Column names.
 SINK = T.StructType(
     [
         T.StructField("event_id", T.LongType()),
@@ -38,6 +40,7 @@ SINK = T.StructType(
         T.StructField("src_topic", T.StringType()),
         T.StructField("src_part", T.IntegerType()),
         T.StructField("src_offset", T.LongType()),
+        T.StructField("inserted_at", T.TimestampType()),
         T.StructField("sink_table", T.StringType()),
     ]
 )
@@ -56,6 +59,7 @@ PROGRESS = T.StructType(
     ]
 )
 
+# Column names.
 REJECTS = T.StructType(
     [
         T.StructField("job", T.StringType()),
@@ -77,7 +81,7 @@ COMMIT_AUDIT = T.StructType(
     ]
 )
 
-# The range note inside `log_comment`; `to` is inclusive.
+# The range note inside `log_comment`; `to` is inclusive.
 COMMIT_NOTE = T.StructType(
     [
         T.StructField("job", T.StringType()),

@@ -120,7 +120,7 @@ class Delivery:
                 fresh = judged if self.gaps_allowed else sinks.new_suffix(judged, overlaps)
             bad = sinks.split_rejects(fresh, self.store.job, self.clock())
             sinks.write_attempt(bad, self.store.rejects, run, batch_id)
-            rows = sinks.delivered_rows(fresh)
+            rows = sinks.delivered_rows(fresh, self.clock())
             self._store(rows if self.hook is None else self.hook(rows), run, batch_id)
             if self.before_progress is not None:
                 self.before_progress(batch_id)

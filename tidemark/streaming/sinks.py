@@ -74,10 +74,11 @@ def attempt_path(path: str, run: str, batch_id: int) -> str:
     return f"{path}/run={run}/batch_id={batch_id}"
 
 
-def delivered_rows(disposed: DataFrame) -> DataFrame:
-    """Delivered records in the sink tables' shape."""
+def delivered_rows(disposed: DataFrame, now: Column | None = None) -> DataFrame:
+    """Delivered records in the sink tables' shape, with the clock of their insertion."""
     return (
         disposed.where(F.col("disposition") == DELIVERED)
+        .withColumn("inserted_at", F.current_timestamp() if now is None else now)
         .withColumnsRenamed({"topic": "src_topic", "partition": "src_part", "offset": "src_offset"})
         .select(*SINK_COLUMNS)
     )

@@ -1,48 +1,51 @@
-"""Audit from the command line: ledger and sink in, verdict rows out.
+"""Audits from the command line: a list of audits in, verdict rows out.
 
-    python -m tidemark.verify --ledger L --sink S --out O --scenario NAME
-        [--tables t_a,t_b,t_rare] [--expect no-loss|loss] [--unique-required]
+    python -m tidemark.verify AUDITS OUT
 
-The ledger is JSON lines, the sink a parquet folder laid out by ``sink_table=``. The verdict
-is written as JSON, one line per table; the exit code is 0 if the prediction held.
+AUDITS is a file or folder of JSON lines, one audit each: ``name``, ``ledger`` (JSON lines) and
+``sink`` (a parquet folder by ``sink_table=``), and if wanted ``tables``, ``expect`` ("no-loss" or
+"loss") and ``unique_required``. OUT gets one JSON line for each table of each audit. The exit code is
+the number of audits whose prediction failed, 100 at most.
 """
 
 from __future__ import annotations
 
-import argparse
+import sys
+from functools import reduce
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidemark.operators.reconcile import verdict_report
 from tidemark.schemas import TABLES
 from tidemark.sources.tables import read_ledger, read_sink
 
+AUDIT = "name string, ledger string, sink string, tables array<string>, expect string, unique_required boolean"
 
-def main(arguments: list[str] | None = None) -> int:
-    parser = argparse.ArgumentParser(description="Set sink tables against a producer's ledger.")
-    parser.add_argument("--ledger", required=True)
-    parser.add_argument("--sink", required=True)
-    parser.add_argument("--out", required=True)
-    parser.add_argument("--scenario", required=True)
-    parser.add_argument("--tables", default=",".join(TABLES))
-    parser.add_argument("--expect", default="no-loss", choices=["no-loss", "loss"])
-    parser.add_argument("--unique-required", action="store_true")
-    args = parser.parse_args(arguments)
 
+def reports(spark: SparkSession, audits: DataFrame) -> DataFrame:
+    """The verdict rows of all audits; their list is the only thing that is collected."""
+    parts = []
+    for audit in audits.collect():
+        tables = audit.tables or TABLES
+        rows = read_sink(spark, audit.sink, tables, ["event_id"])
+        parts.append(
+            verdict_report(
+                read_ledger(spark, audit.ledger), rows, audit.name,
+                audit.expect or "no-loss", bool(audit.unique_required), tables,
+            )
+        )
+    return reduce(DataFrame.unionByName, parts)
+
+
+def main(arguments: list[str] | None = None) -> int:
+    source, out = sys.argv[1:] if arguments is None else arguments
     spark = SparkSession.builder.appName("tidemark-verify").getOrCreate()
-    tables = [name.strip() for name in args.tables.split(",") if name.strip()]
-    report = verdict_report(
-        read_ledger(spark, args.ledger),
-        read_sink(spark, args.sink, tables, ["event_id"]),
-        args.scenario,
-        args.expect,
-        args.unique_required,
-        tables,
-    )
-    report.coalesce(1).write.mode("overwrite").json(args.out)
-    # One row per table.
-    verdicts = spark.read.schema("`pass` boolean").json(args.out)
-    return 0 if verdicts.first()["pass"] else 1
+    audits = spark.read.schema(AUDIT).option("mode", "FAILFAST").json(source)
+    reports(spark, audits).write.mode("overwrite").json(out)
+    written = spark.read.schema("scenario string, `pass` boolean").json(out)
+    failed = written.where(~F.col("pass")).select("scenario").distinct().count()
+    return min(failed, 100)
 
 
 if __name__ == "__main__":
