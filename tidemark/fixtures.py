@@ -37,12 +37,13 @@ class Fixtures:
 
     @cached_property
     def events(self) -> DataFrame:
-        """event_id and its time in milliseconds."""
+        """event_id, its time in milliseconds, and its own fields as payload."""
         return self.of_events(self.spark.read.parquet(f"{self.sf_dir}/events.parquet"))
 
     def of_events(self, raw: DataFrame) -> DataFrame:
         millis = F.unix_millis(F.col("ts").cast("timestamp"))
-        return raw.select("event_id", millis.alias("produced_at"))
+        payload = F.concat_ws("|", "event_type", "props", F.col("user_id").cast("string"))
+        return raw.select("event_id", millis.alias("produced_at"), payload.alias("payload"))
 
     @cached_property
     def n(self) -> int:
@@ -65,6 +66,7 @@ class Fixtures:
             route.alias("route"),
             phase_of(eid, F.lit(self.n / 3.0), F.lit(self.n * 5 / 6.0)).alias("phase"),
             F.col("produced_at").alias("record_ts"),
+            "payload",
         )
 
     @cached_property
@@ -80,7 +82,6 @@ class Fixtures:
                 "topic": F.lit(TOPIC),
                 "partition": (F.col("event_id") % PARTITIONS).cast("int"),
                 "offset": F.floor(F.col("event_id") / F.lit(float(PARTITIONS))).cast("bigint"),
-                "payload": F.concat(F.lit("payload-"), F.col("event_id").cast("string")),
             }
         )
         return encode(placed)

@@ -14,7 +14,8 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 PRELUDE = f"""
-WITH ev AS (SELECT event_id, epoch_us(ts) // 1000 AS produced_at FROM events),
+WITH ev AS (SELECT event_id, epoch_us(ts) // 1000 AS produced_at,
+  concat_ws('|', event_type, props, CAST(user_id AS VARCHAR)) AS payload FROM events),
 nn AS (SELECT max(event_id) + 1 AS n FROM ev),
 ledger AS (
   SELECT event_id, produced_at,
@@ -22,13 +23,13 @@ ledger AS (
          WHEN event_id % 2 = 0 THEN 'a' ELSE 'b' END AS route,
     CASE WHEN event_id < n / 3.0 THEN 'before-outage'
          WHEN event_id < n * 5 / 6.0 THEN 'during-outage' ELSE 'after-restart' END AS phase,
-    produced_at AS record_ts
+    produced_at AS record_ts, payload
   FROM ev, nn),
 log AS (
   SELECT 'events' AS topic, CAST(event_id % 3 AS INTEGER) AS "partition",
     event_id // 3 AS "offset", record_ts, event_id, produced_at, route, phase,
-    'payload-' || event_id AS payload,
-    event_id || chr(9) || produced_at || chr(9) || route || chr(9) || 'payload-' || event_id AS value,
+    payload,
+    event_id || chr(9) || produced_at || chr(9) || route || chr(9) || payload AS value,
     CASE route WHEN 'a' THEN 't_a' WHEN 'b' THEN 't_b' WHEN 'rare' THEN 't_rare' END AS sink_table
   FROM ledger),
 skewed AS (
