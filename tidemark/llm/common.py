@@ -35,3 +35,10 @@ def pieces(texts, limit: int = 4_000_000):
             start, held = i + 1, 0
     if start < len(texts):
         yield start, len(texts)
+
+
+def slices(batches, rows: int = 500):
+    """The same Arrow batches in parts of at most `rows` rows, so that little is unpacked at a time."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)

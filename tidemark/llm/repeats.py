@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import pieces, settled, shared_folder
+from tidemark.llm.common import pieces, settled, shared_folder, slices
 
 SPAN = 200
 GRAM = 8
@@ -115,7 +115,7 @@ def rows_of(text: bytes, span: int, radius: int, width: int, cores_only: bool) -
 
 def _parsed(keyed: DataFrame, span: int, radius: int, width: int, cores_only: bool) -> DataFrame:
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts, keys = batch.column("text").to_pylist(), batch.column("key").to_pylist()
             for i, j in pieces(texts, 2_000_000):
                 core, context, place, key = [], [], [], []
@@ -149,7 +149,7 @@ def _carried(keyed: DataFrame) -> DataFrame:
     """doc_id, key and the text's bytes, compressed for the way."""
 
     def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             raw = [(t or "").encode() for t in batch.column("text").to_pylist()]
             packed = [pa.compress(t, "zstd", asbytes=True) for t in raw]
             sizes = [len(t) for t in raw]
@@ -168,7 +168,7 @@ def _contexts(carried: DataFrame, wanted: DataFrame, span: int) -> DataFrame:
     """wanted (core, key, place) with the bytes of each context."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             core, key, place, held = [], [], [], []
             for k, n, packed, own in zip(*(batch.column(c).to_pylist() for c in ("key", "n", "packed", "own"))):
                 text = _unpacked(packed, n)
@@ -299,7 +299,7 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, radius: int = RADIUS, widt
     run_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             sizes, packed, places = (batch.column(c).to_pylist() for c in ("n", "packed", "places"))
             for i, j in _by_bytes(sizes):
                 removed, kept = [], []
