@@ -11,27 +11,32 @@ from tidemark.sources.vectors import pin_small
 
 
 def history_profile(
-    log: DataFrame, clock: str = "record_ts", with_bytes: bool = False
+    log: DataFrame, clock: str = "record_ts", with_bytes: bool = False, bounds: DataFrame | None = None
 ) -> DataFrame:
     """Offsets, span, records, holes and clock range of each partition.
 
+    ``bounds`` (topic, partition, begin, end), as a broker or a writer keeps them, tells where the
+    log really starts and ends: it brings in partitions without records and holes before the first
+    record or after the last. Without it both are taken from the records.
     ``with_bytes`` reads the values too; leave it off to scan two narrow columns.
     """
     size = [F.sum(F.octet_length("value")).alias("bytes")] if with_bytes else []
-    return (
-        log.groupBy(*PARTITION)
-        .agg(
-            F.min("offset").alias("begin"),
-            (F.max("offset") + 1).alias("end"),
-            F.count("*").alias("records"),
-            F.min_by(clock, "offset").alias("first_offset_ts"),
-            F.max_by(clock, "offset").alias("last_offset_ts"),
-            F.min(clock).alias("min_ts"),
-            F.max(clock).alias("max_ts"),
-            *size,
-        )
-        .withColumn("span", F.col("end") - F.col("begin"))
-        .withColumn("holes", F.col("span") - F.col("records"))
+    found = log.groupBy(*PARTITION).agg(
+        F.min("offset").alias("begin"),
+        (F.max("offset") + 1).alias("end"),
+        F.count("*").alias("records"),
+        F.min_by(clock, "offset").alias("first_offset_ts"),
+        F.max_by(clock, "offset").alias("last_offset_ts"),
+        F.min(clock).alias("min_ts"),
+        F.max(clock).alias("max_ts"),
+        *size,
+    )
+    if bounds is not None:
+        counts = ["records", *(["bytes"] if with_bytes else [])]
+        found = bounds.select(*PARTITION, "begin", "end").join(found.drop("begin", "end"), PARTITION, "left")
+        found = found.fillna(0, counts)
+    return found.withColumn("span", F.col("end") - F.col("begin")).withColumn(
+        "holes", F.col("span") - F.col("records")
     )
 
 

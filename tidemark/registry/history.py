@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tidemark.operators import history as H
 from tidemark.registry.base import DAY_MS, NOW_MS, Fixtures, query
+from tidemark.sources.logs import pinned_bounds
 
 # Half a day on either side of where the outage's clocks jump back.
 LO, HI = NOW_MS - 43 * DAY_MS // 2, NOW_MS - 41 * DAY_MS // 2
@@ -16,10 +18,22 @@ PROFILE = """SELECT topic, "partition", min("offset") AS "begin", max("offset")
   max("offset") + 1 - min("offset") AS span, max("offset") + 1 - min("offset") - count(*) AS holes"""
 
 
-@query("history_profile", f'{PROFILE} FROM skewed WHERE event_id % 7 <> 3 GROUP BY topic, "partition"')
+@query(
+    "history_profile",
+    f"""SELECT b.topic, b."partition", b."begin", b."end", coalesce("records", 0) AS "records", first_offset_ts,
+      last_offset_ts, min_ts, max_ts, b."end" - b."begin" AS span,
+      b."end" - b."begin" - coalesce("records", 0) AS holes
+    FROM (SELECT topic, "partition", "begin", "end" + 5 AS "end" FROM bounds
+        UNION ALL SELECT 'events', 9, 0, 0) b
+      LEFT JOIN ({PROFILE} FROM skewed WHERE event_id % 7 <> 3 GROUP BY topic, "partition") p
+      USING (topic, "partition")""",
+)
 def history_profile(f: Fixtures) -> DataFrame:
-    """A log with holes at every seventh record and clocks out of order."""
-    return H.history_profile(f.skewed_log.where("event_id % 7 != 3"))
+    """A log with holes at every seventh record and clocks out of order. Its bounds know of five
+    offsets past the last record, and of a partition without records."""
+    found = pinned_bounds(f.log).withColumn("end", F.expr("end + 5"))
+    empty = f.spark.sql("SELECT 'events' AS topic, 9 AS partition, 0L AS begin, 0L AS end")
+    return H.history_profile(f.skewed_log.where("event_id % 7 != 3"), bounds=found.unionByName(empty))
 
 
 @query(

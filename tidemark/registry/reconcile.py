@@ -304,20 +304,30 @@ def reject_conflicts(f: Fixtures) -> DataFrame:
     return R.conflicts(R.positions_of(stored), f.rejects).select(*POSITION)
 
 
+def _sample_sql(kind: str, holds: str) -> str:
+    return f"""coalesce((SELECT string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY event_id) FROM (
+        SELECT event_id FROM compared c WHERE c.sink_table = t.sink_table AND {holds} ORDER BY event_id LIMIT 20)), '')
+      AS {kind}_sample"""
+
+
 @query(
     "verdict_report",
-    f"""SELECT 'nightly' AS scenario, sink_table, expected, actual_distinct, "rows", missing_count,
-      extra_count, duplicate_count, o.saved AS outage_saved, o.lost AS outage_lost,
+    f"""SELECT 'nightly' AS scenario, t.*, o.produced AS outage_produced, o.saved AS outage_saved, o.lost AS outage_lost,
+      {_sample_sql("missing", "expected_copies > 0 AND stored_copies = 0")},
+      {_sample_sql("extra", "expected_copies = 0 AND stored_copies > 0")},
+      {_sample_sql("duplicate", "stored_copies > 1")},
       sum(missing_count) OVER () = 0 AND sum(extra_count) OVER () = 0 AS "pass"
-    FROM (SELECT sink_table, {COUNTS} FROM compared GROUP BY sink_table),
-      (SELECT count(*) FILTER (WHERE held) AS saved, count(*) FILTER (WHERE NOT held) AS lost
+    FROM (SELECT sink_table, {COUNTS} FROM compared GROUP BY sink_table) t,
+      (SELECT count(*) AS produced, count(*) FILTER (WHERE held) AS saved, count(*) FILTER (WHERE NOT held) AS lost
        FROM (SELECT DISTINCT event_id, event_id IN (SELECT event_id FROM sink) AS held
              FROM ledger WHERE phase = 'during-outage')) o""",
 )
 def verdict_report(f: Fixtures) -> DataFrame:
+    """The whole report, its samples as text."""
     report = R.verdict_report(f.ledger, f.sink, "nightly")
+    sample = lambda kind: F.array_join(f"{kind}_sample", ",").alias(f"{kind}_sample")
     return report.select(
-        "scenario", "sink_table", "expected", "actual_distinct", "rows", "missing_count", "extra_count",
-        "duplicate_count", F.col("outage.saved").alias("outage_saved"),
-        F.col("outage.lost").alias("outage_lost"), "pass",
+        "scenario", "sink_table", "expected", "actual_distinct", "rows", "missing_count", "extra_count", "duplicate_count",
+        *[F.col(f"outage.{c}").alias(f"outage_{c}") for c in ("produced", "saved", "lost")],
+        *[sample(kind) for kind in ("missing", "extra", "duplicate")], "pass",
     )
