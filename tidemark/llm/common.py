@@ -12,10 +12,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir. Only where that is unset, as in tests, a temporary folder."""
+    """The session's spark.checkpoint.dir. Only a local session without one, as in tests, gets a temporary folder."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors can reach")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tidemark-"))
     return context.getCheckpointDir()
 
 
