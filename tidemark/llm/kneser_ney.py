@@ -89,13 +89,14 @@ def count_grams(docs: DataFrame, labels: DataFrame, order: int = ORDER) -> DataF
 
     schema = T.StructType([docs.schema["doc_id"]]).add("n", T.LongType()).add("packed", T.BinaryType())
     squeezed = docs.select("doc_id", "text").mapInArrow(squeeze, schema)
-    known = squeezed.join(trusted_ids(labels), "doc_id").select("n", "packed")
+    # A merge join at every size: what moves is then in proportion to the input.
+    known = squeezed.join(trusted_ids(labels).hint("merge"), "doc_id").select("n", "packed")
     return known.mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
 def shares(counts: DataFrame, order: int = ORDER) -> tuple[DataFrame, DataFrame]:
     """(k, gram, share) of each n-gram of each order k, and (k, context, backoff)."""
-    level = counts.select(F.lit(order).alias("k"), "gram", "n")
+    level = settled(counts.select(F.lit(order).alias("k"), "gram", "n"))
     levels = level
     for k in range(order - 1, 0, -1):
         level = level.groupBy((F.col("gram") % SYMBOLS**k).alias("gram")).agg(F.count(F.lit(1)).alias("n"))
