@@ -44,8 +44,12 @@ SECOND_PERSON = frozenset(
     "tú ti tus usted ustedes vosotros vuestra vuestro".split()
 )
 WORD = re.compile(r"[^\W\d_]+")
-OBFUSCATED = re.compile(r"[^\W\d_][0-9@$*!|+]+[^\W\d_]|(?:\b[^\W\d_][.\-_*]){3,}")
-SHOUTED = re.compile(r"\b[^\W\d_a-zà-öø-ÿ]{3,}\b")
+# Symbols inside a word, single letters between separators, runs of capitals; each starts with a
+# rare character, which the search jumps to.
+INNER = re.compile(r"[0-9@$*!|+]+(?=[^\W\d_])")
+SPACED = re.compile(r"[.\-_*](?=[^\W\d_][.\-_*][^\W\d_])")
+SHOUTED = re.compile(r"[A-Z]{3,}")
+CAPITALS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 NAMES = (
     "strong", "medium", "weak", "strong_kinds", "strong_rate", "medium_rate", "odds_sum", "odds_top", "near_second",
     "second_rate", "capitals", "shouted", "exclaimed", "asked", "marks", "obfuscated", "log_words",
@@ -89,30 +93,31 @@ def features(text: str | None, lexicon: Lexicon, label: int | None = None) -> li
     if not text:
         return [0.0] * len(NAMES)
     words = WORD.findall(text.lower())
-    n = len(words) or 1
+    kinds, n, length = set(words), len(words) or 1, len(text)
     own = (0, 0) if label is None else (label, 1 - label)
-    odds = {w: lexicon.of_unseen(w) if label is None else lexicon.odds(w, own) for w in set(words)}
-    line = [odds[w] for w in words]
-    strong = [i for i, x in enumerate(line) if x > 3.0]
-    medium = sum(x > 1.5 for x in line)
-    weak = sum(x > 0.7 for x in line)
-    second = [i for i, w in enumerate(words) if w in SECOND_PERSON] if strong else []
+    odds = {}  # of words that point to toxicity at all
+    for w in kinds:
+        value = lexicon.of_unseen(w) if label is None else lexicon.odds(w, own)
+        if value > 0.7:
+            odds[w] = value
+    line = [(i, odds[w]) for i, w in enumerate(words) if w in odds] if odds else []
+    strong = [i for i, x in line if x > 3.0]
+    medium = [x for _, x in line if x > 1.5]
     near = 0
-    if second:
-        at = np.array(second)
+    if strong and not kinds.isdisjoint(SECOND_PERSON):
+        at = np.array([i for i, w in enumerate(words) if w in SECOND_PERSON])
         spot = np.searchsorted(at, strong)
-        gap = np.minimum(
-            np.abs(at[np.minimum(spot, len(at) - 1)] - strong), np.abs(at[np.maximum(spot - 1, 0)] - strong)
-        )
-        near = int((gap <= 3).sum())
-    length = len(text)
-    capitals = sum(map(str.isupper, text)) if not text.islower() else 0
+        after = np.abs(at[np.minimum(spot, len(at) - 1)] - strong)
+        near = int((np.minimum(after, np.abs(at[np.maximum(spot - 1, 0)] - strong)) <= 3).sum())
+    raw = text.encode()
+    capitals = len(raw) - len(raw.translate(None, CAPITALS))
+    inner = sum(m.start() > 0 and text[m.start() - 1].isalpha() for m in INNER.finditer(text))
     marks = sum(text.count(c) for c in "#$%&*|<>")
     return [
-        float(len(strong)), float(medium), float(weak), float(len({words[i] for i in strong})), len(strong) / n, medium / n,
-        sum(x for x in line if x > 1.5), max(line, default=0.0), near / n, sum(w in SECOND_PERSON for w in odds) / n,
-        capitals / length, len(SHOUTED.findall(text)) / n if capitals > 2 else 0.0, text.count("!") / n, text.count("?") / n,
-        marks / length, len(OBFUSCATED.findall(text)) / n, math.log1p(len(words)),
+        float(len(strong)), float(len(medium)), float(len(line)), float(len({words[i] for i in strong})), len(strong) / n,
+        len(medium) / n, sum(medium), max(odds.values(), default=0.0), near / n, len(kinds & SECOND_PERSON) / n,
+        capitals / length, len(SHOUTED.findall(text)) / n, text.count("!") / n, text.count("?") / n,
+        marks / length, (inner + len(SPACED.findall(text))) / n, math.log1p(len(words)),
     ]
 
 
