@@ -47,10 +47,15 @@ class Run:
     def bounds(self) -> DataFrame:
         return pin_small(log_bounds(self.seen))
 
+    @cached_property
+    def first_bounds(self) -> DataFrame:
+        """The log's bounds when the job first stops."""
+        return pin_small(log_bounds(self.early))
+
     @cached_property
     def commits(self) -> DataFrame:
         """The consumer group's commits at the stop."""
-        return pin_small(log_bounds(self.early)).withColumnRenamed("end", "current_offset")
+        return self.first_bounds.withColumnRenamed("end", "current_offset")
 
     def deliver(self, log: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
         """What a sink gets of these records."""
@@ -126,7 +131,7 @@ SCENARIOS = [
     Scenario("S02", "no-loss", lambda r: r.restart("committed-earliest", group_commits=r.commits)),
     Scenario("S03", "loss", lambda r: r.resume("latest")),
     Scenario("S04", "loss", lambda r: r.resume(
-        "committed-latest", bounds=pin_small(log_bounds(r.early)), group_commits=r.commits.where("false"))),
+        "committed-latest", bounds=r.first_bounds, group_commits=r.commits.where("false"))),
     Scenario("S12", "loss", lambda r: r.from_starved("store-max:t_a", sink=r.starved)),
     Scenario("S13", "no-loss", lambda r: r.from_starved("store-frontier", progress=r.maxima, job=JOB)),
     Scenario("S13P", "no-loss", lambda r: r.from_starved("store-prefix", progress=r.prefixes, branches=TABLES)),
