@@ -38,7 +38,7 @@ def token_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Pieces of token sequences of at most 2048 ids, with their places."""
     import public_tokenizers
 
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, special=True)
 
 
 STAGES = [

@@ -7,8 +7,10 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from tests.llm.shapes import no_docs, odd_docs, odd_rows
 from tidemark.llm import packing as K
+from tidemark.llm import queries
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -96,3 +98,17 @@ def test_odd_documents(spark):
     special = spark.createDataFrame([(1, "a <|endoftext|> b​\x1c  \n x")], "doc_id long, text string")
     check(K.pack(special, PATH, public_tokenizers.PATTERN).collect(), [(1, "a <|endoftext|> b​\x1c  \n x")], coder())
     assert K.pack(no_docs(spark), PATH, public_tokenizers.PATTERN).count() == 0
+
+
+def test_special_tokens_in_text_as_the_library_reads_them(spark, tmp_path):
+    rng = random.Random(5)
+    parts = ["<|endoftext|>", "<|endoftext", "|>", " ", "  ", "\n", "a", "Der", "é", "don't", "12", ".", "<|endoftext|><|endoftext|>"]
+    texts = ["one <|endoftext|> two", "<|endoftext|>", "a" * 3_000 + "<|endoftext|> b " * 1_000, None]
+    texts += ["".join(rng.choice(parts) for _ in range(rng.randint(1, 40))) for _ in range(300)]
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    default = Tokenizer.from_file(PATH)
+    check(K.pack(docs, PATH, public_tokenizers.PATTERN, special=True).collect(), rows, default)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    check(queries.op6_minimum_bin_slack_packing(spark, str(tmp_path)).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset").collect(), rows, default)
+    check(corpus_pipeline.token_packing(spark, docs, str(tmp_path)).collect(), rows, default)

@@ -12,8 +12,9 @@ levels, a count by length and bucket and a number within, so no task holds all p
 
 Padding: a sequence is padded to `capacity` unless its length is a power of two.
 Defined cases: null and empty texts are the end id alone; repeated rows are packed each; rows without
-doc_id are packed like others; an empty table gives no pieces. Strings of special tokens in a text
-are ordinary text.
+doc_id are packed like others; an empty table gives no pieces. With `special`, as in the queries, the
+file's added tokens in a text get their own ids, as from `tokenizers` by default; without it they are
+ordinary text.
 """
 
 from __future__ import annotations
@@ -45,9 +46,17 @@ def byte_ranks(path: str) -> dict[bytes, int]:
     return {bytes(byte[c] for c in token): i for token, i in vocabulary.items() if all(c in byte for c in token)}
 
 
-def pieces(docs: DataFrame, path: str, pattern: str, capacity: int = CAPACITY, end: int = END) -> DataFrame:
+def added_tokens(path: str) -> dict[str, int]:
+    """Added tokens and ids of a tokenizers file; only those found as they stand, anywhere in a text."""
+    added = json.load(open(path, encoding="utf-8"))["added_tokens"]
+    if any(t[flag] for t in added for flag in ("single_word", "lstrip", "rstrip", "normalized")):
+        raise ValueError(f"{path} has added tokens that match otherwise than as they stand")
+    return {t["content"]: t["id"] for t in added}
+
+
+def pieces(docs: DataFrame, path: str, pattern: str, capacity: int = CAPACITY, end: int = END, special: bool = False) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens: one row for each piece of at most `capacity` ids."""
-    ranks = byte_ranks(path)
+    ranks, added = byte_ranks(path), added_tokens(path) if special else {}
     schema = T.StructType([docs.schema["doc_id"]])
     for name in ("start", "length", "ids_crc32", "doc_tokens"):
         schema.add(name, T.LongType())
@@ -55,11 +64,11 @@ def pieces(docs: DataFrame, path: str, pattern: str, capacity: int = CAPACITY, e
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import tiktoken
 
-        coder = tiktoken.Encoding("vocabulary", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        coder = tiktoken.Encoding("vocabulary", pat_str=pattern, mergeable_ranks=ranks, special_tokens=added)
         for batch in batches:
             row, out = [], []
             for i, text in enumerate(batch.column("text")):
-                ids = coder.encode_ordinary(text.as_py() or "")
+                ids = coder.encode(text.as_py() or "", allowed_special="all")
                 ids.append(end)
                 raw = memoryview(array.array("I", ids).tobytes())
                 for start in range(0, len(ids), capacity):
@@ -122,9 +131,9 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, in
     return rows
 
 
-def pack(docs: DataFrame, path: str, pattern: str, capacity: int = CAPACITY, end: int = END, buckets: int = BUCKETS) -> DataFrame:
+def pack(docs: DataFrame, path: str, pattern: str, capacity: int = CAPACITY, end: int = END, buckets: int = BUCKETS, special: bool = False) -> DataFrame:
     """pieces() with sequence_id and offset: one row for each piece."""
-    cut = settled(pieces(docs, path, pattern, capacity, end))
+    cut = settled(pieces(docs, path, pattern, capacity, end, special))
     counts = {row["length"]: row["count"] for row in cut.groupBy("length").count().collect()}
     rows = plan(counts, capacity)
     columns = ("length", "rank_from", "rank_to", "each", "sequence", "at")

@@ -80,7 +80,7 @@ def op1_semi_markov_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_minimum_bin_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, special=True)
 
 
 @query
