@@ -114,3 +114,22 @@ def test_odd_documents(spark):
     assert [s["kind"] for s in ten["base"]] == ["email"] * 30 + ["ip"] * 30 + ["phone"] * 30
     assert pii.masked(odd_docs(spark)).columns == odd_docs(spark).columns
     assert pii.find_personal(no_docs(spark)).count() == 0 and pii.masked(no_docs(spark)).count() == 0
+
+
+@pytest.mark.parametrize("n", [200, 300, 2_000])
+def test_long_secrets_are_found_and_masked(spark, n):
+    rng = random.Random(n)
+    value = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_") for _ in range(n - 2)) + "x7"
+    dotted = f"eyJ{value[: n // 3]}.{value[n // 3 : n // 2]}x.{value[n // 2 :]}"
+    texts = [f"set token={value} now", f'the api_key="{value}" is', f"with token={dotted} sent", "no numbers, just words"]
+    got = {r["doc_id"]: r["spans"] for r in pii.find_personal(docs_of(spark, texts)).collect()}
+    for i, secret in enumerate([value, value, dotted]):
+        assert [(s["kind"], texts[i][s["start"] : s["end"]]) for s in got[i]] == [("secret", secret)]
+    shown = {r["doc_id"]: r["text"] for r in pii.masked(docs_of(spark, texts)).collect()}
+    assert shown[0] == "set token=<SECRET> now" and shown[2] == "with token=<SECRET> sent"
+
+
+def test_long_words_take_linear_time():
+    field = pii.Field()
+    for unit in ("a1", "1", "1.", "x.1@", "1 ", "+1-"):
+        pii.all_spans("token=" + unit * 100_000, field)

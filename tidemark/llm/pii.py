@@ -15,7 +15,7 @@ few or no windows still leave a usable model.
 
 Defined cases: null and empty texts have no spans; positions count code points, end exclusive;
 repeated rows each get a result; spans of different patterns may overlap, and all are reported; a
-segment of over MAX_CHARS characters is no entity; empty tables give empty results.
+word may be of any length; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -34,7 +34,6 @@ from pyspark.sql import types as T
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "secret")
 MAX_TOKENS = 5
-MAX_CHARS = 256
 TRAIN_DOCS = 2_000
 TRAIN_WINDOWS = 300
 EPOCHS = 6
@@ -232,7 +231,7 @@ def candidates(text: str, window: list[tuple[int, int]]) -> list[list[tuple[int,
         own = []
         for k in range(1, min(MAX_TOKENS, len(window) - i) + 1):
             start, end = trimmed(text, first, window[i + k - 1][1])
-            if end - start > MAX_CHARS or start >= end:
+            if start >= end:
                 continue
             if k > 1 and not NUMBER_SHAPE.fullmatch(text, start, end):
                 continue  # only numbers are written in several words
