@@ -1,22 +1,17 @@
 """Quality by the perplexity of an interpolated modified Kneser-Ney n-gram model.
 
-The model is trained on all trusted documents, those labelled good. Its n-grams are over SYMBOLS
-classes of bytes (letters, kinds of punctuation, bytes beyond ASCII), which serves any language and
-bounds the number of different n-grams by SYMBOLS^order, whatever the corpus. Counting is sharded:
-tasks count their own text, n-grams meet by key, lower orders count how many different symbols an
-n-gram follows, and a join by context gives each n-gram its discounted share and each context its
-backoff weight. These tables are bounded by SYMBOLS^order rows, so they may come to the driver, where
-they become one dense table of log-probabilities that travels to the tasks; each whole text is then
-scored where it lies, in one pass.
-
-A document is kept if its perplexity lies between two quantiles of the trusted documents of its
-language; a language with few trusted documents takes those of all. Repetitive text falls below the
-lower one, junk rises above the upper one.
-
-Defined cases: null and empty texts have no perplexity and are not kept; null language is a language
-of its own; a document labelled more than once is trusted only if all labels say so; without trusted
-documents all symbols are equally likely, there are no quantiles, and all documents with text are
-kept; repeated rows each get a result; empty tables give empty results.
+The model is trained on all trusted documents, those labelled good. Its n-grams are over words; see
+word_model. A document is kept if its perplexity lies between two quantiles of the trusted documents
+of its language, each scored without its own counts; a language with few trusted documents takes those
+of all. Repetitive text falls below the lower one, junk rises above the upper one.
+
+Defined cases: null and empty texts have no perplexity and are not kept, nor are texts of blanks alone;
+null language is a language of its own; a document labelled more than once is trusted only if all labels
+say so; without trusted documents all words are equally likely, there are no quantiles, and all documents
+with words are kept; repeated rows each get a result; empty tables give empty results.
+
+count_grams, shares and log_table are a model over SYMBOLS classes of bytes, whose tables are bounded by
+SYMBOLS^order rows. judge() does not use it.
 """
 
 from __future__ import annotations
@@ -24,12 +19,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.llm import word_model
 from tidemark.llm.common import settled
 
 SYMBOLS = 44
@@ -139,26 +134,9 @@ def log_table(counts: DataFrame, order: int = ORDER) -> np.ndarray:
     return np.log(np.maximum(p, 1e-12)).astype(np.float32)
 
 
-def perplexity(docs: DataFrame, logs: np.ndarray, order: int = ORDER) -> DataFrame:
-    """doc_id, lang, n_symbols, perplexity: one row for each row of docs."""
-    table = symbol_table()
-
-    @F.pandas_udf(T.StructType().add("n_symbols", T.LongType()).add("perplexity", T.DoubleType()))
-    def score(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for batch in texts:
-            rows = []
-            for text in batch:
-                own = logs[grams(text, order, table)] if text else ()
-                rows.append((len(own), float(np.exp(-own.mean(dtype=np.float64))) if len(own) else None))
-            yield pd.DataFrame(rows, columns=["n_symbols", "perplexity"])
-
-    return docs.select("doc_id", "lang", score("text").alias("s")).select("doc_id", "lang", "s.n_symbols", "s.perplexity")
-
-
-def judge(docs: DataFrame, labels: DataFrame, order: int = ORDER, low: float = LOW, high: float = HIGH, least: int = LEAST) -> DataFrame:
-    """perplexity() with the bounds low, high that hold for the row, and kept."""
-    logs = log_table(count_grams(docs, labels, order), order)
-    scored = settled(perplexity(docs, logs, order))
+def judge(docs: DataFrame, labels: DataFrame, low: float = LOW, high: float = HIGH, least: int = LEAST) -> DataFrame:
+    """word_model.perplexity() with the bounds low, high that hold for the row, and kept."""
+    scored = settled(word_model.perplexity(docs, trusted_ids(labels), discounts))
     good = scored.where("perplexity is not null").join(trusted_ids(labels), "doc_id")
     q = F.percentile_approx("perplexity", [low, high], 100_000)
     every = good.agg(q.alias("q")).first()["q"]
