@@ -54,3 +54,11 @@ def test_odd_documents(spark):
     assert len(rows) == len(odd_rows()) and all(0 <= r["score"] <= 1 for r in rows)
     assert {r["predicted"] for r in X.score(odd_docs(spark), labels_of(spark, [])).collect()} == {0}
     assert X.score(no_docs(spark), labels).count() == 0
+
+
+@pytest.mark.parametrize("text", ["BLÖDE Kuh", "ПОШЁЛ вон, ДА", "ΦΎΓΕ τώρα", "STOP IT now", "ÉÈ ok ÀB C", "ǅǅǅ ⅧⅧⅧ 𝐀𝐁𝐂", "é" * 9])
+def test_capitals_of_all_scripts_count(text):
+    got = dict(zip(X.NAMES, X.features(text, X.Lexicon({}, 0, 0))))
+    runs = [len(r) for r in "".join(c if c.isupper() else " " for c in text).split()]
+    assert got["capitals"] == sum(map(str.isupper, text)) / len(text)
+    assert got["shouted"] == sum(r >= 3 for r in runs) / (len(X.WORD.findall(text.lower())) or 1)

@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import math
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterator
 
@@ -50,6 +51,8 @@ INNER = re.compile(r"[0-9@$*!|+]+(?=[^\W\d_])")
 SPACED = re.compile(r"[.\-_*](?=[^\W\d_][.\-_*][^\W\d_])")
 SHOUTED = re.compile(r"[A-Z]{3,}")
 CAPITALS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+BEYOND = re.compile(r"[^\x00-\x7f]")
+SHOUTED_ANY = re.compile("[" + "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isupper()) + "]{3,}")
 NAMES = (
     "strong", "medium", "weak", "strong_kinds", "strong_rate", "medium_rate", "odds_sum", "odds_top", "near_second",
     "second_rate", "capitals", "shouted", "exclaimed", "asked", "marks", "obfuscated", "log_words",
@@ -111,12 +114,16 @@ def features(text: str | None, lexicon: Lexicon, label: int | None = None) -> li
         near = int((np.minimum(after, np.abs(at[np.maximum(spot - 1, 0)] - strong)) <= 3).sum())
     raw = text.encode()
     capitals = len(raw) - len(raw.translate(None, CAPITALS))
+    shouted = SHOUTED
+    if not text.isascii():
+        capitals += sum(map(str.isupper, BEYOND.findall(text)))
+        shouted = SHOUTED_ANY
     inner = sum(m.start() > 0 and text[m.start() - 1].isalpha() for m in INNER.finditer(text))
     marks = sum(text.count(c) for c in "#$%&*|<>")
     return [
         float(len(strong)), float(len(medium)), float(len(line)), float(len({words[i] for i in strong})), len(strong) / n,
         len(medium) / n, sum(medium), max(odds.values(), default=0.0), near / n, len(kinds & SECOND_PERSON) / n,
-        capitals / length, len(SHOUTED.findall(text)) / n, text.count("!") / n, text.count("?") / n,
+        capitals / length, len(shouted.findall(text)) / n, text.count("!") / n, text.count("?") / n,
         marks / length, (inner + len(SPACED.findall(text))) / n, math.log1p(len(words)),
     ]
 
