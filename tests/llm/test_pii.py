@@ -133,3 +133,21 @@ def test_long_words_take_linear_time():
     field = pii.Field()
     for unit in ("a1", "1", "1.", "x.1@", "1 ", "+1-"):
         pii.all_spans("token=" + unit * 100_000, field)
+
+
+def test_numbers_with_thousands_of_zeros(spark):
+    zeros = "0" * 5_000
+    texts = [f"{zeros}.1.1.1 end", f"at {zeros}7.{zeros}.0.255", f"1.2.3.{zeros}256", "1" * 6_000 + ".1.1.1"]
+    got = [[s["kind"] for s in r["base"]] for r in pii.find_personal(docs_of(spark, texts)).orderBy("doc_id").collect()]
+    assert got == [["ip"], ["ip"], [], []]
+
+
+def test_a_long_page_of_contacts_takes_linear_time():
+    """Segments are met with the pattern spans around them only."""
+    field = pii.Field()
+    line = "write to a.b{}@mail.example.com or call +1 (269) 555-{:04d}, token = 9b18565f63d0b770c4262a4f5ba8015c\n"
+    base, spans = pii.all_spans("".join(line.format(i, i) for i in range(3_000)), field)
+    kinds = [k for k, _, _ in spans]
+    assert len(base) == 6_000 and kinds.count("secret") == 3_000
+    small = pii.all_spans("".join(line.format(i, i) for i in range(3)), field)[1]
+    assert [s for s in spans if s[2] <= small[0][2]] == small[:1]

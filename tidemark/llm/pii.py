@@ -10,7 +10,8 @@ alone.
 
 The field is trained on windows of at most TRAIN_DOCS documents, chosen by a hash of doc_id: patterns
 give their kinds there, and assignments of long random strings to a cue word, or well-known key
-formats, give `secret`. Weights start from, and are pulled to, the plain expectations in PRIOR, so
+formats, give `secret`. Windows of over TRAIN_CHARS characters are not learnt from (they are segmented
+like all others). Weights start from, and are pulled to, the plain expectations in PRIOR, so
 few or no windows still leave a usable model.
 
 Defined cases: null and empty texts have no spans; positions count code points, end exclusive;
@@ -22,6 +23,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -36,6 +38,7 @@ KINDS = (*BASE, "secret")
 MAX_TOKENS = 5
 TRAIN_DOCS = 2_000
 TRAIN_WINDOWS = 300
+TRAIN_CHARS = 1_000
 EPOCHS = 6
 #: Words that announce a secret or a number.
 CUES = {
@@ -87,7 +90,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     if not any(d in text for d in "0123456789"):
         return found
     for m in IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+        if all(len(p) <= 3 and int(p or 0) <= 255 for p in (q.lstrip("0") for q in m[0].split("."))):
             found.append(("ip", m.start(), m.end()))
     for m in CARD.finditer(text):
         digits = m[0].replace(" ", "").replace("-", "")
@@ -373,7 +376,7 @@ def train(docs: DataFrame, most_docs: int = TRAIN_DOCS, most_windows: int = TRAI
                 (doc_id, start, text[max(0, window[0][0] - 8) : window[-1][1] + 8])
                 for doc_id, text in zip(batch["doc_id"], batch["text"])
                 for window in windows(text)
-                if window[-1][1] - window[0][0] <= 1_000
+                if window[-1][1] - window[0][0] <= TRAIN_CHARS
                 for start in (window[0][0],)
             ]
             yield pd.DataFrame(rows, columns=["doc_id", "start", "text"])
@@ -386,11 +389,18 @@ def train(docs: DataFrame, most_docs: int = TRAIN_DOCS, most_windows: int = TRAI
 
 def added_spans(text: str, base: list[tuple[str, int, int]], field: Field) -> list[tuple[str, int, int]]:
     """Segments of the field that touch no pattern span, by kind as listed, then start."""
-    taken = sorted((a, b) for _, a, b in base)
+    starts, ends = [], []  # of the stretches that pattern spans cover, apart and in order
+    for a, b in sorted((a, b) for _, a, b in base):
+        if ends and a <= ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
     found = []
     for window in windows(text):
         for kind, start, end in field.best(candidates(text, window)):
-            if not any(a < end and start < b for a, b in taken):
+            i = bisect_left(starts, end)  # stretches that begin before the segment ends
+            if not i or ends[i - 1] <= start:
                 found.append((KINDS[kind], start, end))
     return sorted(found, key=lambda s: (KINDS.index(s[0]), s[1]))
 

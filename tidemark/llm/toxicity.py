@@ -8,7 +8,8 @@ are computed, so training and unseen documents look alike. Labels, language, sou
 no feature.
 
 Only a bounded sample of labelled rows is learnt from: at most MOST_TOXIC toxic and MOST_CLEAN clean
-documents, the first by a hash of doc_id, weighted back to their true shares. Their features (not
+documents, the first by a hash of doc_id, weighted back to their true shares, and the lexicon keeps the
+LEXICON grams with the highest odds. Their features (not
 their texts) come to the driver, where the trees and the calibration are fitted. Scoring covers every
 whole text in one pass.
 
@@ -45,14 +46,12 @@ SECOND_PERSON = frozenset(
     "tú ti tus usted ustedes vosotros vuestra vuestro".split()
 )
 WORD = re.compile(r"[^\W\d_]+")
-# Symbols inside a word, single letters between separators, runs of capitals; each starts with a
-# rare character, which the search jumps to.
+# Symbols inside a word, single letters between separators; each starts with a rare character, which
+# the search jumps to.
 INNER = re.compile(r"[0-9@$*!|+]+(?=[^\W\d_])")
 SPACED = re.compile(r"[.\-_*](?=[^\W\d_][.\-_*][^\W\d_])")
-SHOUTED = re.compile(r"[A-Z]{3,}")
-CAPITALS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-BEYOND = re.compile(r"[^\x00-\x7f]")
-SHOUTED_ANY = re.compile("[" + "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isupper()) + "]{3,}")
+#: By code point: is it a capital of any script?
+CAPITAL = np.fromiter((chr(c).isupper() for c in range(sys.maxunicode + 1)), bool, sys.maxunicode + 1)
 NAMES = (
     "strong", "medium", "weak", "strong_kinds", "strong_rate", "medium_rate", "odds_sum", "odds_top", "near_second",
     "second_rate", "capitals", "shouted", "exclaimed", "asked", "marks", "obfuscated", "log_words",
@@ -64,6 +63,13 @@ def grams(word: str) -> list[str]:
     return [word[:k] for k in range(4, min(len(word), 8))] + [word + "$"]
 
 
+def capital_runs(text: str) -> tuple[int, int]:
+    """How many characters are capitals, of any script, and how many runs of three or more they form."""
+    capital = CAPITAL[np.frombuffer(text.encode("utf-32-le"), np.uint32)]
+    three = capital[2:] & capital[1:-1] & capital[:-2]
+    return int(np.count_nonzero(capital)), int(np.count_nonzero(three[1:] & ~three[:-1])) + int(three[:1].any())
+
+
 class Lexicon:
     """Log-odds of grams, from how many toxic and clean documents hold them."""
 
@@ -112,18 +118,13 @@ def features(text: str | None, lexicon: Lexicon, label: int | None = None) -> li
         spot = np.searchsorted(at, strong)
         after = np.abs(at[np.minimum(spot, len(at) - 1)] - strong)
         near = int((np.minimum(after, np.abs(at[np.maximum(spot - 1, 0)] - strong)) <= 3).sum())
-    raw = text.encode()
-    capitals = len(raw) - len(raw.translate(None, CAPITALS))
-    shouted = SHOUTED
-    if not text.isascii():
-        capitals += sum(map(str.isupper, BEYOND.findall(text)))
-        shouted = SHOUTED_ANY
+    capitals, shouted = capital_runs(text)
     inner = sum(m.start() > 0 and text[m.start() - 1].isalpha() for m in INNER.finditer(text))
     marks = sum(text.count(c) for c in "#$%&*|<>")
     return [
         float(len(strong)), float(len(medium)), float(len(line)), float(len({words[i] for i in strong})), len(strong) / n,
         len(medium) / n, sum(medium), max(odds.values(), default=0.0), near / n, len(kinds & SECOND_PERSON) / n,
-        capitals / length, len(shouted.findall(text)) / n, text.count("!") / n, text.count("?") / n,
+        capitals / length, shouted / n, text.count("!") / n, text.count("?") / n,
         marks / length, (inner + len(SPACED.findall(text))) / n, math.log1p(len(words)),
     ]
 
@@ -227,30 +228,25 @@ def sample(docs: DataFrame, labels: DataFrame, most_toxic: int, most_clean: int)
 
 
 def learn_lexicon(rows: DataFrame, most: int = LEXICON) -> Lexicon:
-    """Grams of at least three toxic documents with raised odds, the `most` frequent ones."""
+    """Grams of at least three toxic documents whose odds are raised by more than half, those with the highest odds first.
 
-    def counted(wanted: frozenset[str] | None):
-        def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            total: Counter[str] = Counter()
-            for batch in batches:
-                for text in batch["text"]:
-                    own = {g for w in set(WORD.findall((text or "").lower())) for g in grams(w)}
-                    total.update(own if wanted is None else own & wanted)
-            yield pd.DataFrame(total.items(), columns=["gram", "n"])
+    Toxic and clean counts meet in a join; `most` grams at most, the size of the model, reach the driver.
+    """
 
-        return count
-
-    def table(label: int, wanted: frozenset[str] | None) -> DataFrame:
-        part = rows.where(F.col("label") == label).select("text")
-        return part.mapInPandas(counted(wanted), "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total: Counter[tuple[int, str]] = Counter()
+        for batch in batches:
+            for text, label in zip(batch["text"], batch["label"]):
+                total.update({(label, g) for w in set(WORD.findall((text or "").lower())) for g in grams(w)})
+        yield pd.DataFrame([(g, n * label, n * (1 - label)) for (label, g), n in total.items()], columns=["gram", "t", "c"])
 
-    toxic = {r["gram"]: r["n"] for r in table(1, None).where("n >= 3").orderBy(F.desc("n"), "gram").limit(4 * most).collect()}
-    clean = {r["gram"]: r["n"] for r in table(0, frozenset(toxic)).collect()}
     n = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     t, c = n.get(1, 0), n.get(0, 0)
-    lift = lambda g: (toxic[g] + 0.5) / (t + 1) / ((clean.get(g, 0) + 0.5) / (c + 1))
-    kept = sorted((g for g in toxic if lift(g) > 1.5), key=lambda g: (-toxic[g], g))[:most]
-    return Lexicon({g: (toxic[g], clean.get(g, 0)) for g in kept}, t, c)
+    counted = rows.select("text", "label").mapInPandas(count, "gram string, t long, c long")
+    held = counted.groupBy("gram").agg(F.sum("t").alias("t"), F.sum("c").alias("c")).where("t >= 3")
+    held = held.withColumn("lift", (F.col("t") + 0.5) / (t + 1) / ((F.col("c") + 0.5) / (c + 1))).where("lift > 1.5")
+    kept = held.orderBy(F.desc("lift"), F.desc("t"), "gram").limit(most).collect()
+    return Lexicon({r["gram"]: (r["t"], r["c"]) for r in kept}, t, c)
 
 
 def fit(docs: DataFrame, labels: DataFrame, most_toxic: int = MOST_TOXIC, most_clean: int = MOST_CLEAN) -> Model:
