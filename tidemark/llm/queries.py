@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontam, hilbert, kneser_ney, licenses, packing, pii, quality, repeats, simhash, toxicity
+from tidemark.llm import decontam, hilbert, kneser_ney, licenses, packing, periodic, pii, quality, repeats, simhash, toxicity
 from tidemark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -148,3 +149,33 @@ def op4_prefix_free_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kneser_ney.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def repeated_tail(doc_id: str | None, words: list[bytes]) -> list[bytes]:
+    """In one document of ten, chosen by its id, the words from some place on repeat themselves."""
+    h = 1 if doc_id is None else zlib.crc32(doc_id.encode())
+    if h % 10 or not words:
+        return words
+    g, n = h // 10, len(words)
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + [words[a + (i - a) % p] for i in range(a, n)]
+
+
+def periodic_rows(docs: DataFrame) -> DataFrame:
+    """Runs of each document after repeated_tail: how many, the longest, and digests of all of them and of the text left."""
+    found = periodic.find_runs(docs, reword=repeated_tail)
+    # The longest run; of equals the first, then the smallest period.
+    order = F.transform("runs", lambda r: F.struct(r["length"], (-r["start"]).alias("back"), (-r["period"]).alias("less")))
+    top = F.array_max(order)
+    written = F.transform("runs", lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n")))
+    return found.withColumn("top", top).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("top.back")).alias("start"), F.col("top.length").alias("length"),
+        (-F.col("top.less")).alias("period"), F.expr("1000 * top.length div -top.less").alias("exponent_milli"),
+        F.sha2(F.array_join(written, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"), "n_words",
+    )
+
+
+@query
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_rows(table(spark, sf_dir, "documents"))
