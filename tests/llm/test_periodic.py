@@ -37,7 +37,7 @@ def made(rng):
     return out * rng.choice([1, 1, 1, 4, 5])
 
 
-@pytest.mark.parametrize("seed", range(300))
+@pytest.mark.parametrize("seed", range(120))
 def test_runs_equal_brute_force(seed):
     rng = random.Random(seed)
     w = made(rng)
@@ -104,7 +104,7 @@ COLUMNS = ("doc_id", "n_runs", "start", "length", "period", "exponent_milli", "r
 
 def test_query_equals_brute_force(spark):
     rng = random.Random(5)
-    texts = [rng.choice([" ", "\n", " \t"]).join(made(rng)) for _ in range(150)] + [None, "", " \n", "a b " * 8, "é " * 7, "one"]
+    texts = [rng.choice([" ", "\n", " \t"]).join(made(rng)) for _ in range(50)] + [None, "", " \n", "a b " * 8, "é " * 7, "one"]
     got = [tuple(r[c] for c in COLUMNS) for r in queries.periodic_rows(docs_of(spark, texts)).orderBy("doc_id").collect()]
     assert got == [expected(i, t) for i, t in enumerate(texts)]
     assert any(r[1] > 1 for r in got) and any(r[1] == 0 for r in got)

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontam, hilbert, kneser_ney, licenses, packing, periodic, pii, quality, repeats, simhash, toxicity
+from tidemark.llm import decontam, hilbert, kneser_ney, licenses, merkle, packing, periodic, pii, quality, repeats, simhash, toxicity
 from tidemark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -179,3 +179,86 @@ def periodic_rows(docs: DataFrame) -> DataFrame:
 @query
 def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_rows(table(spark, sf_dir, "documents"))
+
+
+def witnessed_rows(docs: DataFrame) -> DataFrame:
+    """Each document's witness, and the root that it leads to from the document as tampered with."""
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    fields = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    hit = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 0, F.lit(False))
+    leaves = docs.select(
+        F.when(F.col("lang").isNull(), "").otherwise(F.concat(F.lit(":"), "lang")).alias("tree"), "doc_id",
+        merkle.leaf_digest(*fields, F.col("text")).alias("digest"),
+        F.when(hit, merkle.leaf_digest(*fields, lowered)).alias("tampered"),
+    )
+    proof = F.col("proof")
+    return merkle.manifest(leaves, ["doc_id"]).select(
+        "doc_id", F.col("digest").alias("leaf"), "subroot", "root", F.sha2(merkle.siblings(proof), 256).alias("proof_sha256"),
+        merkle.folded(F.coalesce("tampered", "digest"), proof).alias("folded_root"),
+    ).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+@query
+def op13_merkle_witnesses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return witnessed_rows(table(spark, sf_dir, "documents"))
+
+
+# Levels by recursion, siblings by a join of each level with itself, then folding from the leaf to the root.
+ORACLES["op13_merkle_witnesses"] = """
+WITH RECURSIVE
+crc_table AS (
+  SELECT list(v ORDER BY i) AS t FROM (
+    SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v
+    FROM (SELECT CAST(unnest(range(256)) AS BIGINT) AS i))),
+rows AS (
+  SELECT doc_id, coalesce(':' || lang, '') AS tree, source, lang, n_chars, text,
+    xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+      lambda c, b: xor(t[CAST((xor(c, b) & 255) + 1 AS BIGINT)], c >> 8)), 4294967295) % 3 = 0 AS hit
+  FROM documents, crc_table),
+fields AS (
+  SELECT doc_id, tree, hit, text,
+    coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+      || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') AS head,
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low
+  FROM rows),
+leaves AS (
+  SELECT doc_id, tree, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+    CASE WHEN hit THEN sha256(head || coalesce(strlen(low) || ':' || low, '-'))
+      ELSE sha256(head || coalesce(strlen(text) || ':' || text, '-')) END AS given
+  FROM fields),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place, count(*) OVER (PARTITION BY tree) AS size
+  FROM leaves),
+lv AS (
+  SELECT tree, 0 AS lvl, place, size, leaf AS h FROM placed
+  UNION ALL
+  SELECT tree, lvl + 1, place // 8, any_value((size + 7) // 8), sha256(string_agg(h, '' ORDER BY place)) FROM lv WHERE size > 1
+  GROUP BY tree, lvl, place // 8),
+subs AS (SELECT tree, h AS subroot FROM lv WHERE size = 1),
+tops AS (SELECT tree, subroot, row_number() OVER (ORDER BY tree) - 1 AS place, count(*) OVER () AS size FROM subs),
+up AS (
+  SELECT 0 AS lvl, place, size, subroot AS h FROM tops
+  UNION ALL
+  SELECT lvl + 1, place // 8, any_value((size + 7) // 8), sha256(string_agg(h, '' ORDER BY place)) FROM up WHERE size > 1
+  GROUP BY lvl, place // 8),
+nodes AS (SELECT ('t' || tree) AS tree, lvl, place, size, h FROM lv UNION ALL SELECT 'u', lvl, place, size, h FROM up),
+steps AS (
+  SELECT a.tree, a.lvl, a.place, coalesce(string_agg(b.h, '' ORDER BY b.place) FILTER (b.place < a.place), '') AS l,
+    coalesce(string_agg(b.h, '' ORDER BY b.place) FILTER (b.place > a.place), '') AS r
+  FROM nodes a JOIN nodes b ON a.tree = b.tree AND a.lvl = b.lvl AND a.place // 8 = b.place // 8 WHERE a.size > 1 GROUP BY ALL),
+ways AS (
+  SELECT p.tree, p.place, s.lvl, s.l, s.r FROM placed p JOIN steps s ON s.tree = 't' || p.tree AND s.place = p.place // CAST(pow(8, s.lvl) AS BIGINT)
+  UNION ALL
+  SELECT p.tree, p.place, 100 + s.lvl, s.l, s.r FROM placed p JOIN tops USING (tree)
+  JOIN steps s ON s.tree = 'u' AND s.place = tops.place // CAST(pow(8, s.lvl) AS BIGINT)),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY tree, place ORDER BY lvl) AS k FROM ways),
+fold AS (
+  SELECT tree, place, 0 AS k, given AS h FROM placed
+  UNION ALL
+  SELECT tree, place, n.k, sha256(l || h || r) FROM fold JOIN numbered n USING (tree, place) WHERE n.k = fold.k + 1),
+proofs AS (SELECT tree, place, string_agg(l || r, '' ORDER BY k) AS siblings, max(k) AS k FROM numbered GROUP BY ALL)
+SELECT doc_id, leaf, subroot, (SELECT h FROM up WHERE size = 1) AS root, sha256(coalesce(siblings, '')) AS proof_sha256,
+  fold.h AS folded_root, fold.h = (SELECT h FROM up WHERE size = 1) AS verified
+FROM placed JOIN subs USING (tree) LEFT JOIN proofs USING (tree, place)
+JOIN fold ON fold.tree = placed.tree AND fold.place = placed.place AND fold.k = coalesce(proofs.k, 0)
+"""
