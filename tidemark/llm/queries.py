@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontam, hilbert, kneser_ney, licenses, merkle, packing, periodic, pii, quality, repeats, simhash, toxicity
-from tidemark.llm.common import table
+from tidemark.llm import decontam, hilbert, kneser_ney, licenses, merkle, packing, periodic, pii, quality, repeats, secrets, simhash, toxicity
+from tidemark.llm.common import shared_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -262,3 +263,50 @@ SELECT doc_id, leaf, subroot, (SELECT h FROM up WHERE size = 1) AS root, sha256(
 FROM placed JOIN subs USING (tree) LEFT JOIN proofs USING (tree, place)
 JOIN fold ON fold.tree = placed.tree AND fold.place = placed.place AND fold.k = coalesce(proofs.k, 0)
 """
+
+
+def secret_rows(docs: DataFrame, ledger: str) -> DataFrame:
+    """Counts and digest of the base rules' spans, and all spans, for each document."""
+    found = secrets.scan(docs, ledger)
+    names = [r.name for r in secrets.BASE]
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = F.filter("spans", lambda s: s["kind"].isin(names))
+    return found.select(
+        "doc_id", *map(count, names), F.sha2(secrets.written(base), 256).alias("base_sha256"),
+        secrets.written(F.col("spans")).alias("spans"), "blob",
+    )
+
+
+@query
+def op12_blob_ledger_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole table as the first scan of a new ledger."""
+    return secret_rows(table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/secrets-{uuid.uuid4().hex}")
+
+
+def _secret_sql() -> str:
+    """Every rule over every text; places are sums of the lengths between and of the matches before."""
+    parts = []
+    for k, r in enumerate(secrets.RULES):
+        pattern = r.pattern.replace("'", "''")
+        parts.append(f"""SELECT n, {k} AS k, '{r.name}' AS kind, {r.least} AS least, i, len(gaps[i]) AS gap, len(hits[i]) AS hit, len(parts[i]) AS part FROM (
+      SELECT n, hits, parts, gaps, unnest(generate_series(1, len(hits))) AS i FROM (
+        SELECT n, regexp_extract_all(text, '{pattern}') AS hits, regexp_extract_all(text, '{pattern}', {r.part}) AS parts,
+          string_split_regex(text, '{pattern}') AS gaps FROM d))""")
+    counts = ", ".join(f"CAST(coalesce(count(*) FILTER (kind = '{r.name}'), 0) AS BIGINT) AS n_{r.name}" for r in secrets.BASE)
+    base = ", ".join(f"'{r.name}'" for r in secrets.BASE)
+    names = ", ".join(f"coalesce(n_{r.name}, 0) AS n_{r.name}" for r in secrets.BASE)
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS n, doc_id, coalesce(text, '') AS text FROM documents),
+m AS ({' UNION ALL '.join(parts)}),
+p AS (
+  SELECT *, CAST(sum(gap + hit) OVER (PARTITION BY n, k ORDER BY i) AS BIGINT) AS stop FROM m),
+s AS (SELECT n, k, kind, stop - hit AS start, kind || ':' || (stop - hit) || ':' || stop AS span FROM p WHERE part >= least),
+g AS (
+  SELECT n, {counts}, coalesce(string_agg(span, ',' ORDER BY start, k) FILTER (kind IN ({base})), '') AS base,
+    string_agg(span, ',' ORDER BY start, k) AS spans FROM s GROUP BY n)
+SELECT doc_id, {names}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, sha256(text) AS blob
+FROM d LEFT JOIN g USING (n)
+"""
+
+
+ORACLES["op12_blob_ledger_secrets"] = _secret_sql()
