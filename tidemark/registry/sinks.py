@@ -47,8 +47,7 @@ def insert_if_absent(f: Fixtures) -> DataFrame:
     K.insert_if_absent(rows.where("phase = 'before-outage'").drop("phase"), path)
     replay = rows.unionByName(rows.where("event_id % 53 = 0")).drop("phase")
     K.insert_if_absent(replay, path)
-    stored = f.spark.read.parquet(path)
-    return stored.groupBy(*STORED).agg(F.count("*").alias("copies"))
+    return K.read_inserted(f.spark, path).groupBy(*STORED).agg(F.count("*").alias("copies"))
 
 
 @query("sink_idempotent", f"SELECT {STORED_SQL}, count(*) AS copies FROM clean GROUP BY ALL")
@@ -104,8 +103,7 @@ def reject_repair(f: Fixtures) -> DataFrame:
     repaired = K.repair_rejects(f.rejects, rules=[])
     for _ in range(2):
         K.insert_if_absent(K.delivered_rows(repaired), path)
-    stored = f.spark.read.parquet(path)
-    return stored.groupBy(*STORED).agg(F.count("*").alias("copies"))
+    return K.read_inserted(f.spark, path).groupBy(*STORED).agg(F.count("*").alias("copies"))
 
 
 @query(

@@ -4,23 +4,26 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
-from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.functions.routes import route_filter
-from tidemark.functions.rules import Rule, dispose
+from tidemark.functions.rules import DELIVERED, Rule, dispose
 from tidemark.functions.wire import decode, encode, events_only
-from tidemark.schemas import COMMIT_AUDIT, PROGRESS, SINK, TOPIC_LOG
+from tidemark.schemas import PROGRESS, SINK, TOPIC_LOG
 from tidemark.sources.logs import log_bounds
 from tidemark.streaming import sinks
-from tidemark.streaming.places import ensure_table, read_table
+from tidemark.streaming.compaction import Attempts, compact, read_current, sweep
+from tidemark.streaming.places import delete_folder, ensure_table, read_table, work_dir
 
 ENDS = T.StructType([T.StructField("partition", T.IntegerType()), T.StructField("end", T.LongType())])
 APPEND, ATOMIC, IF_ABSENT = "append", "batch-atomic", "insert-if-absent"
+# Delivered events before a hook has changed them.
+RAW = "raw"
 
 
 @dataclass(frozen=True)
@@ -30,18 +33,18 @@ class Store:
     root: str
     job: str = "writer"
 
+    def journal(self, mode: str) -> str:
+        """Every batch as it was written down; each way of writing has a folder of its own."""
+        return f"{self.root}/batches-{mode}"
+
     def data(self, mode: str) -> str:
-        """Each way of writing has a layout and a folder of its own."""
+        """The table that batches go on to; batch-atomic ones stay in their journal."""
         return f"{self.root}/data-{mode}"
 
     @property
     def owners(self) -> str:
         return f"{self.root}/owners"
 
-    @property
-    def rejects(self) -> str:
-        return f"{self.root}/rejects"
-
     @property
     def progress(self) -> str:
         return f"{self.root}/progress"
@@ -50,24 +53,57 @@ class Store:
     def audit(self) -> str:
         return f"{self.root}/audit"
 
+    def _finished(self, spark: SparkSession) -> DataFrame:
+        """(run, batch_id) of batches whose progress is stored; an unfinished one will be written again."""
+        return sinks.read_progress_table(spark, self.progress).select(*sinks.ATTEMPT_KEYS).distinct()
+
+    def read_journal(self, spark: SparkSession, mode: str) -> DataFrame:
+        """What finished batches wrote down."""
+        return read_current(spark, sinks.journal_table(self.journal(mode)), self._finished(spark))
+
     def read_data(self, spark: SparkSession) -> DataFrame:
-        """All rows, whichever way they were written; of batches that own a folder, only those
-        whose progress is stored, since an unfinished one will be written again."""
-        batches = sinks.read_attempts(spark, self.data(ATOMIC), SINK)
-        finished = sinks.read_progress_table(spark, self.progress).select(*sinks.ATTEMPT_KEYS).distinct()
-        rows = batches.join(finished, sinks.ATTEMPT_KEYS, "left_semi").select(*SINK.names)
-        for mode in (APPEND, IF_ABSENT):
-            rows = rows.unionByName(read_table(spark, self.data(mode), SINK).select(*SINK.names))
-        return rows
+        """All rows, whichever way they were written."""
+        atomic = self.read_journal(spark, ATOMIC).where(F.col("kind") == DELIVERED).select(*SINK.names)
+        appended = read_table(spark, self.data(APPEND), SINK).select(*SINK.names)
+        return atomic.unionByName(appended).unionByName(sinks.read_inserted(spark, self.data(IF_ABSENT)))
 
     def read_rejects(self, spark: SparkSession) -> DataFrame:
-        return sinks.read_reject_table(spark, self.rejects)
+        every = [sinks.journal_rejects(self.read_journal(spark, mode)) for mode in (APPEND, ATOMIC, IF_ABSENT)]
+        return reduce(DataFrame.unionByName, every)
 
     def read_progress(self, spark: SparkSession) -> DataFrame:
         return sinks.stored_progress(sinks.read_progress_table(spark, self.progress), self.job)
 
     def read_audit(self, spark: SparkSession) -> DataFrame:
-        return sinks.read_attempts(spark, self.audit, COMMIT_AUDIT)
+        return read_current(spark, sinks.audit_table(self.audit))
+
+    def tables(self) -> list[Attempts]:
+        """Everything that grows with the batches."""
+        journals = [sinks.journal_table(self.journal(mode)) for mode in (APPEND, ATOMIC, IF_ABSENT)]
+        inserted = self.data(IF_ABSENT)
+        return [
+            *journals, sinks.inserted_rows(inserted), sinks.inserted_keys(inserted), sinks.audit_table(self.audit),
+            sinks.progress_table(self.progress),
+        ]
+
+    def compact(self, spark: SparkSession) -> None:
+        """K3: finished batches of all tables into their bases, progress last.
+
+        The newest batch of each run stays as it is: the next one reads its progress, and it alone may be
+        written again. The list of batches is written down first, since progress must not absorb a batch
+        that another table has not.
+        """
+        done = self._finished(spark)
+        newest = done.groupBy("run").agg(F.max("batch_id").alias("batch_id"))
+        listed = f"{work_dir(spark, 'compaction')}/batches"
+        done.join(newest, sinks.ATTEMPT_KEYS, "left_anti").coalesce(1).write.parquet(listed)
+        for table in self.tables():
+            compact(spark, table, spark.read.schema(sinks.ATTEMPT).parquet(listed))
+        delete_folder(spark, listed)
+
+    def sweep(self, spark: SparkSession) -> int:
+        """Deletes what compaction has made needless; call it when no reader of older states is left."""
+        return sum(sweep(spark, table) for table in self.tables())
 
 
 @dataclass(frozen=True)
@@ -78,10 +114,8 @@ class Delivery:
     it runs on; a given name is bound to the first checkpoint that uses it and refused to others.
     ``guarded`` refuses batches that do not continue the stored progress. It needs batches
     that hold each partition in offset order, as Kafka gives them; a topic-log table does so
-    if every micro-batch takes whole appends (no file limit). ``cache`` keeps a decoded
-    batch on the executors between its writes; leave it off where batches are large. ``hook``
-    may change the delivered rows. ``before_progress`` runs between data and progress, for
-    tests of a crash there.
+    if every micro-batch takes whole appends (no file limit). ``hook`` may change the delivered
+    rows. ``before_progress`` runs between data and progress, for tests of a crash there.
     """
 
     store: Store
@@ -92,7 +126,6 @@ class Delivery:
     drop_route: str | None = None
     guarded: bool = True
     gaps_allowed: bool = False
-    cache: bool = False
     clock: Callable[[], Column] = F.current_timestamp
     hook: Callable[[DataFrame], DataFrame] | None = None
     before_progress: Callable[[int], None] | None = None
@@ -102,35 +135,45 @@ class Delivery:
             raise ValueError(f"unknown sink mode {self.mode!r}")
 
     def write(self, batch: DataFrame, batch_id: int) -> None:
-        """One micro-batch: judge, guard, rejects, data, then audit and progress."""
+        """One micro-batch: journal, guard, data, then audit and progress.
+
+        The batch is read once, by the write of its journal, which counts the records as they pass.
+        All else comes from the journal's columns. No reader takes a batch into account before its
+        progress is stored, so one that the guard refuses leaves nothing to be seen.
+        """
         spark = batch.sparkSession
         run = sinks.own_run(spark, self.store.owners, self.run)
+        sinks.refuse_finished(spark, self.store.progress, run, batch_id)
+        stored = self._stored(spark, run, batch_id)
+        # Where offsets may jump, progress does not prove that an earlier offset was seen, so
+        # repeats go to the sink; let it be insert-if-absent.
+        covered = stored if self.guarded and not self.gaps_allowed else None
         judged = dispose(decode(batch), self.rules, self.drop_route, self.route_map)
-        if self.cache:
-            judged = judged.persist(StorageLevel.MEMORY_AND_DISK)
-        try:
-            stored = self._stored(spark, run, batch_id)
-            # One row per partition; read once, since the guard and two tables use it.
-            checked = sinks.pin_small(sinks.check_progress(batch, stored, self.gaps_allowed))
-            fresh = judged
-            if self.guarded:
-                overlaps = sinks.guard(checked)
-                # Where offsets may jump, progress does not prove that an earlier offset was
-                # seen, so repeats go to the sink; let it be insert-if-absent.
-                fresh = judged if self.gaps_allowed else sinks.new_suffix(judged, overlaps)
-            bad = sinks.split_rejects(fresh, self.store.job, self.clock())
-            sinks.write_attempt(bad, self.store.rejects, run, batch_id)
-            rows = sinks.delivered_rows(fresh, self.clock())
-            self._store(rows if self.hook is None else self.hook(rows), run, batch_id)
-            if self.before_progress is not None:
-                self.before_progress(batch_id)
-            notes = sinks.audit_rows(checked, self.store.job, self.clock())
-            sinks.write_attempt(notes.coalesce(1), self.store.audit, run, batch_id)
-            steps = sinks.progress_rows(checked, stored, self.store.job, self.clock())
-            sinks.write_attempt(steps.coalesce(1), self.store.progress, run, batch_id)
-        finally:
-            if self.cache:
-                judged.unpersist()
+        path = sinks.attempt_path(self.store.journal(self.mode), run, batch_id)
+        passed = self._write_journal(sinks.journal_rows(judged, self.store.job, self.clock(), covered), path)
+        journal = spark.read.schema(sinks.JOURNAL).parquet(path)
+        # One row per partition; read once, since the guard and two tables use it.
+        ranges = sinks.pin_small(sinks.batch_ranges(sinks.journal_positions(journal)))
+        checked = sinks.check_ranges(ranges, stored, self.gaps_allowed)
+        if (kept := ranges.agg(F.sum("records")).first()[0] or 0) != passed:
+            raise sinks.JournalError(f"batch {batch_id}: {passed} records passed, {kept} are stored")
+        if self.guarded:
+            sinks.guard(checked)
+        self._store(journal, path, run, batch_id)
+        if self.before_progress is not None:
+            self.before_progress(batch_id)
+        notes = sinks.audit_rows(checked, self.store.job, self.clock())
+        sinks.write_attempt(notes.coalesce(1), self.store.audit, run, batch_id)
+        steps = sinks.progress_rows(checked, stored, self.store.job, self.clock())
+        sinks.write_attempt(steps.coalesce(1), self.store.progress, run, batch_id)
+
+    def _write_journal(self, rows: DataFrame, path: str) -> int:
+        """Writes a batch down; the number of its records, observed by the write itself."""
+        seen = Observation()
+        kind = F.when(F.col("kind") == DELIVERED, RAW).otherwise(F.col("kind")) if self.hook else F.col("kind")
+        observed = rows.withColumn("kind", kind).observe(seen, F.count(F.lit(1)).alias("records"))
+        observed.write.mode("overwrite").partitionBy("kind", "sink_table").parquet(path)
+        return seen.get["records"]
 
     def _stored(self, spark: SparkSession, run: str, batch_id: int) -> DataFrame:
         """Progress before this batch, whatever earlier attempts at it left behind.
@@ -144,14 +187,19 @@ class Delivery:
             rows = every.where(F.col("run") != run).select(*PROGRESS.names)
         return sinks.pin_small(sinks.stored_progress(rows, self.store.job))
 
-    def _store(self, rows: DataFrame, run: str, batch_id: int) -> None:
-        path = self.store.data(self.mode)
-        if self.mode == ATOMIC:
-            sinks.write_batch_atomic(rows, path, run, batch_id)
-        elif self.mode == IF_ABSENT:
-            sinks.insert_if_absent(rows, path)
-        else:
-            sinks.append_fanout(rows, path)
+    def _store(self, journal: DataFrame, path: str, run: str, batch_id: int) -> None:
+        """What the sink is to hold of a journal."""
+        spark = journal.sparkSession
+        rows = journal.where(F.col("kind") == (RAW if self.hook else DELIVERED)).select(*SINK.names)
+        if self.hook is not None:
+            rows = self.hook(rows).select(*SINK.names)
+        if self.mode == IF_ABSENT:
+            sinks.insert_if_absent(rows, self.store.data(IF_ABSENT), run, batch_id)
+        elif self.mode == APPEND:
+            sinks.append_fanout(rows, self.store.data(APPEND))
+        elif self.hook is not None:
+            changed = rows.withColumns({"job": F.lit(self.store.job), "reason": F.lit(None).cast("string"), "kind": F.lit(DELIVERED)})
+            changed.select(*sinks.JOURNAL.names).write.mode("append").partitionBy("kind", "sink_table").parquet(path)
 
 
 def run_direct(
@@ -196,6 +244,7 @@ class Router:
         """One micro-batch of the hop; malformed records stay behind for the audit."""
         spark = batch.sparkSession
         run = sinks.own_run(spark, f"{self.path}-owners", self.run)
+        sinks.refuse_finished(spark, f"{self.path}-ends", run, batch_id)
         ends = self._ends(spark, run, batch_id)
         events = encode(route_filter(events_only(decode(batch)), self.drop_route))
         placed = sinks.place_in_topic(events, self.topic, self.partitions, ends, self.target)

@@ -40,3 +40,15 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFram
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], schema)
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the file system the path belongs to."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def written(spark: SparkSession, path: str) -> bool:
+    """Has a finished job written this folder? One that died left no success mark."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)

@@ -6,6 +6,8 @@ comes last: a crash in between leaves progress behind the data, which replays an
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,7 +16,7 @@ from tidemark.functions.rules import DELIVERED, REJECTED, Rule, dispose
 from tidemark.functions.wire import MALFORMED, decode, text_of
 from tidemark.operators.frontier import BUCKET
 from tidemark.operators.versions import first_version, latest_version
-from tidemark.schemas import PARTITION, POSITION, PROGRESS, REJECTS, SINK, TOPIC_LOG
+from tidemark.schemas import COMMIT_AUDIT, PARTITION, POSITION, PROGRESS, REJECTS, SINK, TOPIC_LOG
 from tidemark.sources.vectors import (
     MAX_PARTITIONS,
     ResumeError,
@@ -22,16 +24,23 @@ from tidemark.sources.vectors import (
     at_or_after,
     pin_small,
 )
-from tidemark.streaming.places import ensure_table, read_table
+from tidemark.streaming.compaction import ATTEMPT, ATTEMPT_KEYS, Attempts, compact, newest_of, read_current
+from tidemark.streaming.places import delete_folder, ensure_table, read_table, work_dir, written
 
 # Event ids per storage range of a table that takes inserts by id.
 ID_RANGE = 1 << 24
-# Most (table, id range) folders that one batch may touch.
-MAX_RANGES = 200_000
 
 SINK_COLUMNS = SINK.names
-ATTEMPT = T.StructType([T.StructField("run", T.StringType()), T.StructField("batch_id", T.LongType())])
-ATTEMPT_KEYS = ["run", "batch_id"]
+REPLAYED = "replayed"
+# A batch as it is written down: every record's position and fate, with what its kind needs.
+JOURNAL = T.StructType(
+    [
+        T.StructField("job", T.StringType()),
+        *SINK.fields,
+        T.StructField("reason", T.StringType()),
+        T.StructField("kind", T.StringType()),
+    ]
+)
 
 
 class OffsetGap(RuntimeError):
@@ -42,7 +51,12 @@ class RunTaken(RuntimeError):
     """A run's name belongs to another checkpoint, whose batches would be overwritten."""
 
 
+class JournalError(RuntimeError):
+    """A journal does not hold the records that passed its writer."""
+
+
 OWNER = T.StructType([T.StructField("owner", T.StringType()), T.StructField("run", T.StringType())])
+NO_QUERY = "no-checkpoint"
 
 
 def query_id(spark: SparkSession) -> str | None:
@@ -56,9 +70,14 @@ def own_run(spark: SparkSession, path: str, run: str | None) -> str:
     Without a name it is the checkpoint's id, so that a new checkpoint never meets the folders
     of an old one. A given name is bound, in the table at ``path``, to the first checkpoint that
     uses it; from any other it raises.
+
+    A batch written outside a streaming query has no checkpoint that pins its records, so it needs
+    a name; see ``refuse_finished`` too.
     """
-    owner = query_id(spark) or "no-checkpoint"
+    owner = query_id(spark) or NO_QUERY
     if run is None:
+        if owner == NO_QUERY:
+            raise RunTaken("a batch outside a streaming query needs a run of its own name")
         return owner
     held = read_table(spark, path, OWNER).where(F.col("run") == run).select("owner").collect()
     if any(row.owner != owner for row in held):
@@ -69,6 +88,12 @@ def own_run(spark: SparkSession, path: str, run: str | None) -> str:
     return run
 
 
+def refuse_finished(spark: SparkSession, path: str, run: str, batch_id: int) -> None:
+    """Outside a streaming query, raises if this batch of the run has its last folder already."""
+    if query_id(spark) is None and written(spark, attempt_path(path, run, batch_id)):
+        raise RunTaken(f"batch {batch_id} of run {run!r} is stored; name another run")
+
+
 def attempt_path(path: str, run: str, batch_id: int) -> str:
     """The folder one batch of one run owns inside a table."""
     return f"{path}/run={run}/batch_id={batch_id}"
@@ -115,39 +140,111 @@ def id_range(width: int = ID_RANGE) -> Column:
     return F.floor(F.col("event_id") / width).cast("bigint")
 
 
+LAYOUT = ["sink_table", "id_range"]
+RANGED = T.StructType([*SINK.fields, T.StructField("id_range", T.LongType())])
+# Which ids of a block of 2^15 are stored: one bit each.
+KEYS = T.StructType(
+    [
+        T.StructField("block", T.LongType()),
+        T.StructField("bits", T.BinaryType()),
+        T.StructField("sink_table", T.StringType()),
+        T.StructField("id_range", T.LongType()),
+    ]
+)
+
+
+def merged_keys(keys: DataFrame) -> DataFrame:
+    """One row a block: every id that any attempt stored."""
+    own = keys.groupBy(*LAYOUT, "block").agg(
+        F.bitmap_or_agg("bits").alias("bits"), F.max("run").alias("run"), F.max("batch_id").alias("batch_id")
+    )
+    return own.select(*KEYS.names, *ATTEMPT_KEYS)
+
+
+def _cells(names: list[str]) -> dict[str, str]:
+    return {name: name for name in names}
+
+
+def inserted_rows(path: str) -> Attempts:
+    """The rows of a table that takes inserts by id."""
+    return Attempts(path, RANGED, _cells(LAYOUT))
+
+
+def inserted_keys(path: str) -> Attempts:
+    """Its key index, in the same folders: exact, one bit an id."""
+    return Attempts(f"{path}-keys", KEYS, _cells(LAYOUT), merged_keys)
+
+
+def insert_commits(spark: SparkSession, path: str) -> DataFrame:
+    """(run, batch_id) of the inserts whose rows and keys are both stored."""
+    whole = T.StructType([T.StructField("rows", T.LongType()), *ATTEMPT.fields])
+    return read_table(spark, f"{path}-commits", whole).select(*ATTEMPT_KEYS)
+
+
+def read_inserted(spark: SparkSession, path: str) -> DataFrame:
+    """The table's rows, those of finished inserts only."""
+    return read_current(spark, inserted_rows(path), insert_commits(spark, path)).select(*SINK_COLUMNS)
+
+
+def _has_bit() -> Column:
+    """Is the bit of event_id set in ``bits``?"""
+    byte = "conv(hex(substring(bits, cast(bitmap_bit_position(event_id) div 8 + 1 as int), 1)), 16, 10)"
+    return F.expr(f"shiftright(cast({byte} as int), cast(bitmap_bit_position(event_id) % 8 as int)) & 1 = 1")
+
+
+def unstored_rows(rows: DataFrame, path: str, run: str, batch_id: int, width: int = ID_RANGE) -> DataFrame:
+    """The first copy of each (table, id) of the batch that no other finished insert holds.
+
+    The target is not read, only its key index, and of that only the folders the batch touches: they
+    reach the scan as a dynamic partition filter, in any number. Blocks of 2^15 ids, one bit each, meet
+    the batch in a join; an earlier attempt of this insert does not count.
+    """
+    spark = rows.sparkSession
+    ranged = rows.withColumns({"id_range": id_range(width), "block": F.bitmap_bucket_number("event_id")})
+    touched = ranged.groupBy(*LAYOUT).agg(F.count("*").alias("_rows")).where(F.col("_rows") > 0).select(*LAYOUT)
+    other = (F.col("run") != run) | (F.col("batch_id") != batch_id)
+    commits = insert_commits(spark, path).where(other)
+    held = read_current(spark, inserted_keys(path), commits, touched).select(*KEYS.names)
+    fresh = first_version(ranged, [*LAYOUT, "event_id"], ["src_topic", "src_part", "src_offset"])
+    met = fresh.join(held, [*LAYOUT, "block"], "left")
+    return met.where(F.col("bits").isNull() | ~_has_bit()).select(*SINK_COLUMNS, "id_range")
+
+
 def insert_if_absent(
-    rows: DataFrame, path: str, width: int = ID_RANGE, max_ranges: int = MAX_RANGES
+    rows: DataFrame, path: str, run: str | None = None, batch_id: int = 0, width: int = ID_RANGE
 ) -> None:
     """K2: stores events whose (table, id) is not stored yet.
 
-    The table is laid out by table and id range, and the ranges a batch touches always become
-    a partition filter on it; a batch that touches more than ``max_ranges`` is refused before
-    anything is written. New rows are rebalanced by folder and sorted by id before the write:
-    that bounds the number of files, splits a large folder over several tasks and lets readers
-    skip row groups.
+    The insert owns a folder of rows, one of keys and one of its commit, written in this order, so that
+    a crash leaves rows that no reader counts; written again under the same run and batch it replaces
+    itself. Without a run it gets a name of its own. Rows are rebalanced by folder and sorted by id, which
+    bounds the number of files and lets readers skip row groups.
     """
     spark = rows.sparkSession
-    layout = ["sink_table", "id_range"]
-    schema = T.StructType([*SINK.fields, T.StructField("id_range", T.LongType())])
-    ranged = rows.withColumn("id_range", id_range(width))
-    touched = ranged.select(*layout).distinct().limit(max_ranges + 1).collect()
-    if len(touched) > max_ranges:
-        raise ValueError(f"a batch touches more than {max_ranges} id ranges; widen them")
-    by_table: dict[str, list[int]] = {}
-    for table, number in touched:
-        by_table.setdefault(table, []).append(number)
-    in_reach = F.lit(False)
-    for table, numbers in by_table.items():
-        in_reach |= (F.col("sink_table") == table) & F.col("id_range").isin(numbers)
-    target = read_table(spark, path, schema).where(in_reach)
-    fresh = absent_rows(ranged, target, [*layout, "event_id"]).select(*SINK_COLUMNS, "id_range")
+    run = uuid.uuid4().hex if run is None else run
+    target = attempt_path(path, run, batch_id)
     (
-        fresh.hint("rebalance", *layout)
-        .sortWithinPartitions(*layout, "event_id")
-        .write.mode("append")
-        .partitionBy(*layout)
-        .parquet(path)
+        unstored_rows(rows, path, run, batch_id, width)
+        .hint("rebalance", *LAYOUT)
+        .sortWithinPartitions(*LAYOUT, "event_id")
+        .write.mode("overwrite")
+        .partitionBy(*LAYOUT)
+        .parquet(target)
     )
+    stored = spark.read.schema(RANGED).parquet(target)
+    keys = stored.groupBy(*LAYOUT, F.bitmap_bucket_number("event_id").alias("block")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("event_id")).alias("bits")
+    )
+    keys.write.mode("overwrite").partitionBy(*LAYOUT).parquet(attempt_path(f"{path}-keys", run, batch_id))
+    count = stored.agg(F.count("*").alias("rows"))
+    count.coalesce(1).write.mode("overwrite").parquet(attempt_path(f"{path}-commits", run, batch_id))
+
+
+def compact_inserted(spark: SparkSession, path: str, finished: DataFrame | None = None) -> None:
+    """K3: rows and keys of finished inserts into the table's base; its readers see either state whole."""
+    done = insert_commits(spark, path) if finished is None else finished
+    compact(spark, inserted_rows(path), done)
+    compact(spark, inserted_keys(path), done)
 
 
 def split_rejects(disposed: DataFrame, job: str, now: Column) -> DataFrame:
@@ -180,17 +277,22 @@ def repair_rejects(
 
 def batch_ranges(batch: DataFrame) -> DataFrame:
     """First, last and distinct offsets of each partition in a batch, whatever became of the
-    records; ``records`` counts every copy."""
-    return (
-        batch.groupBy(*POSITION)
-        .agg(F.count("*").alias("_copies"))
-        .groupBy(*PARTITION)
-        .agg(
-            F.min("offset").alias("first_offset"),
-            F.max("offset").alias("last_offset"),
-            F.count("*").alias("offsets"),
-            F.sum("_copies").alias("records"),
-        )
+    records; ``records`` counts every copy.
+
+    Offsets are counted as bits, 2^15 to a block, within the map tasks: what is shuffled is at most
+    4 KB a block, not a row a position.
+    """
+    blocks = batch.groupBy(*PARTITION, F.bitmap_bucket_number("offset").alias("_block")).agg(
+        F.min("offset").alias("first_offset"),
+        F.max("offset").alias("last_offset"),
+        F.bitmap_count(F.bitmap_construct_agg(F.bitmap_bit_position("offset"))).alias("offsets"),
+        F.count("*").alias("records"),
+    )
+    return blocks.groupBy(*PARTITION).agg(
+        F.min("first_offset").alias("first_offset"),
+        F.max("last_offset").alias("last_offset"),
+        F.sum("offsets").alias("offsets"),
+        F.sum("records").alias("records"),
     )
 
 
@@ -202,7 +304,12 @@ def stored_progress(progress: DataFrame, job: str) -> DataFrame:
 
 
 def check_progress(batch: DataFrame, stored: DataFrame, gaps_allowed: bool = False) -> DataFrame:
-    """K6/K7: sets a batch against the stored progress of each partition.
+    """K6/K7: sets a batch against the stored progress of each partition; see ``check_ranges``."""
+    return check_ranges(batch_ranges(batch), stored, gaps_allowed)
+
+
+def check_ranges(found: DataFrame, stored: DataFrame, gaps_allowed: bool = False) -> DataFrame:
+    """K6/K7: sets a batch's ranges against the stored progress of each partition.
 
     ``first`` without a stored row, ``ok`` if adjacent, ``overlap`` if it starts earlier
     (only its new suffix counts), ``replayed`` if it brings nothing new. ``gap`` if offsets
@@ -215,7 +322,7 @@ def check_progress(batch: DataFrame, stored: DataFrame, gaps_allowed: bool = Fal
     hole = F.lit(False) if gaps_allowed else (reached - F.col("first_offset") != F.col("offsets"))
     if "from_offset" not in stored.columns:
         stored = stored.withColumn("from_offset", F.lit(None).cast("bigint"))
-    ranges = batch_ranges(batch).join(
+    ranges = found.join(
         stored.select(*PARTITION, "next_offset", "from_offset"), PARTITION, "left"
     )
     status = (
@@ -259,6 +366,60 @@ def guard(checked: DataFrame) -> Vector:
     }
 
 
+def journal_rows(disposed: DataFrame, job: str, now: Column, stored: DataFrame | None = None) -> DataFrame:
+    """Every record of a batch as one row, so that one write stores all that came of it.
+
+    Delivered events are whole, rejected and malformed ones keep their text; of the rest (filtered,
+    unrouted, empty) the position remains, which is what progress counts. With ``stored`` (topic, partition,
+    next_offset), records that progress covers are ``replayed`` and keep their position only.
+    """
+    kind = F.col("disposition")
+    if stored is not None:
+        covered = F.broadcast(stored.select(*PARTITION, F.col("next_offset").alias("_next")))
+        disposed = disposed.join(covered, PARTITION, "left")
+        kind = F.when(F.col("offset") < F.col("_next"), REPLAYED).otherwise(kind)
+    disposed = disposed.withColumn("kind", kind)
+    good, bad = F.col("kind") == DELIVERED, F.col("kind").isin(REJECTED, MALFORMED)
+    return disposed.select(
+        F.lit(job).alias("job"),
+        F.when(good | bad, F.col("event_id")).alias("event_id"),
+        F.when(good, F.col("produced_at")).alias("produced_at"),
+        F.when(good, F.col("route")).alias("route"),
+        F.when(good, F.col("payload")).when(bad, text_of(F.col("value"))).alias("payload"),
+        F.col("topic").alias("src_topic"),
+        F.col("partition").alias("src_part"),
+        F.col("offset").alias("src_offset"),
+        F.when(good | bad, now).alias("inserted_at"),
+        F.when(good, F.col("sink_table")).alias("sink_table"),
+        F.when(bad, F.col("reason")).alias("reason"),
+        "kind",
+    )
+
+
+def journal_table(path: str) -> Attempts:
+    """Batches by kind and table; compaction keeps events and rejects, and drops what is position only."""
+    keep = F.col("kind").isin(DELIVERED, REJECTED, MALFORMED)
+    cells = {"kind": "kind", "sink_table": "sink_table", "offset_range": f"src_offset div {ID_RANGE}"}
+    return Attempts(path, JOURNAL, cells, lambda rows: rows.where(keep))
+
+
+def journal_positions(journal: DataFrame) -> DataFrame:
+    """Positions of a journal's records."""
+    return journal.select(
+        F.col("src_topic").alias("topic"), F.col("src_part").alias("partition"), F.col("src_offset").alias("offset")
+    )
+
+
+def journal_rejects(journal: DataFrame) -> DataFrame:
+    """A journal's rejects in the reject table's shape, with run and batch."""
+    bad = journal.where(F.col("kind").isin(REJECTED, MALFORMED))
+    return bad.select(
+        "job", F.col("src_topic").alias("topic"), F.col("src_part").alias("partition"),
+        F.col("src_offset").alias("offset"), F.col("event_id").cast("string").alias("event_id"), "reason",
+        F.col("inserted_at").alias("rejected_at"), "payload", *ATTEMPT_KEYS,
+    )
+
+
 def new_suffix(batch: DataFrame, overlaps: Vector) -> DataFrame:
     """K6: the rows of a batch that stored progress does not cover."""
     return at_or_after(batch, overlaps)
@@ -309,17 +470,26 @@ def write_attempt(rows: DataFrame, path: str, run: str, batch_id: int) -> None:
 
 def read_attempts(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """A side table with the run and batch of each row."""
-    whole = T.StructType([*schema.fields, *ATTEMPT.fields])
-    return read_table(spark, path, whole)
+    return read_current(spark, Attempts(path, schema))
+
+
+def progress_table(path: str) -> Attempts:
+    """Progress by batch; compaction keeps the furthest row of each partition."""
+    return Attempts(path, PROGRESS, {}, newest_of(["job", *PARTITION], ["version", "next_offset"]))
+
+
+def audit_table(path: str) -> Attempts:
+    """Commit notes by batch, in a base by day."""
+    return Attempts(path, COMMIT_AUDIT, {"day": "date(event_time)"})
 
 
 def read_progress_table(spark: SparkSession, path: str) -> DataFrame:
-    """All progress rows."""
-    return read_attempts(spark, path, PROGRESS)
+    """Progress rows of batches that no compaction has absorbed, and the furthest of those before."""
+    return read_current(spark, Attempts(path, PROGRESS))
 
 
 def read_reject_table(spark: SparkSession, path: str) -> DataFrame:
-    """All rejects."""
+    """All rejects of a table of attempts."""
     return read_attempts(spark, path, REJECTS)
 
 
@@ -381,9 +551,17 @@ def read_attempt(
 
 
 def dual_write(rows: DataFrame, old_path: str, new_path: str) -> None:
-    """The same batch to the table readers use and to the one they will move to."""
-    append_fanout(rows, old_path)
-    append_fanout(rows, new_path)
+    """The same batch to the table readers use and to the one they will move to.
+
+    The batch is computed once, into a scratch folder that both tables are filled from, so a clock or a
+    rule cannot make them differ.
+    """
+    spark = rows.sparkSession
+    held = f"{work_dir(spark, 'dual')}/batch"
+    rows.write.parquet(held)
+    for path in (old_path, new_path):
+        append_fanout(spark.read.schema(SINK).parquet(held), path)
+    delete_folder(spark, held)
 
 
 def backfill(spark: SparkSession, old_path: str, new_path: str) -> None:
@@ -392,18 +570,30 @@ def backfill(spark: SparkSession, old_path: str, new_path: str) -> None:
     append_fanout(spark.read.schema(SINK).parquet(old_path), new_path)
 
 
+VERSION_KEY = ["sink_table", "event_id"]
+VERSION_ORDER = ["produced_at", "src_topic", "src_part", "src_offset"]
+
+
+def version_table(path: str, width: int = ID_RANGE) -> Attempts:
+    """K3: a table that takes every version of an event and is compacted to the newest of each."""
+    cells = {"sink_table": "sink_table", "id_range": f"floor(event_id / {width})"}
+    return Attempts(path, SINK, cells, newest_of(VERSION_KEY, VERSION_ORDER))
+
+
+def add_versions(rows: DataFrame, path: str, run: str, batch_id: int = 0) -> None:
+    """K3: an attempt of a version table; written again it replaces itself, and readers see it at once."""
+    write_batch_atomic(rows.select(*SINK_COLUMNS), path, run, batch_id)
+
+
 def current_rows(versions: DataFrame, key: list[str] | None = None) -> DataFrame:
     """K3: one row per key of a table that stores every version: newest produced, then the
     furthest position."""
-    return latest_version(
-        versions,
-        key or ["sink_table", "event_id"],
-        ["produced_at", "src_topic", "src_part", "src_offset"],
-    )
+    return latest_version(versions, key or VERSION_KEY, VERSION_ORDER)
 
 
 __all__ = [
     "OffsetGap",
+    "JournalError",
     "RunTaken",
     "absent_rows",
     "append_fanout",
