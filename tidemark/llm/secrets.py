@@ -14,7 +14,7 @@ covered is not searched again. Positions come from the texts between matches, by
 the sums run over blocks, so that a text with very many matches takes linear time, not quadratic.
 
 A blob held by a third of all versions is one row for each map task after the first reduction; in
-the join back its versions are (id, blob) pairs, and Spark splits a large partition of them.
+the join back its versions are (id, blob) pairs, dealt over SALTS places to which the findings are copied.
 
 Defined cases: null is the empty text; it has no findings; versions with equal ids each get a result;
 positions count code points, end exclusive; other columns are ignored; an empty table gives no rows, a
@@ -75,6 +75,7 @@ RULES = (
 FOUND = "array<struct<start: bigint, end: bigint, rule: string>>"
 LEDGER = f"blob string, rules array<string>, found {FOUND}, scan string"
 BLOCK = 256
+SALTS = 32
 
 
 def bound(value: Column, body) -> Column:
@@ -157,9 +158,11 @@ def scan(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, keep
     names = F.array(*[F.lit(r.name) for r in rules])
     ranked = F.array_sort(F.transform("found", lambda f: F.struct(f["start"], ranks[f["rule"]].alias("k"), f["end"])))
     spans = F.transform(ranked, lambda f: F.struct(F.get(names, f["k"]).alias("kind"), f["start"], f["end"]))
-    known = known.select("blob", spans.alias("spans"))
+    # Copies of one blob may be a third of all versions, so they meet its findings in SALTS places.
+    known = known.select("blob", spans.alias("spans"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     blob = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256).alias("blob")
-    paths = versions.select(F.struct(*keep).alias("row"), blob).join(known, "blob", "left")
+    salt = (F.monotonically_increasing_id() % SALTS).cast("int").alias("salt")
+    paths = versions.select(F.struct(*keep).alias("row"), blob, salt).join(known, ["blob", "salt"], "left")
     none = F.array().cast("array<struct<kind: string, start: bigint, end: bigint>>")
     return paths.select("row.*", "blob", F.coalesce("spans", none).alias("spans"))
 
