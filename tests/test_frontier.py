@@ -126,3 +126,34 @@ def test_adjacency_does_not_depend_on_the_bucket(spark, seed):
 def test_first_offset_at_a_time_with_unordered_clocks(spark):
     log = log_frame(spark, [(0, 0, 10), (0, 1, 50), (0, 2, 20), (0, 3, 50), (1, 0, 1)])
     assert as_dict(W.offsets_for_times(log, 20), "partition", "first_offset") == {0: 1, 1: None}
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_interval_sets_equal_brute_force(spark, seed):
+    rng = random.Random(seed)
+    ranges = []
+    for _ in range(rng.randint(0, 40)):
+        low = rng.randint(0, 120)
+        ranges.append(("t", rng.randint(0, 2), low, low + rng.randint(0, rng.choice([0, 3, 40]))))
+    frame = spark.createDataFrame(ranges, "topic string, partition int, from_offset bigint, to_offset bigint")
+    bounds = [("t", p, b, b + rng.randint(0, 160)) for p, b in ((0, 0), (1, 7), (2, 0))]
+    bounds_frame = spark.createDataFrame(bounds, "topic string, partition int, begin bigint, end bigint")
+    half = rng.randint(0, len(ranges))
+    schema = frame.schema
+    one, two = (W.merge_ranges(spark.createDataFrame(part, schema), 16) for part in (ranges[:half], ranges[half:]))
+    runs = W.merge_ranges(one.unionByName(two), rng.choice([1, 16, 1 << 18]))
+    covered = {p: sorted({o for _, q, a, b in ranges if q == p for o in range(a, b + 1)}) for p in range(3)}
+    expected = []
+    for p, offsets in covered.items():
+        for o in offsets:
+            if expected and expected[-1][0] == p and expected[-1][2] == o - 1:
+                expected[-1][2] = o
+            else:
+                expected.append([p, o, o])
+    assert sorted([r.partition, r.from_offset, r.to_offset] for r in runs.collect()) == expected
+    got = {r.partition: (r.next_offset, r.outstanding, r.naive_next) for r in W.frontier_from_ranges(runs, bounds_frame).collect()}
+    for _, p, begin, end in bounds:
+        inside = [o for o in covered[p] if begin <= o < end]
+        open_ = [o for o in range(begin, end) if o not in set(inside)]
+        reached = open_[0] if open_ else end
+        assert got[p] == (reached, len(open_), inside[-1] + 1 if inside else None)

@@ -109,21 +109,13 @@ def test_insert_reads_only_touched_folders(spark, tmp_path):
     )
     path = f"{tmp_path}/t"
     K.insert_if_absent(rows, path, width=10)
-    seen = []
-    original = K.absent_rows
-
-    def spy(batch, target, key, order=None):
-        seen.append(plan(target))
-        return original(batch, target, key, order)
-
-    K.absent_rows = spy
-    try:
-        K.insert_if_absent(rows.where("event_id BETWEEN 35 AND 47"), path, width=10)
-    finally:
-        K.absent_rows = original
-    filters = re.search(r"PartitionFilters: \[(.*?)\], PushedFilters", seen[0]).group(1)
-    assert "sink_table" in filters and "id_range" in filters
-    assert spark.read.schema(SINK).parquet(path).count() == 100
+    text = plan(K.unstored_rows(rows.where("event_id BETWEEN 35 AND 47"), path, "next", 0, 10))
+    # Only the key index is read, and of it the folders that the batch touches, found while it runs.
+    scans = [line for line in text.splitlines() if "FileScan parquet" in line and f"{path}-keys" in line]
+    assert scans and all("dynamicpruning" in line for line in scans)
+    assert f"{path}/" not in text.replace(f"{path}-", "")
+    K.insert_if_absent(rows.where("event_id BETWEEN 35 AND 47"), path, width=10)
+    assert K.read_inserted(spark, path).count() == 100
 
 
 def test_sink_scan_prunes_folders_and_columns(spark, tmp_path):

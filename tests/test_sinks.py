@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from tidemark.fixtures import now
 from tidemark.functions import rules, wire
 from tidemark.schemas import SINK
+from tidemark.streaming import compaction as C
 from tidemark.streaming import sinks as K
 from tidemark.streaming.places import read_table, work_dir
 from tests.shapes import as_dict, log_frame, positions
@@ -187,3 +188,84 @@ def test_jdbc_writer_stages_and_moves_each_table(spark, tmp_path):
     assert done[1].endswith("ON CONFLICT (event_id) DO NOTHING")
     options = jdbc.write_options("jdbc:x", "t", parts=3)
     assert (options["numPartitions"], options["dbtable"]) == ("3", "t")
+
+
+def test_versions_are_compacted_behind_a_snapshot(spark, tmp_path):
+    table = K.version_table(f"{tmp_path}/t", width=8)
+    rows = lambda ids, at, name="t_a": rows_of(spark, ids, name).withColumn("produced_at", F.lit(at).cast("long"))
+    current = lambda: sorted((r.event_id, r.sink_table, r.produced_at) for r in C.read_current(spark, table).collect())
+    K.add_versions(rows(range(20), 1), table.path, "r", 0)
+    K.add_versions(rows(range(5), 2), table.path, "r", 1)
+    before = current()
+    assert before == [(i, "t_a", 2 if i < 5 else 1) for i in range(20)]
+    assert C.compact(spark, table) == 1 and current() == before
+    assert C.compact(spark, table) == 1  # nothing new
+    cells = {r["cell_id_range"]: r["cell_version"] for r in C.newest_snapshot(spark, table)[1].where("run IS NULL").collect()}
+    # A crash before the snapshot changes nothing; the next compaction starts anew.
+    K.add_versions(rows([4, 5, 30], 3), table.path, "s", 0)
+    K.add_versions(rows([1], 9, "t_b"), table.path, "s", 1)
+    now_held = current()
+    assert len(now_held) == 22 and (4, "t_a", 3) in now_held
+
+    def crash():
+        raise RuntimeError("lost before the snapshot")
+
+    with pytest.raises(RuntimeError):
+        C.compact(spark, table, before_snapshot=crash)
+    assert current() == now_held and C.newest_snapshot(spark, table)[0] == 1
+    assert C.compact(spark, table) == 2 and current() == now_held
+    # Only touched cells were rewritten.
+    after = {(r["cell_sink_table"], r["cell_id_range"]): r["cell_version"] for r in C.newest_snapshot(spark, table)[1].where("run IS NULL").collect()}
+    assert after["t_a", "1"] == cells["1"] and after["t_a", "0"] != cells["0"] and ("t_b", "0") in after
+    # A writer may add beside a compaction: what finishes meanwhile stays in its attempt.
+    K.add_versions(rows([41], 1), table.path, "s", 2)
+    added = lambda: K.add_versions(rows([42], 1), table.path, "late", 0)
+    assert C.compact(spark, table, before_snapshot=added) == 3
+    assert {41, 42} <= {i for i, _, _ in current()}
+    held = current()
+    # Sweeping keeps what counts, and the number of folders no longer grows with the attempts.
+    assert C.sweep(spark, table) > 0 and current() == held
+    for number in range(3):
+        K.add_versions(rows([50 + number], 1), table.path, "more", number)
+        C.compact(spark, table)
+        C.sweep(spark, table)
+    folders = lambda p: sum(1 for _ in tmp_path.glob(p))
+    assert folders("t/run=*/batch_id=*") <= 1 and folders("t-snapshots/snapshot=*") == 1
+    assert {50, 51, 52} <= {i for i, _, _ in current()} and set(held) <= set(current())
+
+
+def test_a_compacted_key_index_still_refuses_what_is_stored(spark, tmp_path):
+    path = f"{tmp_path}/t"
+    K.insert_if_absent(rows_of(spark, range(-3, 20)), path, width=8192)
+    K.insert_if_absent(rows_of(spark, range(10, 40_000, 7)), path, width=8192)
+    once = sorted({*range(-3, 20), *range(10, 40_000, 7)})
+    assert inserted_ids(spark, path) == once
+    K.compact_inserted(spark, path)
+    K.insert_if_absent(rows_of(spark, [*range(30), *range(10, 40_000, 7), 5, 39_999]), path, width=8192)
+    assert inserted_ids(spark, path) == sorted({*once, *range(30), 39_999})
+
+
+def test_an_insert_written_again_replaces_itself(spark, tmp_path):
+    path = f"{tmp_path}/t"
+    for ids in (range(10), range(10)):
+        K.insert_if_absent(rows_of(spark, ids), path, "r", 0, width=8)
+    K.insert_if_absent(rows_of(spark, range(5, 15)), path, "r", 1, width=8)
+    assert inserted_ids(spark, path) == list(range(15))
+    # An insert that died before its commit is not read, and does not hold its ids.
+    K.unstored_rows(rows_of(spark, [99]), path, "dead", 0, 8).write.partitionBy(*K.LAYOUT).parquet(K.attempt_path(path, "dead", 0))
+    assert inserted_ids(spark, path) == list(range(15))
+    K.insert_if_absent(rows_of(spark, [99]), path, width=8)
+    assert inserted_ids(spark, path) == [*range(15), 99]
+
+
+def test_both_tables_of_a_dual_write_hold_the_same(spark, tmp_path):
+    rows = rows_of(spark, range(50)).withColumn("payload", F.uuid())
+    K.dual_write(rows, f"{tmp_path}/old", f"{tmp_path}/new")
+    old, new = (sorted(map(tuple, spark.read.schema(SINK).parquet(f"{tmp_path}/{n}").collect())) for n in ("old", "new"))
+    assert old == new and len(old) == 50
+
+
+def test_offsets_of_a_batch_are_counted_exactly(spark):
+    rows = [(0, o) for o in range(100_000) if o % 3] + [(0, 1)] * 50 + [(1, 7), (1, 7), (2, 0)]
+    got = as_dict(K.batch_ranges(positions(spark, rows)), "partition", ["first_offset", "last_offset", "offsets", "records"])
+    assert got == {0: (1, 99_998, 66_666, 66_716), 1: (7, 7, 1, 2), 2: (0, 0, 1, 1)}

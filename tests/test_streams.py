@@ -9,6 +9,7 @@ from tidemark.plans import resume as P
 from tidemark.schemas import TOPIC_LOG
 from tidemark.sources import logs, tables
 from tidemark.streaming import pipelines as T
+from tidemark.streaming import sinks
 from tests.shapes import as_dict, log_frame
 
 
@@ -254,3 +255,99 @@ def test_stale_tables_reads_what_the_pipeline_stores(spark, place):
     moment = spark.sql("SELECT timestamp_millis(360000)").first()[0]
     found = as_dict(stale_tables(stored, [*tables, "t_none"], moment, 4), "sink_table", ["age_ms", "stale"])
     assert found == {**dict.fromkeys(tables, (300_000, True)), "t_none": (None, True)}
+
+
+def at(ms):
+    return lambda: F.timestamp_millis(F.lit(ms))
+
+
+def lines(spark, partition, low, high):
+    rows = [(partition, o, 1000 + o, f"{partition * 1000 + o}\t{o}\ta\tx") for o in range(low, high)]
+    return log_frame(spark, rows).withColumn("key", F.lit(None).cast("binary")).select(*TOPIC_LOG.names)
+
+
+def test_batch_jobs_do_not_replace_each_other(spark, place):
+    store = T.Store(f"{place}/s")
+    with pytest.raises(sinks.RunTaken, match="needs a run"):
+        T.Delivery(store).write(lines(spark, 0, 0, 100), 0)
+    T.Delivery(store, run="one").write(lines(spark, 0, 0, 100), 0)
+    with pytest.raises(sinks.RunTaken, match="is stored"):
+        T.Delivery(store, run="one").write(lines(spark, 0, 100, 150), 0)
+    assert ids(spark, store) == list(range(100))
+    T.Delivery(store, run="two").write(lines(spark, 0, 100, 150), 0)
+    T.Delivery(store, run="two").write(lines(spark, 0, 150, 160), 1)
+    assert ids(spark, store) == list(range(160))
+    assert as_dict(store.read_progress(spark), "partition", ["from_offset", "next_offset"]) == {0: (0, 160)}
+
+    def crash(batch_id):
+        raise RuntimeError("stopped")
+
+    with pytest.raises(RuntimeError):
+        T.Delivery(store, run="three", before_progress=crash).write(lines(spark, 0, 160, 170), 0)
+    T.Delivery(store, run="three").write(lines(spark, 0, 160, 170), 0)  # an unfinished batch may be written again
+    assert ids(spark, store) == list(range(170))
+    hop = T.Router(f"{place}/t2", run="one")
+    hop.write(lines(spark, 0, 0, 10), 0)
+    with pytest.raises(sinks.RunTaken):
+        hop.write(lines(spark, 0, 10, 20), 0)
+    assert hop.read(spark).count() == 10
+
+
+def test_a_batch_reads_its_records_once(spark, place, monkeypatch):
+    """Counted by an accumulator that each record passes."""
+    passed = spark.sparkContext.accumulator(0)
+
+    def count(i):
+        passed.add(1)
+        return i
+
+    counted = F.udf(count, "bigint").asNondeterministic()
+    for mode in (T.ATOMIC, T.IF_ABSENT, T.APPEND):
+        before = passed.value
+        batch = lines(spark, 0, 0, 50).withColumn("offset", counted("offset")).select(*TOPIC_LOG.names)
+        T.Delivery(T.Store(f"{place}/{mode}"), run="r", mode=mode, rules=rules.every_nth_is_bad(10)).write(batch, 0)
+        assert passed.value - before == 50
+
+
+@pytest.mark.parametrize("mode", [T.ATOMIC, T.IF_ABSENT, T.APPEND])
+def test_a_hook_changes_rows_but_not_progress(spark, place, mode):
+    store = T.Store(f"{place}/s")
+    hook = lambda rows: rows.where("event_id % 2 = 0").withColumn("payload", F.lit("seen"))
+    T.Delivery(store, run="r", mode=mode, hook=hook).write(lines(spark, 0, 0, 10), 0)
+    assert {(r.event_id, r.payload) for r in store.read_data(spark).collect()} == {(i, "seen") for i in range(0, 10, 2)}
+    assert as_dict(store.read_progress(spark), "partition", "next_offset") == {0: 10}
+
+
+def test_a_store_is_compacted_while_its_job_goes_on(spark, place):
+    delivery = T.Delivery(T.Store(f"{place}/s"), rules=rules.every_nth_is_bad(10), clock=at(60_000))
+    store = delivery.store
+    for number in range(3):
+        add(spark, f"{place}/log", [(0, number * 10, number * 10 + 10)])
+        start(spark, f"{place}/log", delivery, f"{place}/c")
+    held, rejects, progress = ids(spark, store), store.read_rejects(spark).count(), store.read_progress(spark).collect()
+    audit = store.read_audit(spark).count()
+    store.compact(spark)
+    assert store.sweep(spark) > 0
+    assert (ids(spark, store), store.read_rejects(spark).count(), store.read_audit(spark).count()) == (held, rejects, audit)
+    assert store.read_progress(spark).collect() == progress
+    add(spark, f"{place}/log", [(0, 30, 40)])
+    start(spark, f"{place}/log", delivery, f"{place}/c")
+    assert ids(spark, store) == [i for i in range(40) if i % 10]
+    # A new checkpoint resumes from what compaction left of progress.
+    add(spark, f"{place}/log", [(0, 40, 45)])
+    start(spark, f"{place}/log", T.Delivery(store), f"{place}/c2")
+    assert ids(spark, store) == [*(i for i in range(40) if i % 10), *range(40, 45)]
+    store.compact(spark)
+    store.sweep(spark)
+    assert as_dict(store.read_progress(spark), "partition", ["from_offset", "next_offset"]) == {0: (0, 45)}
+
+
+def test_an_insert_store_is_compacted_too(spark, place):
+    store = T.Store(f"{place}/s")
+    for number in range(3):
+        T.Delivery(store, run="r", mode=T.IF_ABSENT).write(lines(spark, 0, number * 10, number * 10 + 10), number)
+    store.compact(spark)
+    store.sweep(spark)
+    assert ids(spark, store) == list(range(30))
+    T.Delivery(store, run="again", mode=T.IF_ABSENT, guarded=False).write(lines(spark, 0, 5, 35), 0)
+    assert ids(spark, store) == list(range(35))

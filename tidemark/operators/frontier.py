@@ -189,6 +189,71 @@ def range_adjacency(ranges: DataFrame, bucket: int = BUCKET) -> DataFrame:
     )
 
 
+def merge_ranges(ranges: DataFrame, bucket: int = BUCKET) -> DataFrame:
+    """Committed ranges ``[from_offset, to_offset]`` as an interval set: the fewest runs that cover them.
+
+    Ranges may repeat, overlap, nest or touch, in any order. The set of two sets is
+    ``merge_ranges(one.unionByName(other))``, so a stored set takes up each batch's ranges and stays as
+    small as the number of holes. Runs are opened in offset buckets and numbered over them; only sums
+    and reaches by bucket are put in order over a whole partition.
+    """
+    by_bucket = Window.partitionBy(*PARTITION).orderBy("_bucket")
+    earlier = by_bucket.rowsBetween(Window.unboundedPreceding, -1)
+    longest = (
+        ranges.groupBy(*PARTITION, "from_offset")
+        .agg(F.max("to_offset").alias("to_offset"))
+        .withColumn("_bucket", F.floor(F.col("from_offset") / bucket).cast("bigint"))
+    )
+    reach = (
+        longest.groupBy(*PARTITION, "_bucket")
+        .agg(F.max("to_offset").alias("_reach"))
+        .select(*PARTITION, "_bucket", F.max("_reach").over(earlier).alias("_before"))
+    )
+    here = Window.partitionBy(*PARTITION, "_bucket").orderBy("from_offset")
+    so_far = F.greatest(F.max("to_offset").over(here.rowsBetween(Window.unboundedPreceding, -1)), F.col("_before"))
+    opened = longest.join(reach, [*PARTITION, "_bucket"]).withColumn(
+        "_opens", F.coalesce((F.col("from_offset") > so_far + 1).cast("int"), F.lit(1))
+    )
+    numbers = (
+        opened.groupBy(*PARTITION, "_bucket")
+        .agg(F.sum("_opens").alias("_count"))
+        .select(*PARTITION, "_bucket", F.coalesce(F.sum("_count").over(earlier), F.lit(0)).alias("_first"))
+    )
+    own = F.sum("_opens").over(here.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return (
+        opened.withColumn("_own", own)
+        .join(numbers, [*PARTITION, "_bucket"])
+        .groupBy(*PARTITION, (F.col("_first") + F.col("_own")).alias("_run"))
+        .agg(F.min("from_offset").alias("from_offset"), F.max("to_offset").alias("to_offset"))
+        .drop("_run")
+    )
+
+
+def frontier_from_ranges(runs: DataFrame, bounds: DataFrame) -> DataFrame:
+    """W1 from an interval set (see ``merge_ranges``) and the log's bounds, without the log.
+
+    As ``frontier``, for a log whose offsets have no holes; where it has legal ones, add them to the set.
+    """
+    low, high = F.greatest("from_offset", "begin"), F.least("to_offset", F.col("end") - 1)
+    covered = F.when(F.col("from_offset").isNotNull(), F.greatest(high - low + 1, F.lit(0)))
+    first = (F.col("from_offset") <= F.col("begin")) & (F.col("to_offset") >= F.col("begin"))
+    return (
+        bounds.join(runs, PARTITION, "left")
+        .groupBy(*PARTITION, "begin", "end")
+        .agg(
+            F.max(F.when(first, high + 1)).alias("_reached"),
+            F.coalesce(F.sum(covered), F.lit(0)).alias("_covered"),
+            F.max(F.when(covered > 0, high + 1)).alias("naive_next"),
+        )
+        .select(
+            *PARTITION,
+            F.coalesce("_reached", "begin").alias("next_offset"),
+            (F.col("end") - F.col("begin") - F.col("_covered")).alias("outstanding"),
+            "naive_next",
+        )
+    )
+
+
 def offsets_for_times(log: DataFrame, at: int, clock: str = "record_ts") -> DataFrame:
     """Per partition the first offset whose clock is at or past a moment.
 

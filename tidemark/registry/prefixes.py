@@ -38,6 +38,25 @@ def frontier(f: Fixtures) -> DataFrame:
     return W.frontier(f.log, accounted(f), pinned_bounds(f.log))
 
 
+@query(
+    "frontier_from_ranges",
+    """SELECT b.topic, b."partition", coalesce(min(o."offset"), b."end") AS next_offset,
+      count(o."offset") AS outstanding, any_value(d.naive_next) AS naive_next
+    FROM bounds b LEFT JOIN open_rows o USING (topic, "partition")
+    JOIN (SELECT topic, "partition", max("offset") + 1 AS naive_next FROM log
+          WHERE sink_table IS NULL OR event_id % 41 <> 0 GROUP BY ALL) d USING (topic, "partition")
+    GROUP BY b.topic, b."partition", b."end" """,
+    OPEN,
+)
+def frontier_from_ranges(f: Fixtures) -> DataFrame:
+    """The same frontier from what batches committed: two halves of the log as interval sets, the second
+    overlapping the first, merged as a store would."""
+    done = accounted(f)
+    cut = F.col("offset") % 200
+    halves = [W.merge_ranges(W.runs(done.where(part)).drop("records")) for part in (cut < 120, cut >= 80)]
+    return W.frontier_from_ranges(W.merge_ranges(halves[0].unionByName(halves[1])), pinned_bounds(f.log))
+
+
 @query(
     "branch_frontier",
     """SELECT l.topic, l."partition", l.sink_table,

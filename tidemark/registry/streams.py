@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from tidemark.functions import rules, wire
 from tidemark.operators.reconcile import positions_of
 from tidemark.plans import resume as P
-from tidemark.registry.base import Fixtures, query
-from tidemark.registry.sinks import STORED, STORED_SQL
+from tidemark.fixtures import now
+from tidemark.registry.base import NOW_MS, Fixtures, query
+from tidemark.registry.sinks import DELIVERED_SQL, copies
 from tidemark.schemas import TOPIC_LOG
 from tidemark.sources import logs
 from tidemark.sources.vectors import collect_vector
@@ -25,16 +26,12 @@ def write_log(f: Fixtures, path: str, phases: list[str]) -> None:
 
 
 def deliver(f: Fixtures, log: DataFrame, root: str, checkpoint: str, **options) -> T.Delivery:
-    delivery = T.Delivery(T.Store(f"{root}/store"), **options)
+    delivery = T.Delivery(T.Store(f"{root}/store"), clock=now, **options)
     T.run_direct(log, delivery, f"{root}/{checkpoint}").awaitTermination()
     return delivery
 
 
-def copies(rows: DataFrame) -> DataFrame:
-    return rows.groupBy(*STORED).agg(F.count("*").alias("copies"))
-
-
-COPIES = f"SELECT {STORED_SQL}, count(*) AS copies FROM clean GROUP BY ALL"
+COPIES = f"SELECT {DELIVERED_SQL}, count(*) AS copies FROM clean GROUP BY ALL"
 
 
 @query(
@@ -114,7 +111,7 @@ def stream_restart_mode_change(f: Fixtures) -> DataFrame:
 
 @query(
     "stream_from_vector",
-    f"""SELECT {STORED_SQL}, count(*) AS copies FROM clean
+    f"""SELECT {DELIVERED_SQL}, count(*) AS copies FROM clean
     WHERE phase <> 'before-outage' GROUP BY ALL""",
 )
 def stream_from_vector(f: Fixtures) -> DataFrame:
@@ -128,8 +125,9 @@ def stream_from_vector(f: Fixtures) -> DataFrame:
 
 @query(
     "stream_two_hop",
-    """SELECT event_id, produced_at, route, payload, 'events-routed' AS src_topic, src_part, row_number() OVER (
-        PARTITION BY src_part ORDER BY "partition", "offset") - 1 AS src_offset, sink_table, CAST(1 AS BIGINT) AS copies
+    f"""SELECT event_id, produced_at, route, payload, 'events-routed' AS src_topic, src_part, row_number() OVER (
+        PARTITION BY src_part ORDER BY "partition", "offset") - 1 AS src_offset, sink_table, CAST(1 AS BIGINT) AS copies,
+        CAST({NOW_MS} AS BIGINT) AS inserted_ms
     FROM (SELECT *, CAST(event_id // 3 % 2 AS INTEGER) AS src_part FROM log)
     QUALIFY sink_table IS NOT NULL""",
 )
@@ -138,7 +136,7 @@ def stream_two_hop(f: Fixtures) -> DataFrame:
     root = work_dir(f.spark, "two-hop")
     write_log(f, f"{root}/log", ["before-outage", "during-outage", "after-restart"])
     router = T.Router(f"{root}/topic2", partitions=2, target=F.floor(F.col("event_id") / 3) % 2)
-    delivery = T.Delivery(T.Store(f"{root}/store"))
+    delivery = T.Delivery(T.Store(f"{root}/store"), clock=now)
     log = logs.topic_log(f.spark, f"{root}/log", streaming=True)
     T.run_two_hop(log, router, delivery, (f"{root}/c1", f"{root}/c2"))
     return copies(delivery.store.read_data(f.spark))
@@ -165,14 +163,20 @@ def stream_two_hop_lost_checkpoint(f: Fixtures) -> DataFrame:
 
 @query("stream_dedup", "SELECT event_id, payload FROM log")
 def stream_dedup(f: Fixtures) -> DataFrame:
-    """Every 53rd record arrives three times."""
+    """Three files, a batch each: the phases, with every 53rd record of the one before once more and
+    every 53rd of its own three times, so that repeats meet state of an earlier batch."""
     root = work_dir(f.spark, "dedup")
     times = F.when(F.col("event_id") % 53 == 0, 3).otherwise(1)
     repeated = f.log.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), times)))
-    repeated.select(*LOG).write.parquet(f"{root}/log")
-    log = logs.topic_log(f.spark, f"{root}/log", streaming=True)
+    phases = ["before-outage", "during-outage", "after-restart"]
+    for number, phase in enumerate(phases):
+        rows = repeated.where(F.col("phase") == phase)
+        if number:
+            rows = rows.unionByName(repeated.where((F.col("phase") == phases[number - 1]) & (F.col("event_id") % 53 == 0)))
+        rows.select(*LOG).coalesce(1).write.mode("append").parquet(f"{root}/log")
+    log = logs.topic_log(f.spark, f"{root}/log", streaming=True, max_files_per_trigger=1)
     events = wire.events_only(wire.decode(log)).select("event_id", "record_ts", "payload")
-    once = T.dedup_stream(events, ["event_id"], "record_ts", "1 day")
+    once = T.dedup_stream(events, ["event_id"], "record_ts", "90 days")
     query = (
         once.writeStream.format("parquet")
         .option("path", f"{root}/out")

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.operators.versions import latest_version
-from tidemark.streaming.places import delete_folder, read_table
+from tidemark.streaming.places import delete_folder, exists, no_rows, read_table
 
 ATTEMPT = T.StructType([T.StructField("run", T.StringType()), T.StructField("batch_id", T.LongType())])
 ATTEMPT_KEYS = ["run", "batch_id"]
@@ -92,22 +92,25 @@ def written_attempts(spark: SparkSession, table: Attempts) -> DataFrame:
     return read_table(spark, table.path, T.StructType([*table.schema.fields, *ATTEMPT.fields]))
 
 
-def newest_snapshot(spark: SparkSession, table: Attempts) -> tuple[int, DataFrame]:
-    """Number and rows of the newest snapshot; 0 and no rows before the first."""
+def newest_snapshot(spark: SparkSession, table: Attempts) -> tuple[int, DataFrame | None]:
+    """Number and rows of the newest snapshot; 0 and nothing before the first."""
+    if not exists(spark, table.snapshots):
+        return 0, None
     every = read_table(spark, table.snapshots, table.snapshot_schema())
-    number = every.agg(F.max("snapshot")).first()[0] or 0
-    return number, every.where(F.col("snapshot") == number).drop("snapshot")
+    number = every.agg(F.max("snapshot")).first()[0]
+    return (0, None) if number is None else (number, every.where(F.col("snapshot") == number).drop("snapshot"))
 
 
 def _tail(
-    spark: SparkSession, table: Attempts, snapshot: DataFrame, finished: DataFrame | None, reach: DataFrame | None = None
+    spark: SparkSession, table: Attempts, snapshot: DataFrame | None, finished: DataFrame | None, reach: DataFrame | None = None
 ) -> DataFrame:
     """Rows of finished attempts that the snapshot has not absorbed."""
-    absorbed = snapshot.where(F.col("run").isNotNull()).select(*ATTEMPT_KEYS)
     rows = written_attempts(spark, table)
     if reach is not None:
         rows = rows.join(reach, list(table.layout), "left_semi")
-    rows = rows.join(absorbed, ATTEMPT_KEYS, "left_anti")
+    if snapshot is not None:
+        absorbed = snapshot.where(F.col("run").isNotNull()).select(*ATTEMPT_KEYS)
+        rows = rows.join(absorbed, ATTEMPT_KEYS, "left_anti")
     return rows if finished is None else rows.join(finished.select(*ATTEMPT_KEYS).distinct(), ATTEMPT_KEYS, "left_semi")
 
 
@@ -129,10 +132,13 @@ def read_current(
     holds values of the layout's columns: no other cells, and of attempts partitioned by these columns
     no other folders, are read (dynamic partition pruning, if it has a filter of its own).
     """
-    _, snapshot = newest_snapshot(spark, table)
     names = [*table.columns, *ATTEMPT_KEYS]
-    rows = _base(spark, table, snapshot, reach).select(*names)
-    rows = rows.unionByName(_tail(spark, table, snapshot, finished, reach).select(*names))
+    _, snapshot = newest_snapshot(spark, table)
+    if snapshot is None and not exists(spark, table.path):
+        return no_rows(spark, T.StructType([*table.schema.fields, *ATTEMPT.fields]))
+    rows = _tail(spark, table, snapshot, finished, reach).select(*names)
+    if snapshot is not None:
+        rows = _base(spark, table, snapshot, reach).select(*names).unionByName(rows)
     return rows if table.reduce is None else table.reduce(rows)
 
 
@@ -141,8 +147,7 @@ def compact(spark: SparkSession, table: Attempts, finished: DataFrame | None = N
 
     A job that dies before the snapshot is written leaves cells that no snapshot names. Two jobs at once
     write cells apart; the later snapshot counts, and what it does not name stays in its attempts. Run no
-    ``sweep`` beside them.
-    ``before_snapshot`` runs between the two, for tests of a crash there.
+    ``sweep`` beside them. ``before_snapshot`` runs between the two, for tests of a crash there.
     """
     number, snapshot = newest_snapshot(spark, table)
     version = uuid.uuid4().hex
@@ -153,14 +158,14 @@ def compact(spark: SparkSession, table: Attempts, finished: DataFrame | None = N
     if new.isEmpty():
         return number
     fresh = table.in_cells(written_attempts(spark, table).join(new, ATTEMPT_KEYS, "left_semi"))
-    touched = fresh.select(*table.cells).distinct() if table.cells else None
-    old = _base(spark, table, snapshot).drop(VERSION)
-    if touched is not None:
-        old = old.join(touched, table.cells, "left_semi")
-    names = [*table.columns, *ATTEMPT_KEYS, *table.cells]
-    rows = old.select(*names).unionByName(fresh.select(*names))
-    if table.reduce is not None:
-        rows = table.reduce(rows)
+    names = [*table.columns, *ATTEMPT_KEYS]
+    rows = fresh.select(*names)
+    if snapshot is not None:
+        old = _base(spark, table, snapshot)
+        if table.cells:
+            old = old.join(fresh.select(*table.cells).distinct(), table.cells, "left_semi")
+        rows = old.select(*names).unionByName(rows)
+    rows = table.in_cells(rows if table.reduce is None else table.reduce(rows))
     target = f"{table.base}/{VERSION}={version}"
     if table.cells:
         rows.hint("rebalance", *table.cells).write.partitionBy(*table.cells).parquet(target)
@@ -170,12 +175,16 @@ def compact(spark: SparkSession, table: Attempts, finished: DataFrame | None = N
         before_snapshot()
     made = spark.read.schema(table.base_schema()).parquet(target)
     cells = made.select(*table.cells).distinct().withColumn(VERSION, F.lit(version)) if table.cells else made.limit(1).select(F.lit(version).alias(VERSION))
-    kept = snapshot.where(F.col(VERSION).isNotNull()).select(VERSION, *table.cells)
-    kept = kept.join(cells.select(*table.cells), table.cells, "left_anti") if table.cells else kept.where(F.lit(False))
-    there = written_attempts(spark, table).select(*ATTEMPT_KEYS).distinct()
-    absorbed = snapshot.where(F.col("run").isNotNull()).select(*ATTEMPT_KEYS).join(there, ATTEMPT_KEYS, "left_semi").union(new)
+    entries, absorbed = cells, new
+    if snapshot is not None:
+        if table.cells:
+            kept = snapshot.where(F.col(VERSION).isNotNull()).select(VERSION, *table.cells)
+            entries = cells.unionByName(kept.join(cells.select(*table.cells), table.cells, "left_anti"))
+        there = written_attempts(spark, table).select(*ATTEMPT_KEYS).distinct()
+        before = snapshot.where(F.col("run").isNotNull()).select(*ATTEMPT_KEYS)
+        absorbed = before.join(there, ATTEMPT_KEYS, "left_semi").union(new)
     names = [*table.cells, VERSION, *ATTEMPT_KEYS]
-    entries = cells.unionByName(kept).unionByName(absorbed, allowMissingColumns=True).select(*names)
+    entries = entries.unionByName(absorbed, allowMissingColumns=True).select(*names)
     entries.coalesce(1).write.mode("overwrite").parquet(f"{table.snapshots}/snapshot={number + 1}")
     return number + 1
 
@@ -186,7 +195,7 @@ def sweep(spark: SparkSession, table: Attempts) -> int:
     Returns how many folders went. Names, not rows, come to the driver: one for each folder to delete.
     """
     number, snapshot = newest_snapshot(spark, table)
-    if not number:
+    if snapshot is None:
         return 0
     there = written_attempts(spark, table).select(*ATTEMPT_KEYS).distinct()
     attempts = snapshot.where(F.col("run").isNotNull()).select(*ATTEMPT_KEYS).join(there, ATTEMPT_KEYS, "left_semi")

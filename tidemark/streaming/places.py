@@ -5,8 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
@@ -32,14 +32,22 @@ def ensure_table(
     empty.write.mode("ignore").partitionBy(*partition_by).parquet(path)
 
 
+def no_rows(spark: SparkSession, schema: T.StructType) -> DataFrame:
+    """An empty frame that the optimizer knows to be empty, so that joins and unions with it vanish."""
+    columns = [F.lit(None).cast(field.dataType).alias(field.name) for field in schema.fields]
+    return spark.range(1).where("false").select(*columns)
+
+
 def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """The table's rows, or none if nothing was written yet."""
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], schema)
+    if not exists(spark, path):
+        return no_rows(spark, schema)
+    return spark.read.schema(schema).parquet(path)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
 
 
 def delete_folder(spark: SparkSession, path: str) -> None:
@@ -50,5 +58,4 @@ def delete_folder(spark: SparkSession, path: str) -> None:
 
 def written(spark: SparkSession, path: str) -> bool:
     """Has a finished job written this folder? One that died left no success mark."""
-    place = spark._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
-    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+    return exists(spark, f"{path}/_SUCCESS")

@@ -213,7 +213,7 @@ def unstored_rows(rows: DataFrame, path: str, run: str, batch_id: int, width: in
 def insert_if_absent(
     rows: DataFrame, path: str, run: str | None = None, batch_id: int = 0, width: int = ID_RANGE
 ) -> None:
-    """K2: stores events whose (table, id) is not stored yet.
+    """K2: stores events whose (table, id) is not stored yet; a table keeps one ``width``.
 
     The insert owns a folder of rows, one of keys and one of its commit, written in this order, so that
     a crash leaves rows that no reader counts; written again under the same run and batch it replaces
