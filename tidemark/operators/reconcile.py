@@ -505,3 +505,37 @@ def distinct_since(rows: DataFrame, clock: str, since: int) -> DataFrame:
         F.count("*").alias("distinct_ids"),
         F.coalesce(F.sum(F.col("copies") - 1), F.lit(0)).alias("surplus"),
     )
+
+
+def hop_lineage(lineage: DataFrame) -> DataFrame:
+    """J9 by position: what a hop made of each source record, without an id in the payload.
+
+    ``lineage`` has a row for each record of the hop's topic with its source position. ``copies`` over one are
+    repeats the hop sent; ``partition`` and ``offset`` name the first copy.
+    """
+    place = F.struct("partition", "offset")
+    return (
+        lineage.groupBy("src_topic", "src_part", "src_offset")
+        .agg(F.count("*").alias("copies"), F.min(place).alias("_first"))
+        .select("src_topic", "src_part", "src_offset", "copies", "_first.partition", "_first.offset")
+    )
+
+
+def distinct_sketches(sink: DataFrame, lg_k: int = 14) -> DataFrame:
+    """G11 prepared: by table and hour the rows stored and a sketch of their ids, small and mergeable.
+
+    Sketches of further batches are added with ``unionByName``; the error of an estimate is about
+    1.04 / sqrt(2^lg_k), 0.8 % at 14.
+    """
+    hour = F.date_trunc("hour", "inserted_at").alias("hour")
+    return sink.groupBy("sink_table", hour).agg(
+        F.count("*").alias("rows"), F.hll_sketch_agg("event_id", F.lit(lg_k)).alias("ids")
+    )
+
+
+def dup_ratio_sketched(sketches: DataFrame, since=None) -> DataFrame:
+    """G11 from sketches: exact rows and about how many distinct ids each table holds since an hour."""
+    seen = sketches if since is None else sketches.where(F.col("hour") >= F.lit(since))
+    return seen.groupBy("sink_table").agg(
+        F.sum("rows").alias("rows"), F.hll_sketch_estimate(F.hll_union_agg("ids")).alias("distinct_ids")
+    )

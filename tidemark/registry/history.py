@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators import history as H
+from tidemark.operators import time_index as X
 from tidemark.registry.base import DAY_MS, NOW_MS, Fixtures, query
 from tidemark.sources.logs import pinned_bounds
 
@@ -75,6 +76,20 @@ def interval_miss(f: Fixtures) -> DataFrame:
     return H.interval_miss(f.skewed_log, LO, HI)
 
 
+@query(
+    "time_index_miss",
+    f"""SELECT s.topic, s."partition", s."offset", s.record_ts FROM skewed s JOIN (
+      SELECT "partition" AS p,
+        coalesce(min("offset") FILTER (WHERE record_ts >= {LO}), max("offset") + 1) AS from_offset,
+        coalesce(min("offset") FILTER (WHERE record_ts >= {HI}), max("offset") + 1) AS to_offset
+      FROM skewed GROUP BY "partition") ON p = s."partition"
+    WHERE record_ts >= {LO} AND record_ts < {HI} AND ("offset" < from_offset OR "offset" >= to_offset)""",
+)
+def time_index_miss(f: Fixtures) -> DataFrame:
+    """The same through an index of the clocks."""
+    return X.interval_miss(f.skewed_log, X.build_index(f.skewed_log, block=256), LO, HI)
+
+
 @query(
     "retention_estimate",
     f"""SELECT topic, "partition", bytes, size_window_ms,

@@ -7,12 +7,15 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.routes import map_routes
 from tidemark.operators import frontier as W
+from tidemark.operators import time_index as X
 from tidemark.operators.reconcile import positions_of
 from tidemark.operators.versions import latest_version as newest
 from tidemark.registry.base import Fixtures, query
 from tidemark.schemas import POSITION
+from tidemark.sources.footers import pinned_footer_bounds, write_laid_out
 from tidemark.sources.logs import pinned_bounds
 from tidemark.sources.tables import commit_ranges
+from tidemark.streaming.places import work_dir
 
 
 def accounted(f: Fixtures) -> DataFrame:
@@ -108,6 +111,28 @@ def offsets_for_times(f: Fixtures) -> DataFrame:
     return W.offsets_for_times(f.skewed_log, outage_start(f))
 
 
+@query(
+    "time_index_offsets",
+    """SELECT topic, "partition", min("offset") FILTER (WHERE record_ts >= mid) AS first_offset
+    FROM skewed, (SELECT min(produced_at) AS mid FROM log WHERE phase = 'during-outage')
+    GROUP BY topic, "partition" """,
+)
+def time_index_offsets(f: Fixtures) -> DataFrame:
+    """The same lookup through an index, merged from those of two parts of the log."""
+    early = F.col("phase") == "before-outage"
+    index = X.merge_index(*[X.build_index(f.skewed_log.where(part), block=256) for part in (early, ~early)])
+    return X.offsets_for_times(f.skewed_log, index, outage_start(f))
+
+
+@query("footer_bounds", 'SELECT topic, "partition", "begin", "end" FROM bounds')
+def footer_bounds(f: Fixtures) -> DataFrame:
+    """Bounds of a log in folders, from its files' footers."""
+    path = f"{work_dir(f.spark, 'footers')}/log"
+    for phase in ("before-outage", "during-outage", "after-restart"):
+        write_laid_out(f.log.where(F.col("phase") == phase), path)
+    return pinned_footer_bounds(f.spark, path)
+
+
 def outage_start(f: Fixtures) -> int:
     """When the outage's first event was produced."""
     return f.ledger.where("phase = 'during-outage'").agg(F.min("produced_at")).first()[0]

@@ -164,6 +164,21 @@ def dup_ratio(f: Fixtures) -> DataFrame:
     return R.distinct_since(f.sink, "produced_at", NOW_MS - 20 * DAY_MS)
 
 
+@query(
+    "dup_ratio_sketched",
+    f"""SELECT sink_table, count(*) AS "rows", true AS close
+    FROM sink WHERE produced_at + 1000 >= {NOW_MS - 20 * DAY_MS} GROUP BY sink_table""",
+)
+def dup_ratio_sketched(f: Fixtures) -> DataFrame:
+    """Rows since an hour from sketches by hour, of two parts; their distinct ids lie within 4 % of the true number."""
+    half = F.col("event_id") % 2 == 0
+    sketches = R.distinct_sketches(f.sink.where(half)).unionByName(R.distinct_sketches(f.sink.where(~half)))
+    since = F.timestamp_millis(F.lit(NOW_MS - 20 * DAY_MS))
+    true = f.sink.where(F.col("inserted_at") >= since).groupBy("sink_table").agg(F.count_distinct("event_id").alias("_true"))
+    found = R.dup_ratio_sketched(sketches, since).join(true, "sink_table")
+    return found.select("sink_table", "rows", (F.abs(F.col("distinct_ids") / F.col("_true") - 1) < 0.04).alias("close"))
+
+
 @query(
     "content_diff",
     """SELECT sink_table, event_id, CASE WHEN event_id % 61 = 0 AND event_id % 67 = 0

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import rules, wire
+from tidemark.operators import reconcile as R
 from tidemark.operators.reconcile import positions_of
 from tidemark.plans import resume as P
 from tidemark.fixtures import now
@@ -15,6 +16,7 @@ from tidemark.schemas import TOPIC_LOG
 from tidemark.sources import logs
 from tidemark.sources.vectors import collect_vector
 from tidemark.streaming import pipelines as T
+from tidemark.streaming.guards import contiguity_stream, rocksdb_state
 from tidemark.streaming.places import work_dir
 
 LOG = TOPIC_LOG.names
@@ -186,3 +188,66 @@ def stream_dedup(f: Fixtures) -> DataFrame:
     )
     query.awaitTermination()
     return f.spark.read.parquet(f"{root}/out").select("event_id", "payload")
+
+
+@query("stream_limited", COPIES)
+def stream_limited(f: Fixtures) -> DataFrame:
+    """Guarded batches of at most a quarter of a partition's offsets, stopped at the outage and started again."""
+    root = work_dir(f.spark, "limited")
+    delivery = T.Delivery(T.Store(f"{root}/store"), clock=now)
+    limit = max(1, f.n // 12)
+    for phases in (["before-outage"], ["during-outage", "after-restart"]):
+        write_log(f, f"{root}/log", phases)
+        T.run_limited(logs.topic_log(f.spark, f"{root}/log"), delivery, "limited", limit)
+    return copies(delivery.store.read_data(f.spark))
+
+
+@query(
+    "stream_guard",
+    """SELECT topic, "partition", min("offset") AS first_offset, max("offset") AS last_offset, count(*) AS offsets,
+      count(*) AS "records", CASE phase WHEN 'before-outage' THEN NULL ELSE any_value(current_offset) END AS next_offset,
+      CASE phase WHEN 'before-outage' THEN 'first' WHEN 'during-outage' THEN 'ok' ELSE 'gap' END AS status,
+      max("offset") + 1 AS new_next, CAST(0 AS BIGINT) AS from_offset
+    FROM log
+    JOIN group_commits USING (topic, "partition") WHERE phase <> 'after-restart' GROUP BY topic, "partition", phase
+    UNION ALL
+    SELECT topic, "partition", min("offset"), max("offset"), count(*), count(*), min("offset") - 1, 'gap', max("offset") + 1, 0
+    FROM (SELECT *, row_number() OVER (PARTITION BY "partition" ORDER BY "offset") AS n FROM log WHERE phase = 'after-restart')
+    WHERE n > 1 GROUP BY topic, "partition" """,
+)
+def stream_guard(f: Fixtures) -> DataFrame:
+    """Keyed state over a restart: a batch a phase; the last lacks the first record of each partition."""
+    root = work_dir(f.spark, "guard")
+    first = F.row_number().over(Window.partitionBy("partition").orderBy("offset")) == 1
+    late = f.log.where("phase = 'after-restart'").withColumn("first", first).where("NOT first")
+    parts = [f.log.where("phase = 'before-outage'"), f.log.where("phase = 'during-outage'"), late]
+    for rows in parts:
+        rows.select(*LOG).coalesce(1).write.mode("append").parquet(f"{root}/log")
+        verdicts = contiguity_stream(logs.topic_log(f.spark, f"{root}/log", streaming=True))
+        with rocksdb_state(f.spark):
+            query = (
+                verdicts.writeStream.format("parquet")
+                .option("path", f"{root}/verdicts")
+                .option("checkpointLocation", f"{root}/checkpoint")
+                .trigger(availableNow=True)
+                .start()
+            )
+        query.awaitTermination()
+    return f.spark.read.parquet(f"{root}/verdicts")
+
+
+@query(
+    "hop_lineage",
+    """SELECT topic AS src_topic, "partition" AS src_part, "offset" AS src_offset,
+      CAST(2 AS BIGINT) AS copies FROM log WHERE phase = 'before-outage'""",
+)
+def hop_lineage(f: Fixtures) -> DataFrame:
+    """A hop that lost its checkpoint sent the records of before the outage twice; found by position alone."""
+    root = work_dir(f.spark, "lineage")
+    router = T.Router(f"{root}/topic2", partitions=2)
+    for number, phases in enumerate((["before-outage"], ["before-outage", "during-outage", "after-restart"])):
+        write_log(f, f"{root}/log-{number}", phases)
+        log = logs.topic_log(f.spark, f"{root}/log-{number}", streaming=True)
+        T.run_router(log, router, f"{root}/c{number}").awaitTermination()
+    found = R.hop_lineage(router.read_lineage(f.spark))
+    return found.where("copies > 1").drop("partition", "offset")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -15,10 +15,11 @@ from tidemark.functions.routes import route_filter
 from tidemark.functions.rules import DELIVERED, Rule, dispose
 from tidemark.functions.wire import decode, encode, events_only
 from tidemark.schemas import PROGRESS, SINK, TOPIC_LOG
-from tidemark.sources.logs import log_bounds
+from tidemark.sources.logs import log_bounds, pinned_bounds, read_range
+from tidemark.sources.vectors import collect_vector
 from tidemark.streaming import sinks
 from tidemark.streaming.compaction import Attempts, compact, read_current, sweep
-from tidemark.streaming.places import delete_folder, ensure_table, read_table, work_dir
+from tidemark.streaming.places import delete_folder, ensure_table, read_table, work_dir, written
 
 ENDS = T.StructType([T.StructField("partition", T.IntegerType()), T.StructField("end", T.LongType())])
 APPEND, ATOMIC, IF_ABSENT = "append", "batch-atomic", "insert-if-absent"
@@ -218,6 +219,50 @@ def run_direct(
     )
 
 
+RANGES = T.StructType(
+    [
+        T.StructField("topic", T.StringType()),
+        T.StructField("partition", T.IntegerType()),
+        T.StructField("start", T.LongType()),
+        T.StructField("stop", T.LongType()),
+    ]
+)
+
+
+def run_limited(log: DataFrame, delivery: Delivery, run: str, max_offsets: int) -> int:
+    """Delivers a topic-log table in guarded batches of at most ``max_offsets`` of each partition.
+
+    Returns the number of the run's batches so far.
+
+    A file limit cuts a log between files, in any order; this cuts it by offset, so the contiguity guard
+    may stay on. Every batch's ranges are written down before it is read (``plans`` in the store) and hold
+    when it is delivered again. Started again under the same run name, it finishes the batch that was
+    open and goes on from stored progress.
+    """
+    spark, store = log.sparkSession, delivery.store
+    delivery = replace(delivery, run=run)
+    plans = f"{store.root}/plans"
+    bounds = {(r.topic, r.partition): (r.begin, r.end) for r in pinned_bounds(log).collect()}
+    stored = sinks.read_progress_table(spark, store.progress).where(F.col("run") == run)
+    last = stored.agg(F.max("batch_id")).first()[0]
+    batch_id = 0 if last is None else last + 1
+    while True:
+        folder = sinks.attempt_path(plans, run, batch_id)
+        if not written(spark, folder):
+            reached = collect_vector(store.read_progress(spark), "next_offset")
+            rows = [
+                (*tp, start, min(start + max_offsets, end))
+                for tp, (begin, end) in bounds.items()
+                if (start := reached.get(tp, begin)) < end
+            ]
+            if not rows:
+                return batch_id
+            spark.createDataFrame(rows, RANGES).coalesce(1).write.mode("overwrite").parquet(folder)
+        plan = spark.read.schema(RANGES).parquet(folder)
+        delivery.write(read_range(log, collect_vector(plan, "start"), collect_vector(plan, "stop")), batch_id)
+        batch_id += 1
+
+
 @dataclass(frozen=True)
 class Router:
     """How a hop writes the next topic, here a topic-log table; ``run`` as in ``Delivery``."""
@@ -233,6 +278,10 @@ class Router:
         """The hop's topic as a batch."""
         return sinks.read_attempts(spark, self.path, TOPIC_LOG)
 
+    def read_lineage(self, spark: SparkSession) -> DataFrame:
+        """The source position of each record of the hop's topic, written beside it."""
+        return sinks.read_attempts(spark, self.path, sinks.LINEAGE)
+
     def read_stream(self, spark: SparkSession, **options) -> DataFrame:
         """The hop's topic as a stream."""
         whole = T.StructType([*TOPIC_LOG.fields, *sinks.ATTEMPT.fields])

@@ -32,6 +32,13 @@ ID_RANGE = 1 << 24
 
 SINK_COLUMNS = SINK.names
 REPLAYED = "replayed"
+# A record's place in a hop's topic and where it came from.
+LINEAGE = T.StructType(
+    [
+        *[TOPIC_LOG[name] for name in POSITION],
+        *[SINK[name] for name in ("src_topic", "src_part", "src_offset")],
+    ]
+)
 # A batch as it is written down: every record's position and fate, with what its kind needs.
 JOURNAL = T.StructType(
     [
@@ -505,7 +512,8 @@ def place_in_topic(
 
     Records keep their source order inside a target partition. Numbering is cut into source
     buckets: rows are counted inside a bucket, and only the bucket sizes are summed in
-    order, so no task sees a whole partition.
+    order, so no task sees a whole partition. Each record keeps its source position as src_topic,
+    src_part and src_offset.
     """
     source = ["_src_topic", "_src_part", "_bucket"]
     if target is None:
@@ -534,13 +542,16 @@ def place_in_topic(
         .join(starts, ["partition", *source])
         .withColumn("topic", F.lit(topic))
         .withColumn("offset", F.col("_start") + F.col("_rank") - 1)
-        .drop(*source, "_src_offset", "_rank", "_start")
+        .drop("_bucket", "_rank", "_start")
+        .withColumnsRenamed({"_src_topic": "src_topic", "_src_part": "src_part", "_src_offset": "src_offset"})
     )
 
 
 def write_topic(placed: DataFrame, path: str, run: str, batch_id: int) -> None:
-    """Adds a batch to a topic-log table."""
-    write_attempt(placed.select(*TOPIC_LOG.names), path, run, batch_id)
+    """Adds a batch to a topic-log table, the source positions in columns of their own, which readers of
+    the log leave alone."""
+    sources = [name for name in LINEAGE.names if name not in POSITION]
+    write_attempt(placed.select(*TOPIC_LOG.names, *sources), path, run, batch_id)
 
 
 def read_attempt(
