@@ -159,7 +159,7 @@ def scan(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, keep
     ranked = F.array_sort(F.transform("found", lambda f: F.struct(f["start"], ranks[f["rule"]].alias("k"), f["end"])))
     spans = F.transform(ranked, lambda f: F.struct(F.get(names, f["k"]).alias("kind"), f["start"], f["end"]))
     # Copies of one blob may be a third of all versions, so they meet its findings in SALTS places.
-    known = known.select("blob", spans.alias("spans"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    known = known.select("blob", spans.alias("spans")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     blob = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256).alias("blob")
     salt = (F.monotonically_increasing_id() % SALTS).cast("int").alias("salt")
     paths = versions.select(F.struct(*keep).alias("row"), blob, salt).join(known, ["blob", "salt"], "left")
