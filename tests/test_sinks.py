@@ -178,18 +178,64 @@ def test_jdbc_writer_stages_and_moves_each_table(spark, tmp_path):
     def save(rows, options):
         saved.append((options["dbtable"], sorted((r.event_id, r.run, r.batch_id) for r in rows.collect())))
 
-    write = jdbc.batch_writer("jdbc:x", ["t_a", "t_b"], done.append, f"{tmp_path}/owners", "it's", save)
+    write = jdbc.batch_writer("jdbc:x", ["t_a", "t_b"], done.extend, f"{tmp_path}/owners", "it's", save)
     write(rows_of(spark, [1, 2]).unionByName(rows_of(spark, [3], "t_b")), 4)
     assert saved == [("t_a_staging", [(1, "it's", 4), (2, "it's", 4)]), ("t_b_staging", [(3, "it's", 4)])]
     assert [s.split(" WHERE ")[0].split(" (")[0] for s in done] == [
-        "DELETE FROM t_a_staging", "INSERT INTO t_a", "DELETE FROM t_b_staging", "INSERT INTO t_b",
+        "DELETE FROM t_a_staging", "DELETE FROM t_b_staging", "INSERT INTO t_a", "INSERT INTO t_b",
+        "DELETE FROM t_a_staging", "DELETE FROM t_b_staging",
     ]
     assert all("run = 'it''s' AND batch_id = 4" in s for s in done)
-    assert done[1].endswith("ON CONFLICT (event_id) DO NOTHING")
+    assert done[2].endswith("ON CONFLICT (event_id) DO NOTHING")
     options = jdbc.write_options("jdbc:x", "t", parts=3)
     assert (options["numPartitions"], options["dbtable"]) == ("3", "t")
 
 
+def test_jdbc_rows_and_progress_move_together(spark, tmp_path):
+    """The statements run in this process's own DuckDB."""
+    import duckdb
+
+    from tidemark.streaming import jdbc
+
+    db = duckdb.connect()
+    columns = "event_id BIGINT, produced_at BIGINT, route VARCHAR, payload VARCHAR, src_topic VARCHAR, src_part INT, src_offset BIGINT, inserted_at TIMESTAMP"
+    db.sql(f"CREATE TABLE t_a ({columns}, UNIQUE (event_id))")
+    db.sql(f"CREATE TABLE t_a_staging ({columns}, run VARCHAR, batch_id BIGINT)")
+    db.sql(f"CREATE TABLE {jdbc.PROGRESS_TABLE} (job VARCHAR, topic VARCHAR, part INT, next_offset BIGINT, PRIMARY KEY (job, topic, part))")
+
+    def transact(statements):
+        db.execute("BEGIN")
+        try:
+            for statement in statements:
+                if statement.startswith("SELECT 1 / "):  # division by zero is null here, an error in other databases
+                    assert db.execute(statement).fetchone()[0] == 1.0, "progress"
+                else:
+                    db.execute(statement)
+            db.execute("COMMIT")
+        except BaseException:
+            db.execute("ROLLBACK")
+            raise
+
+    def save(rows, options):
+        data = [tuple(r) for r in rows.collect()]
+        if data:
+            db.executemany(f"INSERT INTO {options['dbtable']} VALUES ({', '.join('?' * len(rows.columns))})", data)
+
+    write = jdbc.batch_writer("jdbc:x", ["t_a"], transact, f"{tmp_path}/owners", "r", save, job="j")
+    at = lambda low, high: positions(spark, [(0, o) for o in range(low, high)])
+    stored = lambda: (db.execute("SELECT count(*) FROM t_a").fetchone()[0], db.execute(f"SELECT next_offset FROM {jdbc.PROGRESS_TABLE}").fetchone()[0])
+    write(rows_of(spark, range(5)), 0, at(0, 10))
+    assert stored() == (5, 10)
+    write(rows_of(spark, range(3, 8)), 1, at(8, 12))
+    assert stored() == (8, 12)
+    with pytest.raises(AssertionError, match="progress"):
+        write(rows_of(spark, range(20, 25)), 2, at(15, 20))
+    assert stored() == (8, 12)
+    write(rows_of(spark, range(20, 25)), 2, at(12, 20))
+    assert stored() == (13, 20) and db.execute("SELECT count(*) FROM t_a_staging").fetchone()[0] == 0
+    assert "job = 'j'" in jdbc.position_options("jdbc:x", "j", "t")["query"]
+
+
 def test_versions_are_compacted_behind_a_snapshot(spark, tmp_path):
     table = K.version_table(f"{tmp_path}/t", width=8)
     rows = lambda ids, at, name="t_a": rows_of(spark, ids, name).withColumn("produced_at", F.lit(at).cast("long"))
