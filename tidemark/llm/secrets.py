@@ -153,10 +153,19 @@ def scan(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, keep
 
     order = {r.version: k for k, r in enumerate(rules)}
     ranks = F.create_map(*[F.lit(x) for pair in order.items() for x in pair])
-    known = read_ledger(spark, ledger).select("blob", F.filter("found", lambda f: f["rule"].isin(list(order))).alias("found"))
-    known = known.where(F.size("found") > 0).groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("found"))).alias("found"))
+    current = F.filter("found", lambda f: f["rule"].isin(list(order)))
+    parts = read_ledger(spark, ledger).select("blob", F.struct("rules", current.alias("found")).alias("part"))
+    parts = parts.where(F.size("part.found") > 0).groupBy("blob").agg(F.collect_list("part").alias("parts"))
+    # A pair that two scans met at once counts once: of each part, the rules that no part before it has.
+    none_yet = F.struct(F.array().cast("array<string>").alias("rules"), F.array().cast(FOUND).alias("found"))
+
+    def merge(a: Column, x: Column) -> Column:
+        more = F.filter(x["found"], lambda f: ~F.array_contains(a["rules"], f["rule"]))
+        return F.struct(F.array_union(a["rules"], x["rules"]).alias("rules"), F.concat(a["found"], more).alias("found"))
+
+    known = parts.select("blob", F.aggregate("parts", none_yet, merge)["found"].alias("found"))
     names = F.array(*[F.lit(r.name) for r in rules])
-    ranked = F.array_sort(F.transform("found", lambda f: F.struct(f["start"], ranks[f["rule"]].alias("k"), f["end"])))
+    ranked = F.sort_array(F.transform("found", lambda f: F.struct(f["start"], ranks[f["rule"]].alias("k"), f["end"])))
     spans = F.transform(ranked, lambda f: F.struct(F.get(names, f["k"]).alias("kind"), f["start"], f["end"]))
     # Copies of one blob may be a third of all versions, so they meet its findings in SALTS places.
     known = known.select("blob", spans.alias("spans")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
