@@ -1,7 +1,9 @@
+import random
 import zlib
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.shapes import no_docs, odd_docs, odd_rows
 from tidemark.llm import hilbert as H
@@ -46,3 +48,24 @@ def test_odd_documents(spark):
     check(H.assign(odd_docs(spark), shards=5).collect(), [r[1] for r in odd_rows()], 5)
     check(H.assign(odd_docs(spark), shards=24).collect(), [r[1] for r in odd_rows()], 24)
     assert H.assign(no_docs(spark)).count() == 0
+
+
+def test_cuts_are_the_quantiles_of_whole_values(spark):
+    rng = random.Random(4)
+    values = [f"https://site{rng.choice([1, 1, 1, *range(20)]):02d}.example.org/é" for _ in range(2_000)] + [None, ""] * 3
+    docs = spark.createDataFrame([(v,) for v in values], "source string").repartition(7)
+    ranked = sorted(v or "" for v in values)
+    for bits in (1, 3, 4):
+        steps = 1 << bits
+        # The first value that at least a share k / 2^bits of all rows does not exceed.
+        expected = {ranked[-(-k * len(ranked) // steps) - 1] for k in range(1, steps)} - {ranked[-1]}
+        assert H.cuts_of(docs, F.coalesce("source", F.lit("")), bits) == sorted(expected)
+
+
+def test_sources_with_a_common_beginning_are_kept_apart(spark):
+    rows = [(i, "text", "en", f"https://site{i % 20:02d}.org", 10, ) for i in range(2_000)]
+    out = H.assign(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), shards=20).collect()
+    held = defaultdict(set)
+    for r in out:
+        held[r["shard"]].add(r["source"])
+    assert max(map(len, held.values())) <= 3

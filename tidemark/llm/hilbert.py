@@ -21,28 +21,41 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark.llm.common import settled
+
 SHARDS = 24
 BITS = 4
 BUCKETS = 64
+BUCKET_ROWS = 100_000
 
 
-def ordered_code(text: Column) -> Column:
-    """A number that orders strings by their first seven bytes; null and empty are 0."""
-    head = F.substring(F.encode(F.coalesce(text, F.lit("")), "utf-8"), 1, 7)
-    return F.conv(F.rpad(F.hex(head), 14, "0"), 16, 10).cast("long")
+def dimensions() -> list[Column]:
+    """Metadata columns in the order of the curve's axes; strings are ordered by their whole UTF-8 bytes."""
+    return [F.coalesce("lang", F.lit("")), F.coalesce("source", F.lit("")), F.coalesce(F.col("n_chars").cast("long"), F.lit(0).cast("long"))]
 
 
-def dimensions() -> list[Column]:
-    """Metadata columns as numbers, in the order of the curve's axes."""
-    return [ordered_code(F.col("lang")), ordered_code(F.col("source")), F.coalesce(F.col("n_chars").cast("long"), F.lit(0))]
+def cuts_of(docs: DataFrame, axis: Column, bits: int) -> list:
+    """The values at the quantiles k / 2^bits of an axis, at most 2^bits - 1, each once and in order.
+
+    Rows are counted by value first, so a value that a third of all rows share is one row. The values are
+    sorted by range and summed within ranges; only one sum a range is put in order in one place.
+    """
+    counts = docs.select(axis.alias("v")).groupBy("v").count()
+    placed = settled(counts.repartitionByRange("v").sortWithinPartitions("v")).withColumn("r", F.spark_partition_id())
+    before = Window.orderBy("r").rowsBetween(Window.unboundedPreceding, -1)
+    sums = placed.groupBy("r").agg(F.sum("count").alias("s"))
+    sums = sums.select("r", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("before"), F.sum("s").over(Window.partitionBy()).alias("total"))
+    here = Window.partitionBy("r").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    upto = placed.withColumn("upto", F.sum("count").over(here)).join(F.broadcast(sums), "r")  # a row for each range
+    crosses = f"((before + upto) * {1 << bits}) div total > ((before + upto - count) * {1 << bits}) div total"
+    cuts = upto.where(crosses).where("before + upto < total").select("v").limit(1 << bits).collect()
+    return sorted(row["v"] for row in cuts)
 
 
 def quantised(docs: DataFrame, axes: list[Column], bits: int) -> list[Column]:
-    """Cell coordinates 0 to 2^bits - 1. Only the quantiles, at most 2^bits - 1 a dimension, come to the driver."""
-    shares = [k / 2**bits for k in range(1, 2**bits)]
-    cuts = docs.agg(*[F.array_distinct(F.percentile_approx(axis, shares, 10_000)).alias(f"q{i}") for i, axis in enumerate(axes)]).first()
-    steps = lambda axis, own: sum(((axis > cut).cast("int") for cut in own or []), F.lit(0))
-    return [steps(axis, own) for axis, own in zip(axes, cuts)]
+    """Cell coordinates 0 to 2^bits - 1: how many of the axis's cuts a value lies above."""
+    steps = lambda axis, own: sum(((axis > F.lit(cut)).cast("int") for cut in own), F.lit(0))
+    return [steps(axis, cuts_of(docs, axis, bits)) for axis in axes]
 
 
 def hilbert_place(cell: list[int], bits: int) -> int:
@@ -87,8 +100,13 @@ def curve(docs: DataFrame, bits: int = BITS) -> Column:
     return hilbert_index(quantised(docs, dimensions(), bits), bits)
 
 
-def assign(docs: DataFrame, shards: int = SHARDS, bits: int = BITS, buckets: int = BUCKETS) -> DataFrame:
-    """doc_id, size, text_crc32, curve, shard, slot, lang, source, n_chars: one row for each row of docs."""
+def assign(docs: DataFrame, shards: int = SHARDS, bits: int = BITS, buckets: int | None = None) -> DataFrame:
+    """doc_id, size, text_crc32, curve, shard, slot, lang, source, n_chars: one row for each row of docs.
+
+    buckets: parts of a cell that are ranked apart; by default one for each BUCKET_ROWS rows of the table.
+    """
+    if buckets is None:
+        buckets = max(BUCKETS, -(-docs.count() // BUCKET_ROWS))
     place = curve(docs, bits).alias("curve")
     bucket = F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).alias("bucket")
     meta = ("lang", "source", "n_chars")
