@@ -32,8 +32,24 @@ def test_a_window_covers_its_templates_wherever_they_lie(m):
     assert m / size >= 0.25
 
 
-def test_bands_keep_misses_rare():
-    assert 0.75 ** len(L.bands(0.001)) <= 0.001 < 0.75 ** (len(L.bands(0.001)) - 1)
+@pytest.mark.parametrize("contained", [0.8, 0.9, 1.0])
+def test_bands_keep_misses_rare_at_the_accepted_containment(contained):
+    for name, text in L.TEMPLATES.items():
+        m = len(set(grams(text)))
+        size = L.window_size(m)
+        # The least similar window that is accepted: full, with just enough of the template.
+        held = next(k for k in range(m + 1) if k / m >= contained)
+        similarity = L.least_similarity(m, size, contained)
+        assert similarity == pytest.approx(held / (size + m - held)), name
+        n = len(L.bands(0.001, similarity))
+        assert (1 - similarity) ** n <= 0.001 < (1 - similarity) ** (n - 1)
+
+
+def test_a_template_without_shingles_is_refused(spark):
+    with pytest.raises(ValueError, match="short"):
+        L.scan(docs_of(spark, ["MIT License"]), {"short": "MIT License", "mit": L.TEMPLATES["mit"]})
+    five = L.scan(docs_of(spark, ["x under the mit license terms y"]), {"five": "under the MIT license terms"})
+    assert {m["template"] for m in five.first()["matches"]} == {"five"}
 
 
 def test_matches_equal_all_windows(spark):

@@ -3,7 +3,7 @@
 The training words are cut into shards, runs of whole documents of about `shard_words` words. Each
 shard gets a suffix array: its suffixes sorted by their first words, up to the window length. Every
 suffix of every benchmark item is then binary-searched in every shard, word by word, which gives its
-longest verbatim match and all places where that match occurs. A document is hit where a whole
+longest verbatim match, up to the window's length, and all places where that match occurs. A document is hit where a whole
 window (13 consecutive words of an item, or a shorter item as a whole) occurs, and contaminated when
 enough of its words are hit.
 
@@ -146,7 +146,8 @@ def matches(texts: list[str | None], block: Block) -> list[tuple[int, list[dict]
 
 
 def blocks(benchmark: DataFrame, window: int, limit: int) -> Iterator[Block]:
-    """The benchmark a block at a time; no more than one is on the driver."""
+    """The benchmark a block at a time. The blocks of all passes travel in their tasks' closures, so a
+    benchmark must fit the driver's memory, at about 60 bytes a word."""
     held: list[tuple[str | None, str | None]] = []
     size = 0
     for row in benchmark.select(F.col("item_id").cast("string"), "text").toLocalIterator():
@@ -198,7 +199,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, limit: int
 
 
 def judge(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, limit: int = BLOCK_CHARS) -> DataFrame:
-    """hits() with n_hit, longest (words of the longest verbatim run) and contaminated."""
+    """hits() with n_hit, longest (words of the longest hit run, windows that meet joined) and contaminated."""
     step = "struct(a.n + greatest(r.end - greatest(r.start, a.e), 0L) as n, greatest(a.e, r.end) as e)"
     n_hit = F.expr(f"aggregate(runs, struct(0L as n, 0L as e), (a, r) -> {step}, a -> a.n)")
     longest = F.expr("coalesce(array_max(transform(runs, r -> r.end - r.start)), 0L)")

@@ -84,7 +84,13 @@ def window_size(shingles: int) -> int:
     return max(2, 1 << (2 * (shingles - 1) - 1).bit_length()) if shingles > 1 else 2
 
 
-def bands(miss: float, similarity: float = 0.25) -> list[int]:
+def least_similarity(shingles: int, size: int, contained: float) -> float:
+    """Of a full window that holds just the share `contained` of a template's shingles, among others."""
+    held = math.ceil(contained * shingles)
+    return held / (size + shingles - held)
+
+
+def bands(miss: float, similarity: float) -> list[int]:
     """Seeds of the bands: as many as keep a miss at that similarity below `miss`."""
     n = math.ceil(math.log(miss) / math.log1p(-similarity))
     seeds = ((k + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1 for k in range(n))
@@ -100,14 +106,17 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, contained: fl
     spark = docs.sparkSession
     templates = TEMPLATES if templates is None else templates
     known = spark.createDataFrame(sorted(templates.items()), "name string, text string").select("name", words(F.col("text")).alias("w"))
-    known = known.select("name", "w", shingle_hashes(F.col("w")).alias("h")).where(F.size("h") > 0).collect()
+    known = known.select("name", "w", shingle_hashes(F.col("w")).alias("h")).collect()
+    if short := [row["name"] for row in known if not row["h"]]:
+        raise ValueError(f"templates of under {SHINGLE} words have no shingle to match: {', '.join(short)}")
     if not known:
         return docs.select("doc_id", F.array().cast("array<struct<template:string,window:int,size:int,share:double>>").alias("matches"))
     # For each minimal shingle, (template, window size, seed) of the bands it is minimal in.
     signature: dict[int, list[tuple[int, int, int]]] = {}
     for t, row in enumerate(known):
-        size = window_size(len(set(row["h"])))
-        for seed in bands(miss):
+        shingles = len(set(row["h"]))
+        size = window_size(shingles)
+        for seed in bands(miss, least_similarity(shingles, size, contained)):
             signature.setdefault(min(row["h"], key=lambda v: v ^ seed), []).append((t, size, seed))
     band = F.create_map(*[x for key, rows in signature.items() for x in (F.lit(key), F.array(*[F.struct(F.lit(t).alias("t"), F.lit(size).alias("size"), F.lit(seed).alias("seed")) for t, size, seed in rows]))])
     names = F.array(*[F.lit(row["name"]) for row in known])
