@@ -9,107 +9,24 @@ Defined cases: null and empty texts have no perplexity and are not kept, nor are
 null language is a language of its own; a document labelled more than once is trusted only if all labels
 say so; without trusted documents all words are equally likely, there are no quantiles, and all documents
 with words are kept; repeated rows each get a result; empty tables give empty results.
-
-count_grams, shares and log_table are a model over SYMBOLS classes of bytes, whose tables are bounded by
-SYMBOLS^order rows. judge() does not use it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tidemark.llm import word_model
 from tidemark.llm.common import settled
 
-SYMBOLS = 44
-ORDER = 4
 LOW, HIGH = 0.002, 0.995
 LEAST = 200  # trusted documents for quantiles of a language's own
 
 
-def symbol_table() -> np.ndarray:
-    """The class of each byte; 0 is the newline, which also stands before a text."""
-    kinds = ["\n", *"abcdefghijklmnopqrstuvwxyz", " ", "\t\v\f\r", "0123456789", ".", ",", "!?", "'\"", "()[]{}", "|", "#$%&*<>", "-_/\\", "@=+:;~^`"]
-    table = np.full(256, len(kinds), np.int32)
-    for i, kind in enumerate(kinds):
-        for c in kind + kind.upper():
-            table[ord(c)] = i
-    table[128:] = len(kinds) + 1 + np.arange(128) % 4
-    return table
-
-
-def grams(text: str, order: int, table: np.ndarray) -> np.ndarray:
-    """The n-gram that ends at each byte, as a number in base SYMBOLS, oldest symbol first."""
-    x = table[np.frombuffer(b"\n" * (order - 1) + text.encode(), np.uint8)]
-    out = x[order - 1 :].copy()
-    for k in range(1, order):
-        out += x[order - 1 - k : len(x) - k] * np.int32(SYMBOLS**k)
-    return out
-
-
 def trusted_ids(labels: DataFrame) -> DataFrame:
     return labels.groupBy("doc_id").agg(F.min("quality").alias("quality")).where("quality = 1").select("doc_id")
 
 
-def count_grams(docs: DataFrame, labels: DataFrame, order: int = ORDER) -> DataFrame:
-    """gram, n: over all trusted documents. Texts travel compressed to meet their labels."""
-    table = symbol_table()
-
-    def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            raw = [(t or "").encode() for t in batch.column("text").to_pylist()]
-            packed = [pa.compress(t, "zstd", asbytes=True) for t in raw]
-            columns = [batch.column("doc_id"), pa.array([len(t) for t in raw], pa.int64()), pa.array(packed, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SYMBOLS**order, np.int64)
-        for batch in batches:
-            for n, packed in zip(batch.column("n").to_pylist(), batch.column("packed").to_pylist()):
-                if n:
-                    found = grams(pa.decompress(packed, n, "zstd", asbytes=True).decode(), order, table)
-                    if n > 1_000_000:
-                        total += np.bincount(found, minlength=len(total))
-                    else:
-                        own, times = np.unique(found, return_counts=True)
-                        total[own] += times
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], names=["gram", "n"])
-
-    schema = T.StructType([docs.schema["doc_id"]]).add("n", T.LongType()).add("packed", T.BinaryType())
-    squeezed = docs.select("doc_id", "text").mapInArrow(squeeze, schema)
-    # A merge join at every size: what moves is then in proportion to the input.
-    known = squeezed.join(trusted_ids(labels).hint("merge"), "doc_id").select("n", "packed")
-    return known.mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-
-
-def shares(counts: DataFrame, order: int = ORDER) -> tuple[DataFrame, DataFrame]:
-    """(k, gram, share) of each n-gram of each order k, and (k, context, backoff)."""
-    level = settled(counts.select(F.lit(order).alias("k"), "gram", "n"))
-    levels = level
-    for k in range(order - 1, 0, -1):
-        level = level.groupBy((F.col("gram") % SYMBOLS**k).alias("gram")).agg(F.count(F.lit(1)).alias("n"))
-        level = level.select(F.lit(k).alias("k"), "gram", "n")
-        levels = levels.union(level)
-    levels = settled(levels.withColumn("context", F.expr(f"gram div {SYMBOLS}")))
-    times = [F.sum((F.col("n") == i).cast("long")).alias(f"n{i}") for i in (1, 2, 3, 4)]
-    cuts = {r["k"]: discounts(*r[1:]) for r in levels.groupBy("k").agg(*times).collect()}
-    cut = lambda i: F.create_map(*[F.lit(x) for k, d in cuts.items() for x in (k, d[i])])[F.col("k")]
-    if not cuts:
-        cut = lambda i: F.lit(0.0)
-    discount = F.when(F.col("n") == 1, cut(0)).when(F.col("n") == 2, cut(1)).otherwise(cut(2))
-    cut_counts = levels.withColumn("cut", discount)
-    contexts = settled(cut_counts.groupBy("k", "context").agg(F.sum("n").alias("total"), (F.sum("cut") / F.sum("n")).alias("backoff")))
-    own = cut_counts.join(contexts, ["k", "context"]).select("k", "gram", ((F.col("n") - F.col("cut")) / F.col("total")).alias("share"))
-    return own, contexts.select("k", "context", "backoff")
-
-
 def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
     """What counts of 1, 2 and 3 or more give up, from how many n-grams have counts 1 to 4."""
     if 0 in (n1, n2, n3, n4):
@@ -119,21 +36,6 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
     return tuple(min(max(d, 0.05), i + 0.95) for i, d in enumerate(raw))  # type: ignore[return-value]
 
 
-def log_table(counts: DataFrame, order: int = ORDER) -> np.ndarray:
-    """Log-probability of the last symbol of every possible n-gram: SYMBOLS^order numbers."""
-    own, contexts = shares(counts, order)
-    own, contexts = own.toPandas(), contexts.toPandas()
-    p = np.array([1 / SYMBOLS])
-    for k in range(1, order + 1):
-        share, backoff = np.zeros(SYMBOLS**k), np.ones(SYMBOLS ** (k - 1))
-        part, weight = own[own["k"] == k], contexts[contexts["k"] == k]
-        share[part["gram"].to_numpy(np.int64)] = part["share"].to_numpy(float)
-        backoff[weight["context"].to_numpy(np.int64)] = weight["backoff"].to_numpy(float)
-        lower = p if k == 1 else np.tile(p, SYMBOLS)  # the n-gram without its oldest symbol
-        p = share + np.repeat(backoff, SYMBOLS) * lower
-    return np.log(np.maximum(p, 1e-12)).astype(np.float32)
-
-
 def judge(docs: DataFrame, labels: DataFrame, low: float = LOW, high: float = HIGH, least: int = LEAST) -> DataFrame:
     """word_model.perplexity() with the bounds low, high that hold for the row, and kept."""
     scored = settled(word_model.perplexity(docs, trusted_ids(labels), discounts))
