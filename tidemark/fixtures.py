@@ -151,13 +151,13 @@ class Fixtures:
         )
 
     def commits(self, variant: str = "whole") -> DataFrame:
-        """Commit-audit rows of the time before the outage, a hundred offsets each.
+        """Commit-audit rows of the time before the outage, fifty offsets each.
 
         ``flawed`` lacks every seventh range of partition 0 and repeats that of partition 1.
         """
         ranges = (
             self.log.where(F.col("phase") == BEFORE)
-            .withColumn("_k", F.floor(F.col("offset") / 100))
+            .withColumn("_k", F.floor(F.col("offset") / 50))
             .groupBy("topic", "partition", "_k")
             .agg(
                 F.min("offset").alias("_from"),
@@ -184,10 +184,10 @@ class Fixtures:
 
     @cached_property
     def progress_rows(self) -> DataFrame:
-        """Append-only progress, one row per hundred offsets up to the outage."""
+        """Append-only progress, one row per fifty offsets up to the outage."""
         return (
             self.log.where(F.col("phase") == BEFORE)
-            .withColumn("_k", F.floor(F.col("offset") / 100))
+            .withColumn("_k", F.floor(F.col("offset") / 50))
             .groupBy("topic", "partition", "_k")
             .agg(
                 (F.max("offset") + 1).alias("next_offset"),

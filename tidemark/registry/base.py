@@ -52,7 +52,7 @@ group_commits AS (
   SELECT topic, "partition", max("offset") + 1 AS current_offset
   FROM log WHERE phase = 'before-outage' GROUP BY ALL),
 whole_ranges AS (
-  SELECT topic, "partition", "offset" // 100 AS k, min("offset") AS f, max("offset") AS t,
+  SELECT topic, "partition", "offset" // 50 AS k, min("offset") AS f, max("offset") AS t,
     count(*) AS written_rows, max(produced_at) AS ms
   FROM log WHERE phase = 'before-outage' GROUP BY ALL),
 flawed_ranges AS (

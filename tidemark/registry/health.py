@@ -109,5 +109,5 @@ def retention_headroom(f: Fixtures) -> DataFrame:
 def progress_crosscheck(f: Fixtures) -> DataFrame:
     """Partition 1's audit ends after its first range; partition 2 has no progress row."""
     progress = read_progress(f.progress_rows.where("partition != 2"), JOB, TOPIC)
-    ranges = commit_ranges(f.commits("flawed")).where("partition != 1 OR from_offset < 100")
+    ranges = commit_ranges(f.commits("flawed")).where("partition != 1 OR from_offset < 50")
     return M.progress_crosscheck(progress, ranges)
