@@ -66,10 +66,11 @@ def test_the_log_has_the_recorded_shape(log):
     assert phases == [(600, 1, 600), (900, 601, 1500), (300, 1501, 1800)]
 
 
-def test_scenarios_that_are_run_have_the_recorded_outcomes(spark, log):
-    wired = wire.encode(log)
+def test_scenarios_that_are_run_have_the_recorded_outcomes(spark, log, tmp_path):
     skewed = wire.encode(golden_log(spark, skew_outage=True))
-    summary = R.scenario_summary(log, S.sinks(wired, skewed), S.specs(spark))
+    outage = S.Outage(str(tmp_path), wire.encode(log), skewed)
+    S.live_through(outage)
+    summary = R.scenario_summary(log, S.sinks(outage), S.specs(spark))
     cols = ["produced", "saved", "lost", "missing", "duplicate", "pass"]
     found = as_dict(summary, "scenario", cols)
     assert {name: found[name] for name in OUTCOMES} == OUTCOMES

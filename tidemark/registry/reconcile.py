@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.fixtures import now
 from tidemark.operators import reconcile as R
 from tidemark.functions.routes import map_routes
 from tidemark.plans import scenarios
 from tidemark.registry.base import DAY_MS, NOW_MS, Fixtures, query
 from tidemark.schemas import POSITION, TABLES
+from tidemark.streaming.places import work_dir
 
 COUNTS = """CAST(sum(CASE WHEN expected_copies > 0 THEN 1 ELSE 0 END) AS BIGINT) AS expected,
   CAST(sum(CASE WHEN stored_copies > 0 THEN 1 ELSE 0 END) AS BIGINT) AS actual_distinct,
@@ -136,8 +138,11 @@ STORED_BY_SCENARIO = """marks AS (
     STORED_BY_SCENARIO,
 )
 def scenario_summary(f: Fixtures) -> DataFrame:
-    """Every exact scenario, run on the log and counted against the one ledger."""
-    return R.scenario_summary(f.ledger, scenarios.sinks(f.log, f.skewed_log), scenarios.specs(f.spark))
+    """Every exact scenario: jobs stopped, started again and run to the log's end, their tables counted
+    against the one ledger."""
+    outage = scenarios.Outage(work_dir(f.spark, "scenarios"), f.log, f.skewed_log, now)
+    scenarios.live_through(outage)
+    return R.scenario_summary(f.ledger, scenarios.sinks(outage), scenarios.specs(f.spark))
 
 
 @query(
