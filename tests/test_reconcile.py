@@ -1,3 +1,5 @@
+import re
+
 from pyspark.sql import functions as F
 
 from tidemark.operators import reconcile as R
@@ -113,6 +115,23 @@ def test_scenarios_are_independent(spark):
     assert found["S3"] == (0, 0, 0, 0, 0, 0, True)
 
 
+def test_tasks_of_the_summary_grow_with_the_stored_rows(spark, monkeypatch):
+    rows = [("t_b", 1), *[("t_a", 2)] * 300, *[("t_a", 4 + 10 * i) for i in range(400)], ("t_b", 3), (None, 7), ("t_x", 7), ("t_a", None)]
+    names = F.when(F.col("event_id") % 4 == 3, "S2").otherwise("S1")
+    stored = sink(spark, rows).withColumn("scenario", names)
+    specs = spark.createDataFrame([("S1", "loss", False), ("S2", "loss", False)], "scenario string, expect string, unique_required boolean")
+    cols = ["produced", "saved", "lost", "missing", "duplicate", "extra", "pass"]
+    expected = {"S1": (4, 2, 2, 2, 1, 400, True), "S2": (4, 1, 3, 4, 0, 0, True)}
+    assert as_dict(R.scenario_summary(ledger(spark, BASIC), stored, specs), "scenario", cols) == expected
+    monkeypatch.setattr(R, "ROWS_IN_TASK", 50)
+    summary = R.scenario_summary(ledger(spark, BASIC), stored, specs)
+    text = summary._jdf.queryExecution().executedPlan().toString()
+    # 703 rows in audited tables; no setting and no size of shuffled bytes makes the tasks fewer.
+    assert re.findall(r"hashpartitioning\(event_id#\d+L?, (?:_place#\d+L?, )?15\), REPARTITION_BY_NUM", text)
+    assert "SortAggregate" not in text
+    assert as_dict(summary, "scenario", cols) == expected
+
+
 def test_one_id_with_most_of_the_rows(spark):
     hot = spark.range(20000).select(F.lit("t_a").alias("sink_table"), F.lit(2).cast("bigint").alias("event_id"))
     cmp = R.compare_ids(R.expected_rows(ledger(spark, BASIC)), hot)
