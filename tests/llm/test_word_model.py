@@ -1,4 +1,5 @@
 import math
+import os
 import random
 from collections import Counter, defaultdict
 
@@ -80,3 +81,51 @@ def test_good_words_in_a_wrong_order_go(spark, alphabet):
     kept = {r["doc_id"]: r["kept"] for r in N.judge(docs, labels).collect()}
     assert sum(kept[i] for i in range(260, 280)) >= 19  # unseen prose, though it was not counted
     assert not any(kept[i] for i in range(280, 300))
+
+
+def held(folder):
+    return sum(os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(folder) for f in names)
+
+
+def test_disk_holds_less_than_the_texts_afterwards(spark):
+    """All n-grams of all orders, written at once and kept, took several times the texts."""
+    from tidemark.llm.common import shared_folder
+
+    rng = random.Random(5)
+    vocabulary = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 8))) for _ in range(5_000)]
+    texts = [" ".join(rng.choice(vocabulary) for _ in range(400)) for _ in range(300)]
+    folder = shared_folder(spark).removeprefix("file:")
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, setting = held(folder), spark.conf.get(key)
+    rows = W.perplexity(docs_of(spark, texts), N.trusted_ids(labels_of(spark, [(i, 1, 0) for i in range(300)])), N.discounts)
+    assert rows.count() == 300 and spark.conf.get(key) == setting
+    assert held(folder) - before < sum(map(len, texts)) / 2
+
+
+def test_a_pass_sends_its_share():
+    rng = random.Random(6)
+    texts = [" ".join(str(rng.randrange(3_000)) + "x" for _ in range(2_000)) for _ in range(20)]
+    sizes, vocabulary, codes = W.coded(texts)
+    row = {"chunk": 0, "sizes": W.packed(sizes, rising=False), "trusted": W.packed(np.ones(20, np.int64), rising=False), "vocabulary": vocabulary, "codes": codes}
+    passes = [W.emitted(row, W.edges(2), p) for p in range(W.PASSES)]
+    each = [sum(len(x) for r in p for x in r[2:]) for p in passes]
+    assert max(each) < 2 * sum(each) / W.PASSES
+    three = {(a, b, c) for t in texts for a, b, c in zip(*[["\n", "\n", *W.words(t)][i:] for i in range(3)])}
+    two = {x[:2] for x in three} | {x[1:] for x in three}
+    assert sum(len(W.unpacked(r[2])[0]) for p in passes for r in p) == len(two)
+    assert sum(len(W.unpacked(r[3])[0]) for p in passes for r in p) == sum(len(W.unpacked(r[5])[0]) for p in passes for r in p) == len(three)
+
+
+def test_words_are_found_as_by_the_expression():
+    rng = random.Random(8)
+    wild = "".join(chr(rng.choice([rng.randrange(0xD800), rng.randrange(0xE000, 0x110000), rng.randrange(128), 0xE51, 0x30, 10])) for _ in range(60_000))
+    for texts in ([], [""], ["", "\n\n", " a\n\nb\n \n", "\u0130\u03a3 \u0391\u03a3_12\u0e51\u0e51 \u0e511", "\x00\x1ca", wild]):
+        sizes, vocabulary, codes = W.coded(texts)
+        listed, at = W.restored(vocabulary).decode().split(" "), W.unpacked(codes)[0].astype(int).tolist()
+        assert sizes.tolist() == [len(W.words(t)) for t in texts]
+        assert [listed[i] for i in at] == [w for t in texts for w in ["\n", "\n", *W.words(t)]]
+
+
+def test_a_bigram_and_its_first_word_tell_the_second():
+    x, y = np.random.default_rng(9).integers(0, 1 << 64, (2, 1_000), np.uint64, endpoint=False)
+    assert (W.second(W.joined(x, y), x) == y).all()
